@@ -56,8 +56,9 @@ def among(text: np.ndarray, h: np.ndarray, lists: pa.Array, i: int) -> np.ndarra
     return np.isin(h ^ B.mix(text.astype(np.uint64)), values[off[0] : off[-1]] ^ B.mix(owner)) if n else np.zeros(0, bool)
 
 
-def repeated_anchors(texts: DataFrame, window: int, k: int, unit: str) -> DataFrame:
-    """(k, anchors): for each text with any, those of its anchors that occur again in the corpus or in it.
+def repeated_anchors(texts: DataFrame, window: int, k: int, unit: str, hot: int | None = None) -> DataFrame:
+    """(k, anchors): for each text with any, those of its anchors that occur again in the corpus or in it;
+    with hot, also the list hot of those that more than so many texts have.
 
     texts has k and text, k unique. The hashes are dealt out and sorted by Spark and read as a sorted
     stream; as a text sends a hash once, one hash is at most one row of every text."""
@@ -83,8 +84,14 @@ def repeated_anchors(texts: DataFrame, window: int, k: int, unit: str) -> DataFr
                 again |= h == h[0]
             if after:
                 again |= h == h[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(again)) for i in (0, 1)], ["h", "k"])
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(start, len(h)))
+            many = np.repeat(size, size) > (hot or len(h))
+            if hot and (before or after):
+                many |= (h == h[0]) & before | (h == h[-1]) & after
+            yield pa.record_batch({"h": h[again], "k": batch.column(1).to_numpy()[again], "many": many[again]})
 
     rows = texts.select("k", "text").mapInArrow(scan, "h long, k long, twice boolean")
-    found = rows.repartition("h").sortWithinPartitions("h").mapInArrow(keep, "h long, k long")
-    return found.groupBy("k").agg(F.collect_list("h").alias("anchors"))
+    found = rows.repartition("h").sortWithinPartitions("h").mapInArrow(keep, "h long, k long, many boolean")
+    lists = [F.collect_list("h").alias("anchors")] + [F.collect_list(F.when(F.col("many"), F.col("h"))).alias("hot")] * bool(hot)
+    return found.groupBy("k").agg(*lists)

@@ -162,9 +162,9 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64), len(s))
 
 
-def runs(batches, keys: list[str]):
-    """Record batches of rows sorted by keys, cut anew so that equal keys stay together where that is
-    at most a batch's worth; (batch, goes on from the one before, goes on in the next) for longer runs."""
+def runs(batches, keys: list[str], divisible=lambda batch: True):
+    """Record batches of rows sorted by keys, cut anew so that equal keys stay together; with (batch, goes
+    on from the one before, goes on in the next). Only divisible runs of over 200,000 rows are cut."""
     held = None
 
     def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
@@ -190,7 +190,7 @@ def runs(batches, keys: list[str]):
             at = int(cut[-1]) + 1
             yield held.slice(0, at), before, False
             held, before = pa.Table.from_batches([held.slice(at), batch]).combine_chunks().to_batches()[0], False
-        elif held.num_rows < 200_000:
+        elif held.num_rows < 200_000 or not divisible(held):
             held = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         else:
             yield held, before, True

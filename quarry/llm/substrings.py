@@ -115,7 +115,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, kmer: int = 8, carry: tup
     classes = text_classes(kd if unique else kd.dropDuplicates(["k"]))
     text = (kd if unique else kd.dropDuplicates(["k"])).select("k", "text").repartition("k")
     own = classes.filter("k = rep").select("k")
-    texts = text.join(own, "k", "left_semi")
+    texts = text.join(own, "k")
     found = repeated_anchors(texts, window, kmer, "word")
     sent = text.join(found, "k").select("k", "text", "anchors").mapInArrow(edges(window, kmer), "a long, b long, k long, pos int")
     marked = sent.repartition("a").sortWithinPartitions("a", "b", "k", "pos").mapInArrow(mark, "k long, marks binary")
