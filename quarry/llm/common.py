@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -75,3 +76,28 @@ def text_classes(kd: DataFrame) -> DataFrame:
     digest = kd.select("k", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(17), "text").alias("b"))
     reps = digest.groupBy("a", "b").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies"))
     return written(digest.join(reps, ["a", "b"]).select("k", "rep", "copies"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(nodes: DataFrame, links: DataFrame, label: str = "comp") -> DataFrame:
+    """(k, label): the smallest k reachable from each k of nodes over links (a, b).
+
+    Labels move along links and then along labels, so a chain halves each round; every round is one
+    grouped aggregation of links and one join, written out, until no label changes.
+    """
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
+    now = written(nodes.select("k", F.col("k").alias("c")))
+    while True:
+        seen = both.join(now, F.col("b") == F.col("k")).groupBy("a").agg(F.min("c").alias("m"))
+        step = now.join(seen, F.col("k") == F.col("a"), "left").select("k", "c", F.least("c", "m").alias("m"))
+        jump = now.select(F.col("k").alias("j"), F.col("c").alias("d"))
+        new = written(step.join(jump, F.col("m") == F.col("j"), "left").select("k", F.least("m", "d").alias("c"), (F.col("c") != F.least("m", "d")).alias("moved")))
+        moved = new.filter("moved").limit(1).count()
+        now = new.select("k", "c")
+        if not moved:
+            return now.withColumnRenamed("c", label)
