@@ -84,14 +84,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def components(nodes: DataFrame, links: DataFrame, label: str = "comp") -> DataFrame:
-    """(k, label): the smallest k reachable from each k of nodes over links (a, b).
+def components(links: DataFrame, label: str = "comp") -> DataFrame:
+    """(k, label): the smallest k reachable from each k that has links (a, b).
 
     Labels move along links and then along labels, so a chain halves each round; every round is one
     grouped aggregation of links and one join, written out, until no label changes.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    now = written(nodes.select("k", F.col("k").alias("c")))
+    now = written(both.groupBy(F.col("a").alias("k")).agg(F.least(F.col("a"), F.min("b")).alias("c")))
     while True:
         seen = both.join(now, F.col("b") == F.col("k")).groupBy("a").agg(F.min("c").alias("m"))
         step = now.join(seen, F.col("k") == F.col("a"), "left").select("k", "c", F.least("c", "m").alias("m"))

@@ -6,7 +6,7 @@ to share n-grams with a partner's: at 3/4, a quarter and one of its lowest n-gra
 and its lower half shares as many as a quarter of its set. These two rounds leave the classes that can have partners;
 their repeated n-grams, rarest first, give candidates. Each candidate is compared with a pivot of its n-gram's
 group, overlaps are counted in fragments of the order and summed per pair, and groups that then hold more
-than one component go on with more pivots, twice as many each round, until every group is settled.
+than one component go on with more pivots, 64 times as many each round, until every group is settled.
 """
 
 from __future__ import annotations
@@ -52,8 +52,9 @@ def summary(gram: int):
     return scan
 
 
-def lowest(gram: int, part: tuple[int, int], half: bool):
-    """Rows (h, set): the n-grams in the lower fragment of each text's set."""
+def lowest(gram: int, part: tuple[int, int], share: int):
+    """Rows (h, id): the n-grams of the lower fragment of each text's set: as many as a partner must
+    share one of, or a half (share 2) or all (1) of them. The id is the set's own at first, then k."""
 
     def scan(batches):
         for batch in batches:
@@ -62,9 +63,9 @@ def lowest(gram: int, part: tuple[int, int], half: bool):
             for row, x in sets(batch, gram):
                 n = len(x)
                 if n:
-                    take = max(n - least(n, part) + 1, least(n, (1, 2)) if half else 0)
+                    take = max(n - least(n, part) + 1, least(n, (1, share)) if share else 0)
                     hs.append(x[:take])
-                    ids.append(np.full(take, keys[row] if half else B.signed(np.sum(B.mix(x), keepdims=True))[0]))
+                    ids.append(np.full(take, keys[row] if share else B.signed(np.sum(B.mix(x), keepdims=True))[0]))
             if hs:
                 yield pa.record_batch({"h": B.signed(np.concatenate(hs)), "id": np.concatenate(ids)})
 
@@ -84,9 +85,10 @@ def shared(batches):
 
 
 def met(batches):
-    """As shared, but each id once a batch."""
+    """As shared, but (id, how often) once for each id of a batch."""
     for batch in shared(batches):
-        yield pa.record_batch({"id": np.unique(batch.column(0).to_numpy())})
+        ids, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+        yield pa.record_batch({"id": ids, "m": n})
 
 
 def overlaps(gram: int):
@@ -136,37 +138,43 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
     same = info.filter("n > 0").groupBy("n", "a", "b").agg(F.min("k").alias("class"))
     classes = written(info.join(same, ["n", "a", "b"], "left").select("k", "n", "a", F.coalesce("class", "k").alias("class")))
     # the lowest n-grams: a set that meets no other there has no partner
-    low = text.mapInArrow(lowest(gram, part, False), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
-    hit = low.mapInArrow(met, "id long").distinct().withColumnRenamed("id", "a")
-    able = written(classes.filter("n > 0 and k = class").join(hit, "a", "left_semi").select("k", "n"))
+    low = text.mapInArrow(lowest(gram, part, 0), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
+    hit = low.mapInArrow(met, "id long, m long").select(F.col("id").alias("a")).distinct()
+    able = written(classes.filter("n > 0 and k = class").join(hit, "a").select("k", "n"))
     del low, hit
     release(spark)
     texts = written(text.join(able, "k"))
     release(spark)
-    # the lower half: repeated n-grams and how many sets have each
-    half = texts.select("k", "text").mapInArrow(lowest(gram, part, True), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
-    found = half.mapInArrow(shared, "id long, h long, df long").groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("df", "h")).alias("grams"))
-    quarter = F.ceil(F.col("n") / 4)
-    kept = texts.select("k", "n").join(found, "k").filter(F.size("grams") >= quarter)
-    # rarest first: of all but a quarter of n less one, one is shared
-    kept = kept.select("k", "n", (F.greatest(F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1, F.ceil(F.col("n") / 2)) - F.size("grams")).alias("alone"), F.slice(F.array_sort("grams"), F.lit(1), F.greatest(F.size("grams") - quarter + 1, F.lit(0)).cast("int")).alias("grams"))
+    # the lower half: a partner shares n-grams there, as many as a quarter of the set or more
+    low = texts.select("k", "text").mapInArrow(lowest(gram, part, 2), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
+    hit = low.mapInArrow(met, "id long, m long").groupBy(F.col("id").alias("k")).agg(F.sum("m").alias("m"))
+    able = written(texts.select("k", "n").join(hit, "k").filter(F.col("m") * 4 >= F.col("n")).select("k"))
+    texts = written(texts.join(able, "k"))
+    del low, hit
+    release(spark)
+    # the whole order: three quarters of the set are repeated; of these, rarest first, the first are candidates
+    low = texts.select("k", "text").mapInArrow(lowest(gram, part, 1), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
+    found = low.mapInArrow(shared, "id long, h long, df long").groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("df", "h")).alias("grams"))
+    most = F.ceil(F.col("n") * 3 / 4)
+    kept = texts.select("k", "n").join(found, "k").filter(F.size("grams") >= most)
+    kept = kept.select("k", "n", (F.col("n") - F.size("grams")).alias("alone"), F.slice(F.array_sort("grams"), F.lit(1), F.greatest(F.size("grams") - most + 1, F.lit(0)).cast("int")).alias("grams"))
     groups = written(kept.select("k", "n", "alone", F.explode("grams").alias("g")).select(F.col("g.h").alias("h"), "k", "n", "alone"))
-    del half, found, kept
+    del low, found, kept
     release(spark)
-    comps = groups.select("k").distinct().select("k", F.col("k").alias("comp"))
-    texts = written(texts.join(comps.select("k"), "k", "left_semi").select("k", "text"))
-    tested = links = None
+    texts = written(texts.join(groups.select("k").distinct(), "k").select("k", "text"))
+    comps = tested = links = None
     pivots = 1
     while True:
-        rows = groups.join(comps, "k")
+        rows = groups.withColumn("comp", F.col("k")) if comps is None else groups.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
         sides = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("h")
-        rows = rows.join(sides, "h", "left_semi")
-        by_size = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h", "comp")))
+        by_size = rows.join(sides, "h").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h", "comp")))
         rows = written(by_size.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("size", "alone", "k"))).drop("size"))
         if not rows.limit(1).count():
             break
         p = rows.filter(F.col("rank") <= pivots).select("h", F.col("k").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("alone").alias("pa"))
         close = (F.col("n") * 4 >= F.col("pn") * 3) & (F.col("pn") * 4 >= F.col("n") * 3)
+        top = F.least(F.col("n") - F.col("alone"), F.col("pn") - F.col("pa"))  # n-grams that no other set has are in no overlap
+        close &= top * 4 >= (F.col("n") + F.col("pn") - top) * 3
         pairs = rows.join(p, "h").filter((F.col("comp") != F.col("pc")) & close)
         if tested is None:  # first, each set with the one pivot that most of its n-grams name
             votes = pairs.groupBy("k", "p").agg(F.count(F.lit(1)).alias("v"), F.min("pa").alias("pa"))
@@ -175,14 +183,17 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
             groups = rows.filter(F.col("rank") > pivots).select("h", "k", "n", "alone")
-            pivots *= 2
+            pivots *= 64
         pairs = written(pairs)
         new = written(linked(pairs, texts, gram, part))
         tested = pairs if tested is None else tested.union(pairs)
         links = new if links is None else links.union(new)
-        comps = components(comps, links)
+        if new.limit(1).count():
+            comps = components(links)
     both = links.union(links.select("b", "a")) if links is not None else spark.createDataFrame([], "a long, b long")
     degree = both.groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("k_links"))
+    if comps is None:
+        comps = spark.createDataFrame([], "k long, comp long")
     result = classes.join(comps.withColumnRenamed("k", "class"), "class", "left").join(degree, "class", "left")
     result = result.select("k", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"), F.coalesce("k_links", F.lit(0)).alias("k_links"))
     if unique:
