@@ -70,12 +70,12 @@ def keyed(docs: DataFrame, *extra: str) -> tuple[DataFrame, bool]:
     return base.join(ranks, on).select("k", "doc_id", "text", *extra), False
 
 
-def text_classes(kd: DataFrame) -> DataFrame:
-    """(k, rep, copies): rep is the smallest k of the copies with this text, by 128 bits of hash. Copies
+def text_classes(kd: DataFrame, *extra: str) -> DataFrame:
+    """(k, rep, copies, *extra): rep is the smallest k of the copies with this text, by 128 bits of hash. Copies
     are counted before the shuffle, and the join back can be split on a hot text."""
-    digest = kd.select("k", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(17), "text").alias("b"))
+    digest = kd.select("k", *extra, F.xxhash64("text").alias("a"), F.xxhash64(F.lit(17), "text").alias("b"))
     reps = digest.groupBy("a", "b").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    return written(digest.join(reps, ["a", "b"]).select("k", "rep", "copies"))
+    return written(digest.join(reps, ["a", "b"]).select("k", "rep", "copies", *extra))
 
 
 def release(spark: SparkSession) -> None:

@@ -137,6 +137,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least cut; see quality_scores."""
+    ship(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(quality_model(docs, labels, sample))
+
+    def scan(batches):
+        m = model.value
+        for batch in batches:
+            got = [vote(x, m) for _, x in all_shapes(batch)]
+            yield batch.filter(pa.array(np.concatenate(got) >= cut)) if got else batch
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def op9_quality_knn(spark, sf_dir: str) -> DataFrame:
     from quarry.llm.common import read
 

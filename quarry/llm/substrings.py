@@ -96,7 +96,8 @@ def cut_out(window: int):
                 for name, x in zip(out, (n, gone, spans, b" ".join(words).decode("utf-8", "surrogatepass")), strict=True):
                     out[name].append(x)
             span = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "source", "source_start")]))
-            yield pa.record_batch([pa.array(keys), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], span), pa.array(out["kept_text"], pa.string())], ["k", "n_words", "n_removed", "spans", "kept_text"])
+            rest = batch.schema.names[4:]
+            yield pa.record_batch([pa.array(keys), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], span), pa.array(out["kept_text"], pa.string()), *(batch.column(n) for n in rest)], ["k", "n_words", "n_removed", "spans", "kept_text", *rest])
 
     return apply
 
@@ -112,16 +113,19 @@ def substring_dedup(docs: DataFrame, window: int = 20, kmer: int = 8, carry: tup
     """
     ship(docs.sparkSession)
     kd, unique = keyed(docs, *carry)
-    classes = text_classes(kd if unique else kd.dropDuplicates(["k"]))
-    text = (kd if unique else kd.dropDuplicates(["k"])).select("k", "text").repartition("k")
+    rows = kd if unique else kd.dropDuplicates(["k"])
+    carried = carry if unique else ()  # with repeated ids, joined at the end
+    classes = text_classes(rows, *carried)
+    text = rows.select("k", "text").repartition("k")
     own = classes.filter("k = rep").select("k")
-    texts = text.join(own, "k")
-    found = repeated_anchors(texts, window, kmer, "word")
+    found = repeated_anchors(text.join(own, "k"), window, kmer, "word")
     sent = text.join(found, "k").select("k", "text", "anchors").mapInArrow(edges(window, kmer), "a long, b long, k long, pos int")
     marked = sent.repartition("a").sortWithinPartitions("a", "b", "k", "pos").mapInArrow(mark, "k long, marks binary")
     marks = marked.groupBy("k").agg(F.collect_list("marks").alias("marks"))
-    result = text.join(classes, "k").join(marks, "k", "left").select("k", "text", "rep", "marks").mapInArrow(cut_out(window), OUT)
-    if unique and not carry:
+    kinds = dict(docs.dtypes)
+    both = text.join(classes, "k").join(marks, "k", "left").select("k", "text", "rep", "marks", *carried)
+    result = both.mapInArrow(cut_out(window), OUT + "".join(f", `{c}` {kinds[c]}" for c in carried))
+    if unique:
         return result.withColumnRenamed("k", "doc_id")
     return kd.select("k", "doc_id", *carry).join(result, "k").drop("k")
 
