@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from quarry.plans import decoding
+
+MODULES = (decoding,)
 
 
 def queries():
