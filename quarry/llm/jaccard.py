@@ -1,10 +1,9 @@
 """N-gram Jaccard join by vertical partitioning of a global n-gram order.
 
 A document is its set of distinct word n-grams, known by 64-bit hashes; documents with one set are one
-class. The n-grams stand in one global order, and the lower fragment of that order in a document has
-to share n-grams with a partner's: at 3/4, a quarter and one of its lowest n-grams hold a shared one,
-and its lower half shares as many as a quarter of its set. These two rounds leave the classes that can have partners;
-their repeated n-grams, rarest first, give candidates. Each candidate is compared with a pivot of its n-gram's
+class. The n-grams stand in one global order, and a document's lower half of it has to share n-grams with a
+partner's: at 3/4, as many as a quarter of its set. That leaves the classes that can have partners, and of these only
+sets of which three quarters are repeated go on; their repeated n-grams, rarest first, give candidates. Each candidate is compared with a pivot of its n-gram's
 group, overlaps are counted in fragments of the order and summed per pair, and groups that then hold more
 than one component go on with more pivots, 64 times as many each round, until every group is settled.
 """
@@ -53,8 +52,8 @@ def summary(gram: int):
 
 
 def lowest(gram: int, part: tuple[int, int], share: int):
-    """Rows (h, id): the n-grams of the lower fragment of each text's set: as many as a partner must
-    share one of, or a half (share 2) or all (1) of them. The id is the set's own at first, then k."""
+    """Rows (h, id): the n-grams in the lower fragment of each text's set, a half (share 2) or all (1) of
+    them. The id is the set's own at first, so that equal sets count once, then k."""
 
     def scan(batches):
         for batch in batches:
@@ -63,9 +62,9 @@ def lowest(gram: int, part: tuple[int, int], share: int):
             for row, x in sets(batch, gram):
                 n = len(x)
                 if n:
-                    take = max(n - least(n, part) + 1, least(n, (1, share)) if share else 0)
+                    take = max(n - least(n, part) + 1, least(n, (1, share)))
                     hs.append(x[:take])
-                    ids.append(np.full(take, keys[row] if share else B.signed(np.sum(B.mix(x), keepdims=True))[0]))
+                    ids.append(np.full(take, keys[row] if share == 1 else B.signed(np.sum(B.mix(x), keepdims=True))[0]))
             if hs:
                 yield pa.record_batch({"h": B.signed(np.concatenate(hs)), "id": np.concatenate(ids)})
 
@@ -137,21 +136,15 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
     info = written(text.mapInArrow(summary(gram), "k long, n long, a long, b long"))
     same = info.filter("n > 0").groupBy("n", "a", "b").agg(F.min("k").alias("class"))
     classes = written(info.join(same, ["n", "a", "b"], "left").select("k", "n", "a", F.coalesce("class", "k").alias("class")))
-    # the lowest n-grams: a set that meets no other there has no partner
-    low = text.mapInArrow(lowest(gram, part, 0), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
-    hit = low.mapInArrow(met, "id long, m long").select(F.col("id").alias("a")).distinct()
-    able = written(classes.filter("n > 0 and k = class").join(hit, "a").select("k", "n"))
+    # the lower half of the order: a partner shares n-grams there, as many as a quarter of the set or more
+    low = text.mapInArrow(lowest(gram, part, 2), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
+    hit = low.mapInArrow(met, "id long, m long").groupBy(F.col("id").alias("a")).agg(F.sum("m").alias("m"))
+    able = classes.filter("n > 0 and k = class").join(hit, "a").filter(F.col("m") * 4 >= F.col("n"))
+    able = written(able.select("k", "n"))
     del low, hit
     release(spark)
     texts = written(text.join(able, "k"))
     release(spark)
-    # the lower half: a partner shares n-grams there, as many as a quarter of the set or more
-    low = texts.select("k", "text").mapInArrow(lowest(gram, part, 2), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
-    hit = low.mapInArrow(met, "id long, m long").groupBy(F.col("id").alias("k")).agg(F.sum("m").alias("m"))
-    able = written(texts.select("k", "n").join(hit, "k").filter(F.col("m") * 4 >= F.col("n")).select("k"))
-    texts = written(texts.join(able, "k"))
-    del low, hit
-    release(spark)
     # the whole order: three quarters of the set are repeated; of these, rarest first, the first are candidates
     low = texts.select("k", "text").mapInArrow(lowest(gram, part, 1), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
     found = low.mapInArrow(shared, "id long, h long, df long").groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("df", "h")).alias("grams"))
