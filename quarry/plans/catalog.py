@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import decoding
+from quarry.plans import decoding, ledger
 
-MODULES = (decoding,)
+MODULES = (decoding, ledger)
 
 
 def queries():
