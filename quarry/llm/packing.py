@@ -11,7 +11,9 @@ fit best. The plan is a list of configurations with counts; items find their pla
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
+from array import array
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -23,25 +25,51 @@ from quarry.llm import blocks as B
 from quarry.llm.common import keyed, ship, written
 
 SALTS = 64
-CACHE = 400_000
+CACHE = 200_000
 WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")  # white space beyond ASCII
 PIECES = "k long, piece int, start long, length int, ids_crc32 long"
 
 
+# Fixed value: how byte-level tokenizers cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def encoder(path: str):
+    """A function from a text to its token ids, special tokens being ordinary text.
+
+    A byte-level file whose ids follow the order of its merges is read into the quicker of two
+    libraries, which give the same ids; any other file is left to the library it is made for."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, cut = told["model"], told.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not told.get("normalizer")
+    vocabulary = model.get("vocab", {})
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    ids = [vocabulary.get(a + b, -1) for a, b in pairs]
+    if plain and ids == list(range(256, 256 + len(ids))):
+        import tiktoken
+
+        shown = [i for i in range(256) if 33 <= i <= 126 or 161 <= i <= 172 or i >= 174]
+        byte = {chr(i): i for i in shown} | {chr(256 + n): i for n, i in enumerate(i for i in range(256) if i not in set(shown))}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(ids)}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
-    return found
+    return lambda text: found.encode(text, add_special_tokens=False).ids
 
 
 class Encoder:
     """Token ids of texts. The tokenizer never joins a character with white space after it, so a text is cut before
-    each run of ASCII white space and each different part is encoded once and remembered."""
+    each run of ASCII white space and each different part is encoded once and remembered, up to CACHE of them."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.ids, self.off = encoder(path), {}, [], []
+        self.encode = encoder(path)
+        self.forget()
+
+    def forget(self):
+        self.known, self.pool, self.begin, self.size = {}, array("I"), array("q"), array("q")
 
     def parts(self, buf: np.ndarray, off: np.ndarray):
         """(part hashes, starts, ends, first part of each text)."""
@@ -60,26 +88,27 @@ class Encoder:
         h, starts, ends, first = self.parts(buf, off)
         uniq, at, which = np.unique(h, return_index=True, return_inverse=True)
         keys = uniq.tolist()
-        new = [i for i, x in enumerate(keys) if x not in self.known]
         if len(self.known) > CACHE:
-            self.known, new = {}, range(len(keys))
-        new = list(new)
+            self.forget()
         raw = buf.tobytes()
-        texts = [raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new]
-        for i, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[keys[i]] = np.array(e.ids, np.uint32)
-        mine = [self.known[x] for x in keys]
-        size = np.array([len(x) for x in mine], np.int64)
-        begin = np.cumsum(size) - size
-        pool = np.concatenate(mine) if mine else np.zeros(0, np.uint32)
+        for i, x in enumerate(keys):
+            if x not in self.known:
+                ids = self.encode(raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace"))
+                self.known[x] = len(self.begin)
+                self.begin.append(len(self.pool))
+                self.size.append(len(ids))
+                self.pool.extend(ids)
+        mine = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        begin, size, pool = (np.array(x) for x in (self.begin, self.size, self.pool))
+        begin, size = begin[mine], size[mine]
         n = size[which]
         idx = np.arange(n.sum()) + np.repeat(begin[which] - (np.cumsum(n) - n), n)
-        out = pool[idx]
+        out = pool[idx] if len(idx) else np.zeros(0, np.uint32)
         bounds = np.append(0, np.cumsum(n))[first]
         for i in range(len(off) - 1):
             text = raw[off[i] : off[i + 1]]
-            if any(x in text for x in WIDE) and any(x in text for x in WIDE):
-                yield np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            if any(x in text for x in WIDE):
+                yield np.array(self.encode(text.decode("utf-8", "replace")), np.uint32)
             else:
                 yield out[bounds[i] : bounds[i + 1]]
 
