@@ -98,9 +98,12 @@ def quality_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
     low = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     stats = statistics(docs.select("doc_id", "text", F.coalesce("lang", F.lit("\0")).alias("lang"), F.coalesce("source", F.lit("\0")).alias("source")))
     stats = written(stats.withColumn("base_failed", low))
-    good = stats.filter(~F.col("base_failed")).select("lang", "source", *AXES)
-    own = estimates(good, ["lang", "source"]).filter(F.col("rows") >= LEAST)
-    whole = estimates(good.select(F.lit(0).alias("all"), *AXES), ["all"])
+    good = stats.filter(~F.col("base_failed"))
+    # each row counts in its group and in the one of all rows, so that one set of jobs makes both estimates
+    groups = F.array(F.struct("lang", "source"), F.struct(F.lit("\0all").alias("lang"), F.lit("\0all").alias("source")))
+    found = estimates(good.select(F.explode(groups).alias("g"), *AXES).select("g.*", *AXES), ["lang", "source"])
+    own = found.filter((F.col("rows") >= LEAST) & (F.col("lang") != "\0all"))
+    whole = found.filter(F.col("lang") == "\0all")
     params = [c for c in own.columns if c[:2] in ("m_", "c_")]
     both = stats.join(own.select("lang", "source", *params), ["lang", "source"], "left")
     both = both.join(F.broadcast(whole.select(*[F.col(p).alias(f"w_{p}") for p in params])), F.lit(True), "left")  # one row
