@@ -5,7 +5,9 @@ class. The n-grams stand in one global order, and a document's lower half of it
 partner's: at 3/4, as many as a quarter of its set. That leaves the classes that can have partners, and of these only
 sets of which three quarters are repeated go on; their repeated n-grams, rarest first, give candidates. Each candidate is compared with a pivot of its n-gram's
 group, overlaps are counted in fragments of the order and summed per pair, and groups that then hold more
-than one component go on with more pivots, 64 times as many each round, until every group is settled.
+than one component go on with more pivots, 64 times as many each round, until every group is settled. A set's
+overlap with its first pivot, its home, bounds its overlap with other sets of that home, and pairs that cannot reach
+the threshold by this bound are not compared.
 """
 
 from __future__ import annotations
@@ -107,13 +109,17 @@ def overlaps(gram: int):
     return scan
 
 
-def linked(pairs: DataFrame, texts: DataFrame, gram: int, part: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose overlap is at least part of their union."""
+def measured(pairs: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets and of the overlap: (a, b, n_a, n_b, o)."""
     with_a = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     parts = with_b.mapInArrow(overlaps(gram), "a long, b long, n_a long, n_b long, part long")
-    total = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("o"))
-    return total.filter(F.col("o") * part[1] >= (F.col("n_a") + F.col("n_b") - F.col("o")) * part[0]).select("a", "b")
+    return parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("o"))
+
+
+def alike(overlap, n, m, part: tuple[int, int]):
+    """Whether an overlap is at least part of the union of sets of n and m."""
+    return overlap * part[1] >= (n + m - overlap) * part[0]
 
 
 def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -151,7 +157,8 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
     most = F.ceil(F.col("n") * 3 / 4)
     kept = texts.select("k", "n").join(found, "k").filter(F.size("grams") >= most)
     kept = kept.select("k", "n", (F.col("n") - F.size("grams")).alias("alone"), F.slice(F.array_sort("grams"), F.lit(1), F.greatest(F.size("grams") - most + 1, F.lit(0)).cast("int")).alias("grams"))
-    groups = written(kept.select("k", "n", "alone", F.explode("grams").alias("g")).select(F.col("g.h").alias("h"), "k", "n", "alone"))
+    none = F.lit(None).cast("long")
+    groups = written(kept.select("k", "n", "alone", F.explode("grams").alias("g")).select(F.col("g.h").alias("h"), "k", "n", "alone", none.alias("home"), none.alias("inside")))
     del low, found, kept
     release(spark)
     texts = written(texts.join(groups.select("k").distinct(), "k").select("k", "text"))
@@ -164,21 +171,28 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
         rows = written(by_size.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("size", "alone", "k"))).drop("size"))
         if not rows.limit(1).count():
             break
-        p = rows.filter(F.col("rank") <= pivots).select("h", F.col("k").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("alone").alias("pa"))
+        p = rows.filter(F.col("rank") <= pivots).select("h", F.col("k").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("alone").alias("pa"), F.col("home").alias("ph"), F.col("inside").alias("pi"))
         close = (F.col("n") * 4 >= F.col("pn") * 3) & (F.col("pn") * 4 >= F.col("n") * 3)
         top = F.least(F.col("n") - F.col("alone"), F.col("pn") - F.col("pa"))  # n-grams that no other set has are in no overlap
-        close &= top * 4 >= (F.col("n") + F.col("pn") - top) * 3
+        close &= alike(top, F.col("n"), F.col("pn"), part)
+        # sets with one home share no more of it than the lesser has, and outside it no more than the lesser has there
+        top = F.least("inside", "pi") + F.least(F.col("n") - F.col("alone") - F.col("inside"), F.col("pn") - F.col("pa") - F.col("pi"))
+        close &= F.coalesce((F.col("home") != F.col("ph")) | alike(top, F.col("n"), F.col("pn"), part), F.lit(True))
         pairs = rows.join(p, "h").filter((F.col("comp") != F.col("pc")) & close)
         if tested is None:  # first, each set with the one pivot that most of its n-grams name
             votes = pairs.groupBy("k", "p").agg(F.count(F.lit(1)).alias("v"), F.min("pa").alias("pa"))
-            pairs = votes.groupBy("k").agg(F.max_by("p", F.struct("v", -F.col("pa"), -F.col("p"))).alias("p"))
+            pairs = homes = written(votes.groupBy("k").agg(F.max_by("p", F.struct("v", -F.col("pa"), -F.col("p"))).alias("p")))
         pairs = pairs.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            groups = rows.filter(F.col("rank") > pivots).select("h", "k", "n", "alone")
+            groups = rows.filter(F.col("rank") > pivots).drop("comp", "rank")
             pivots *= 64
         pairs = written(pairs)
-        new = written(linked(pairs, texts, gram, part))
+        new = written(measured(pairs, texts, gram))
+        if tested is None:
+            at = homes.select("k", F.col("p").alias("home"), F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).join(new, ["a", "b"])
+            groups = written(groups.drop("home", "inside").join(at.select("k", "home", F.col("o").alias("inside")), "k", "left"))
+        new = new.filter(alike(F.col("o"), F.col("n_a"), F.col("n_b"), part)).select("a", "b")
         tested = pairs if tested is None else tested.union(pairs)
         links = new if links is None else links.union(new)
         if new.limit(1).count():
