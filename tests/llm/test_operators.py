@@ -95,9 +95,10 @@ def test_bytestrings(plain, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in bytestring_dedup(plain, hot=hot).collect()} == want
 
 
-def test_jaccard(plain):
+def components_by_pairs(rows):
+    """doc_id to (set size, smallest id reachable), from every pair of rows."""
     sets, parent = {}, {}
-    for d, t in rows_of(plain):
+    for d, t in rows:
         w = t.encode().lower().split()
         sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
         parent[d] = d
@@ -112,8 +113,27 @@ def test_jaccard(plain):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(plain).collect()}
-    assert got == {d: (len(s), root(d)) for d, s in sets.items()}
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def test_jaccard(plain):
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(plain).collect()} == components_by_pairs(rows_of(plain))
+
+
+def test_jaccard_of_many_near_copies(spark):
+    """Copies of one text with one to nine words changed, some of them near another copy but not near the first text."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    pool = [base]
+    for _ in range(150):
+        copy = list(r.choice(pool[-40:] + [base] * 20))
+        for _ in range(r.randrange(1, 10)):
+            copy[r.randrange(120)] = f"c{r.randrange(6)}"
+        pool.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(pool)], "doc_id long, text string")
+    want = components_by_pairs(rows_of(docs))
+    assert 3 < len({c for _, c in want.values()}) < 140
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join(docs).collect()} == want
 
 
 def test_fingerprints(plain):
