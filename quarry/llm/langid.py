@@ -61,8 +61,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(markup, "(?is)<html[^>]*\\slang\\s*=\\s*[\"']?([A-Za-z]+)", 1)).alias("declared"),
         F.when(path.isin(langs), path).when(suffix.isin(langs), suffix).otherwise("").alias("address"), words_of(text).alias("words"))
     known = model.groupBy("word").agg(*[F.max(F.when(F.col("lang") == g, F.col("lp"))).alias(f"l{i}") for i, g in enumerate(langs)]) if langs else model.select("word")
-    hits = base.select("k", F.explode("words").alias("word")).groupBy("k", "word").agg(F.count(F.lit(1)).alias("n"))
-    like = hits.join(F.broadcast(known), "word").groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"l{i}")).alias(f"s{i}") for i in range(len(langs))])  # at most WORDS rows a language
+    hits = base.select("k", F.posexplode("words").alias("at", "word"))
+    copies = F.sum((F.col("at") == 0).cast("int"))  # equal pages have one k
+    like = hits.join(F.broadcast(known), "word", "left").groupBy("k").agg((F.count(known["l0"]) / copies).alias("n"), *[(F.sum(f"l{i}") / copies).alias(f"s{i}") for i in range(len(langs))]) if langs else hits  # at most WORDS rows a language
     seen = base.drop("words").join(like, "k", "left") if langs else base.drop("words")
     if not langs:
         return seen.select("page_id", *[F.lit(None).cast("string").alias(c) for c in ("text_lang",)], "declared", "address", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"))

@@ -228,6 +228,21 @@ def test_language_on_held_out_addresses(spark):
     assert sum(f"/{r.lang}/" in r.url for r in got) / len(got) > 0.9
 
 
+def test_language_of_untidy_pages(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    schema = "page_id long, url string, html string, lang string, k long, word string, n long"
+    one = (7, "https://a.example.org/x", "<html><p>und der die das nicht ist", "zz", 1, "w", 9)
+    rows = [one, one, one, (None, None, None, None, None, None, None), (8, "no address", "", "", 0, "", 0)]
+    got = identify(spark.createDataFrame(rows, schema), docs).collect()
+    assert len(got) == len(rows)
+    copies = [r for r in got if r.page_id == 7]
+    assert len(set(copies)) == 1
+    assert all(r.text_lang is None and r.lang is not None for r in got if r.page_id != 7)
+    assert identify(spark.createDataFrame([], schema), docs).count() == 0
+    assert {r.lang for r in identify(spark.createDataFrame(rows, schema), docs.limit(0)).collect()} == {None}
+
+
 @pytest.mark.parametrize("operator", [substring_dedup, bytestring_dedup, jaccard_join, document_fingerprints, quality_rules, mix_sources, lambda d: packing.pack(d, TOKENIZER).filter("piece = 0"), lambda d: quality_scores(d, d.sparkSession.createDataFrame([], "doc_id long, quality int"))])
 def test_untidy_and_empty(untidy, operator):
     n = untidy.count()
