@@ -26,9 +26,9 @@ def words_of(text: Column) -> Column:
 def word_model(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> DataFrame:
     """(word, lang, lp): log probabilities of the commonest words of each language, over a sample of labelled
     documents chosen by hash of the id."""
-    share = docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg((F.lit(sample) / F.count(F.lit(1))).alias("share"))
-    some = docs.filter(F.col("lang").isNotNull()).join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    counts = some.select("lang", F.explode(words_of(F.coalesce("text", F.lit("")))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    share = docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg((F.lit(sample) / F.count(F.lit(1))).alias("share"))  # a row for each language
+    some = docs.filter(F.col("lang").isNotNull()).join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    counts = written(some.select("lang", F.explode(words_of(F.coalesce("text", F.lit("")))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= words)
     size = counts.groupBy("lang").agg((F.sum("n") + 1.0).alias("total"))
     grid = top.select("word").distinct().join(F.broadcast(size), F.lit(True))  # at most WORDS rows a language by a row for each
