@@ -7,7 +7,8 @@ sets of which three quarters are repeated go on; their repeated n-grams, rarest
 group, overlaps are counted in fragments of the order and summed per pair, and groups that then hold more
 than one component go on with more pivots, 64 times as many each round, until every group is settled. A set's
 overlap with its first pivot, its home, bounds its overlap with other sets of that home, and pairs that cannot reach
-the threshold by this bound are not compared.
+the threshold by this bound are not compared. Nor is a pair compared for an n-gram so late in both sets' orders that,
+were it the first they share, the rest could not reach the threshold: for the first they do share, a link's rest can.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
     kept = texts.select("k", "n").join(found, "k").filter(F.size("grams") >= most)
     kept = kept.select("k", "n", (F.col("n") - F.size("grams")).alias("alone"), F.slice(F.array_sort("grams"), F.lit(1), F.greatest(F.size("grams") - most + 1, F.lit(0)).cast("int")).alias("grams"))
     none = F.lit(None).cast("long")
-    groups = written(kept.select("k", "n", "alone", F.explode("grams").alias("g")).select(F.col("g.h").alias("h"), "k", "n", "alone", none.alias("home"), none.alias("inside")))
+    groups = written(kept.select("k", "n", "alone", F.posexplode("grams").alias("pos", "g")).select(F.col("g.h").alias("h"), "k", "n", "alone", "pos", none.alias("home"), none.alias("inside")))
     del low, found, kept
     release(spark)
     texts = written(texts.join(groups.select("k").distinct(), "k").select("k", "text"))
@@ -171,9 +172,10 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
         rows = written(by_size.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("size", "alone", "k"))).drop("size"))
         if not rows.limit(1).count():
             break
-        p = rows.filter(F.col("rank") <= pivots).select("h", F.col("k").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("alone").alias("pa"), F.col("home").alias("ph"), F.col("inside").alias("pi"))
+        p = rows.filter(F.col("rank") <= pivots).select("h", F.col("k").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("alone").alias("pa"), F.col("pos").alias("pp"), F.col("home").alias("ph"), F.col("inside").alias("pi"))
         close = (F.col("n") * 4 >= F.col("pn") * 3) & (F.col("pn") * 4 >= F.col("n") * 3)
-        top = F.least(F.col("n") - F.col("alone"), F.col("pn") - F.col("pa"))  # n-grams that no other set has are in no overlap
+        # n-grams that no other set has are in no overlap; where this is the first that both have, nor are those before it
+        top = F.least(F.col("n") - F.col("alone") - F.col("pos"), F.col("pn") - F.col("pa") - F.col("pp"))
         close &= alike(top, F.col("n"), F.col("pn"), part)
         # sets with one home share no more of it than the lesser has, and outside it no more than the lesser has there
         top = F.least("inside", "pi") + F.least(F.col("n") - F.col("alone") - F.col("inside"), F.col("pn") - F.col("pa") - F.col("pi"))
