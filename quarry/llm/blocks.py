@@ -22,6 +22,7 @@ LOWER[65:91] += 32
 POS_BITS = np.uint64(28)
 POS_MASK = np.uint64((1 << 28) - 1)
 BLOCK = 1 << 21
+RUN = 200_000
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -164,7 +165,7 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(batches, keys: list[str], divisible=lambda batch: True):
     """Record batches of rows sorted by keys, cut anew so that equal keys stay together; with (batch, goes
-    on from the one before, goes on in the next). Only divisible runs of over 200,000 rows are cut."""
+    on from the one before, goes on in the next). Only divisible runs of over RUN rows are cut."""
     held = None
 
     def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
@@ -190,7 +191,7 @@ def runs(batches, keys: list[str], divisible=lambda batch: True):
             at = int(cut[-1]) + 1
             yield held.slice(0, at), before, False
             held, before = pa.Table.from_batches([held.slice(at), batch]).combine_chunks().to_batches()[0], False
-        elif held.num_rows < 200_000 or not divisible(held):
+        elif held.num_rows < RUN or not divisible(held):
             held = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         else:
             yield held, before, True

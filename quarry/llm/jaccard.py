@@ -22,6 +22,7 @@ from quarry.llm import blocks as B
 from quarry.llm.common import components, keyed, release, ship, written
 
 FRAGMENTS = 4
+MANY = 1 << 40  # stands for the count of ids of a run too long for one piece
 
 
 def sets(batch: pa.RecordBatch, gram: int):
@@ -75,14 +76,27 @@ def lowest(gram: int, part: tuple[int, int], share: int):
 
 
 def shared(batches):
-    """Of rows sorted by h and id: (id, h, df) where df different ids have h, two or more."""
-    for batch, _, _ in B.runs(batches, ["h"]):
+    """Of rows sorted by h and id: (id, h, df) where df different ids have h, two or more. A run that is cut has df
+    MANY in every piece, so that (df, h) is one order for all, and its ids count over the cuts."""
+    one = last = None  # of a run that goes on: its only id so far, held back, and its last id
+    for batch, before, after in B.runs(batches, ["h"]):
         h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if before and one is not None:
+            h, d = np.append(h[:1], h), np.append(one, d)
         new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
+        known = before and one is None
+        if known:
+            new[0] = d[0] != last
+        key, last = h[0], d[-1]
         h, d = h[new], d[new]
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         df = np.diff(np.append(start, len(h)))
         df = np.repeat(df, df)
+        if before or after:
+            mine = h == key
+            several = known or np.count_nonzero(mine) > 1
+            df[mine] = MANY if several else 1
+            one = None if several else last
         yield pa.record_batch({"id": d[df > 1], "h": h[df > 1], "df": df[df > 1]})
 
 

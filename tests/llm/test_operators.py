@@ -12,7 +12,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from quarry.llm import blocks as B  # noqa: E402
-from quarry.llm import packing  # noqa: E402
+from quarry.llm import jaccard, packing  # noqa: E402
 from quarry.llm.bytestrings import bytestring_dedup  # noqa: E402
 from quarry.llm.fingerprints import document_fingerprints  # noqa: E402
 from quarry.llm.jaccard import jaccard_join  # noqa: E402
@@ -136,6 +136,27 @@ def test_jaccard_of_many_near_copies(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join(docs).collect()} == want
 
 
+@pytest.mark.parametrize("limit", [3, 8, 200_000])
+def test_one_order_of_ngrams_over_cut_runs(limit, monkeypatch):
+    monkeypatch.setattr(B, "RUN", limit, raising=False)
+    r = random.Random(limit)
+    rows = [(7, i) for i in range(450_001)] if limit == 200_000 else []
+    rows += [(h, r.choice([h, h, h + 1, r.randrange(60)])) for h in range(8, 40) for _ in range(r.randrange(1, 50))]
+    rows += [(h, 5) for h in (40, 42) for _ in range(30)] + [(42, 6)] + [(43, 1)] * 30 + [(43, 2)] * 30
+    h, d = (np.array(x, np.int64) for x in zip(*sorted(rows), strict=True))
+    step = 10_000 if limit == 200_000 else 4
+    batches = [pa.record_batch({"h": h[i : i + step], "id": d[i : i + step]}) for i in range(0, len(h), step)]
+    got = [x for b in jaccard.shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    ids = defaultdict(set)
+    for a, b in rows:
+        ids[a].add(b)
+    assert sorted((a, x) for x, a, _ in got) == sorted((a, x) for a, s in ids.items() if len(s) > 1 for x in s)
+    df = defaultdict(set)
+    for _, a, n in got:
+        df[a].add(n)
+    assert all(len(x) == 1 for x in df.values())
+
+
 def test_fingerprints(plain):
     got = {r.doc_id: r for r in document_fingerprints(plain, 4).collect()}
     rows = rows_of(plain)[::-1]
