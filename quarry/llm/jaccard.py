@@ -9,6 +9,7 @@ than one component go on with more pivots, 64 times as many each round, until ev
 overlap with its first pivot, its home, bounds its overlap with other sets of that home, and pairs that cannot reach
 the threshold by this bound are not compared. Nor is a pair compared for an n-gram so late in both sets' orders that,
 were it the first they share, the rest could not reach the threshold: for the first they do share, a link's rest can.
+These links give the components. All links are then counted inside them, block against block.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quarry.llm import blocks as B
 from quarry.llm.common import components, keyed, release, ship, written
 
 FRAGMENTS = 4
+BLOCK = 128  # sets of a component that one task compares with as many others
+WIDTH = 4096  # n-grams of a slice of two blocks' matrices
 MANY = 1 << 40  # stands for the count of ids of a run too long for one piece
 
 
@@ -137,9 +140,74 @@ def alike(overlap, n, m, part: tuple[int, int]):
     return overlap * part[1] >= (n + m - overlap) * part[0]
 
 
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the overlaps of each of left with each of right, added up over slices of the n-grams of both sides."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for side in (left, right):
+        x = np.concatenate(side)
+        row = np.repeat(np.arange(len(side)), [len(y) for y in side])
+        at = np.searchsorted(both, x)
+        here = at < len(both)
+        here[here] = both[at[here]] == x[here]
+        row, at = row[here], at[here]
+        order = np.argsort(at, kind="stable")
+        sides.append((len(side), row[order], at[order]))
+    for low in range(0, len(both), WIDTH):
+        dense = []
+        for n, row, at in sides:
+            i, j = np.searchsorted(at, (low, low + WIDTH))
+            x = np.zeros((n, min(WIDTH, len(both) - low)), np.float32)
+            x[row[i:j], at[i:j] - low] = 1
+            dense.append(x)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def linked(gram: int, part: tuple[int, int]):
+    """Of sets with their texts, sorted by comp, i and j, two blocks of a component: (k, links between the blocks)."""
+
+    def scan(batches):
+        for batch, _, _ in B.runs(batches, ["comp", "i", "j"], lambda _: False):
+            found = [x for _, x in sets(batch, gram)]
+            comp, i, j, own, k = (batch.column(c).to_numpy() for c in ("comp", "i", "j", "own", "k"))
+            new = np.flatnonzero(np.append(True, (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            ks, ns = [], []
+            for a, z in zip(new, np.append(new[1:], len(k)), strict=True):
+                left, right = (a + np.flatnonzero(own[a:z] == x[a]) for x in (i, j))
+                if not len(left) or not len(right):
+                    continue
+                n, m = (np.array([len(found[y]) for y in x], np.int64) for x in (left, right))
+                are = alike(common([found[y] for y in left], [found[y] for y in right]), n[:, None], m[None, :], part)
+                if i[a] == j[a]:
+                    np.fill_diagonal(are, False)
+                else:
+                    ks.append(k[right])
+                    ns.append(are.sum(0))
+                ks.append(k[left])
+                ns.append(are.sum(1))
+            if ks:
+                yield pa.record_batch({"k": np.concatenate(ks), "links": np.concatenate(ns)})
+
+    return scan
+
+
+def degrees(comps: DataFrame, texts: DataFrame, gram: int, part: tuple[int, int]) -> DataFrame:
+    """(class, k_links): links of each set. Both ends of a link are in one component, so all pairs of a component are
+    compared, dealt out by pairs of its blocks; pairs are counted where they are compared and no row is made of them."""
+    many = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = comps.join(many, "comp").select("k", "comp", "blocks", F.pmod(F.xxhash64("k"), "blocks").alias("own"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("k", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.join(texts, "k").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    counted = rows.mapInArrow(linked(gram, part), "k long, links long")
+    return counted.groupBy(F.col("k").alias("class")).agg(F.sum("links").alias("k_links"))
+
+
 def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4)) -> DataFrame:
     """Link documents whose n-gram sets have |A & B| * part[1] >= |A | B| * part[0], and return one row a
-    document: doc_id, n_shingles, class_id, component_id and k_links (links found to other classes).
+    document: doc_id, n_shingles, class_id, component_id and k_links (how many other classes it is linked with).
 
     docs has doc_id and text; other columns are ignored. part is 3/4: the rounds above rest on it.
     Letters A-Z are lower-cased. A null text or one without words has the empty set and is linked
@@ -213,10 +281,9 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
         links = new if links is None else links.union(new)
         if new.limit(1).count():
             comps = components(links)
-    both = links.union(links.select("b", "a")) if links is not None else spark.createDataFrame([], "a long, b long")
-    degree = both.groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("k_links"))
     if comps is None:
         comps = spark.createDataFrame([], "k long, comp long")
+    degree = degrees(comps, texts, gram, part)
     result = classes.join(comps.withColumnRenamed("k", "class"), "class", "left").join(degree, "class", "left")
     result = result.select("k", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"), F.coalesce("k_links", F.lit(0)).alias("k_links"))
     if unique:
@@ -230,4 +297,4 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     from quarry.llm.common import read
 
-    return jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "k_links")

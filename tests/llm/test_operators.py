@@ -136,6 +136,32 @@ def test_jaccard_of_many_near_copies(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join(docs).collect()} == want
 
 
+def links_by_pairs(rows):
+    def grams(t):
+        w = [x.lower() for x in t.split()]
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+
+    known = {d: grams(t) for d, t in rows}
+    classes = [x for x in set(known.values()) if x]
+    return {d: sum(x != y and 4 * len(x & y) >= 3 * len(x | y) for y in classes) if x else 0 for d, x in known.items()}
+
+
+def test_jaccard_counts_all_links(spark):
+    r = random.Random(8)
+    rows = []
+    for size, n in ((60, 300), (90, 3), (70, 40)):
+        base = [f"w{r.randrange(10**6)}" for _ in range(size)]
+        for _ in range(n):
+            copy = list(base)
+            for at in r.sample(range(size), r.randrange(0, 3)):
+                copy[at] = f"c{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = links_by_pairs(rows)
+    assert sum(want.values()) > 10_000
+    assert {x.doc_id: x.k_links for x in jaccard_join(docs).collect()} == want
+
+
 @pytest.mark.parametrize("limit", [3, 8, 200_000])
 def test_one_order_of_ngrams_over_cut_runs(limit, monkeypatch):
     monkeypatch.setattr(B, "RUN", limit, raising=False)
