@@ -60,12 +60,23 @@ def encoder(path: str):
     return lambda text: found.encode(text, add_special_tokens=False).ids
 
 
+def marked(path: str):
+    """The file's added tokens as bytes, and a function from a text to its ids as the library gives them, added tokens being themselves."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    marks = [t.content.encode() for t in found.get_added_tokens_decoder().values() if t.content]
+    return marks, lambda text: found.encode(text, add_special_tokens=False).ids
+
+
 class Encoder:
     """Token ids of texts. The tokenizer never joins a character with white space after it, so a text is cut before
-    each run of ASCII white space and each different part is encoded once and remembered, up to CACHE of them."""
+    each run of ASCII white space and each different part is encoded once and remembered, up to CACHE of them. With added, a text that holds an added
+    token of the file goes to the library whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.encode = encoder(path)
+        self.marks, self.whole = marked(path) if added else ((), None)
         self.forget()
 
     def forget(self):
@@ -107,15 +118,17 @@ class Encoder:
         bounds = np.append(0, np.cumsum(n))[first]
         for i in range(len(off) - 1):
             text = raw[off[i] : off[i + 1]]
-            if any(x in text for x in WIDE):
+            if any(x in text for x in self.marks):
+                yield np.array(self.whole(text.decode("utf-8", "replace")), np.uint32)
+            elif any(x in text for x in WIDE):
                 yield np.array(self.encode(text.decode("utf-8", "replace")), np.uint32)
             else:
                 yield out[bounds[i] : bounds[i + 1]]
 
 
-def cut_up(path: str, capacity: int, end: int):
+def cut_up(path: str, capacity: int, end: int, added: bool):
     def scan(batches):
-        enc = Encoder(path)
+        enc = Encoder(path, added)
         for batch in batches:
             keys, rows = batch.column(0).to_numpy(), []
             for i, _, buf, off in B.blocks(batch):
@@ -273,11 +286,11 @@ def places(steps: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {s: np.array(x, np.int64) for s, x in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, added: bool = False) -> DataFrame:
     """Pack every document into sequences of at most capacity tokens.
 
     docs has doc_id and text; other columns are ignored. tokenizer is the path of a tokenizer file
-    that all executors have. Returns a row for each piece: doc_id, piece, start (ids of the document before
+    that all executors have; its added tokens are ordinary text, or with added have their own ids, as the library gives by default. Returns a row for each piece: doc_id, piece, start (ids of the document before
     it), length, ids_crc32 (of its ids as little-endian unsigned 32-bit), sequence_id and offset in the sequence. A
     null or empty text is the end id alone. Only documents over capacity are cut, so that all pieces but
     the first are full. Null and repeated ids: see common.keyed; rows equal in id and text are each packed.
@@ -288,7 +301,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) ->
         kd = kd.withColumn("again", F.row_number().over(Window.partitionBy("k").orderBy("text")))
         kd = written(kd.withColumn("key", F.col("k") * (kd.agg(F.max("again")).first()[0] or 1) + F.col("again")))
         names, kd = kd.select(F.col("key").alias("k"), "doc_id"), kd.select(F.col("key").alias("k"), "text")
-    pieces = written(kd.select("k", "text").mapInArrow(cut_up(tokenizer, capacity, end), PIECES))
+    pieces = written(kd.select("k", "text").mapInArrow(cut_up(tokenizer, capacity, end, added), PIECES))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(SALTS)))
     tally = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     tally = written(tally.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))))
@@ -323,4 +336,4 @@ def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
     from quarry.llm.common import read
 
-    return pack(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), added=True)

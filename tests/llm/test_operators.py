@@ -222,6 +222,18 @@ def test_packing(plain):
     assert len(bins) <= -(-total // 64) + 1
 
 
+def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>\u3000x"), (3, "plain text"), (4, "<|endoftext|")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {d: t.encode(x, add_special_tokens=False).ids + [2] for d, x in rows}
+    assert 50256 in want[1]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.op5_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert got == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in want.items()}
+
+
 def test_plan_holds_every_item():
     r = np.random.default_rng(3)
     for n in (0, 1, 7, 5000):
