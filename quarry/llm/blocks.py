@@ -163,10 +163,10 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64), len(s))
 
 
-def runs(batches, keys: list[str], divisible=lambda batch: True):
+def runs(batches, keys: list[str], divisible=lambda batch: True, most: int | None = None):
     """Record batches of rows sorted by keys, cut anew so that equal keys stay together; with (batch, goes
-    on from the one before, goes on in the next). Only divisible runs of over RUN rows are cut."""
-    held = None
+    on from the one before, goes on in the next). Only divisible runs of over most (RUN) rows are cut."""
+    held, most = None, most or RUN
 
     def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
         return all(a.column(k)[i].as_py() == b.column(k)[j].as_py() for k in keys)
@@ -191,7 +191,7 @@ def runs(batches, keys: list[str], divisible=lambda batch: True):
             at = int(cut[-1]) + 1
             yield held.slice(0, at), before, False
             held, before = pa.Table.from_batches([held.slice(at), batch]).combine_chunks().to_batches()[0], False
-        elif held.num_rows < RUN or not divisible(held):
+        elif held.num_rows < most or not divisible(held):
             held = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         else:
             yield held, before, True

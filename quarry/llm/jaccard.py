@@ -1,15 +1,18 @@
 """N-gram Jaccard join by vertical partitioning of a global n-gram order.
 
 A document is its set of distinct word n-grams, known by 64-bit hashes; documents with one set are one
-class. The n-grams stand in one global order, and a document's lower half of it has to share n-grams with a
-partner's: at 3/4, as many as a quarter of its set. That leaves the classes that can have partners, and of these only
-sets of which three quarters are repeated go on; their repeated n-grams, rarest first, give candidates. Each candidate is compared with a pivot of its n-gram's
-group, overlaps are counted in fragments of the order and summed per pair, and groups that then hold more
+class. The n-grams stand in one global order, which is cut into fragments. First the candidates: a document's lower
+half of the order has to share n-grams with a partner's, at 3/4 as many as a quarter of its set. That leaves the classes
+that can have partners, and of these only sets of which three quarters are repeated go on; their repeated n-grams, rarest
+first, name candidates. The sets that are left are stored by fragment. An overlap is counted
+fragment by fragment, each from its own rows, and the parts are summed per pair: no row holds a pair's whole sets.
+
+Candidates of one n-gram are first compared with a pivot of its group, and groups that then hold more
 than one component go on with more pivots, 64 times as many each round, until every group is settled. A set's
 overlap with its first pivot, its home, bounds its overlap with other sets of that home, and pairs that cannot reach
 the threshold by this bound are not compared. Nor is a pair compared for an n-gram so late in both sets' orders that,
 were it the first they share, the rest could not reach the threshold: for the first they do share, a link's rest can.
-These links give the components. All links are then counted inside them, block against block.
+These links give the components. All links are then counted inside them, block against block and again fragment by fragment.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from quarry.llm import blocks as B
 from quarry.llm.common import components, keyed, release, ship, written
 
-FRAGMENTS = 4
+FRAGMENTS = 4  # of the global order, equal ranges of hashes
 BLOCK = 128  # sets of a component that one task compares with as many others
 WIDTH = 4096  # n-grams of a slice of two blocks' matrices
 MANY = 1 << 40  # stands for the count of ids of a run too long for one piece
@@ -78,61 +81,74 @@ def lowest(gram: int, part: tuple[int, int], share: int):
     return scan
 
 
-def shared(batches):
-    """Of rows sorted by h and id: (id, h, df) where df different ids have h, two or more. A run that is cut has df
-    MANY in every piece, so that (df, h) is one order for all, and its ids count over the cuts."""
-    one = last = None  # of a run that goes on: its only id so far, held back, and its last id
-    for batch, before, after in B.runs(batches, ["h"]):
-        h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if before and one is not None:
-            h, d = np.append(h[:1], h), np.append(one, d)
-        new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
-        known = before and one is None
-        if known:
-            new[0] = d[0] != last
-        key, last = h[0], d[-1]
-        h, d = h[new], d[new]
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        df = np.diff(np.append(start, len(h)))
-        df = np.repeat(df, df)
-        if before or after:
-            mine = h == key
-            several = known or np.count_nonzero(mine) > 1
-            df[mine] = MANY if several else 1
-            one = None if several else last
-        yield pa.record_batch({"id": d[df > 1], "h": h[df > 1], "df": df[df > 1]})
-
-
-def met(batches):
+def shared(most: int | None = None):
+    """Of rows sorted by h and id: (id, h, df) where df different ids have h, two or more. A run of over most rows is
+    cut and has df MANY in every piece, so that (df, h) is one order for all, and its ids count over the cuts."""
+
+    def scan(batches):
+        one = last = None  # of a run that goes on: its only id so far, held back, and its last id
+        for batch, before, after in B.runs(batches, ["h"], most=most):
+            h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if before and one is not None:
+                h, d = np.append(h[:1], h), np.append(one, d)
+            new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
+            known = before and one is None
+            if known:
+                new[0] = d[0] != last
+            key, last = h[0], d[-1]
+            h, d = h[new], d[new]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            df = np.diff(np.append(start, len(h)))
+            df = np.repeat(df, df)
+            if before or after:
+                mine = h == key
+                several = known or np.count_nonzero(mine) > 1
+                df[mine] = MANY if several else 1
+                one = None if several else last
+            yield pa.record_batch({"id": d[df > 1], "h": h[df > 1], "df": df[df > 1]})
+
+    return scan
+
+
+def met(most: int | None = None):
     """As shared, but (id, how often) once for each id of a batch."""
-    for batch in shared(batches):
-        ids, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
-        yield pa.record_batch({"id": ids, "m": n})
 
+    def scan(batches):
+        for batch in shared(most)(batches):
+            ids, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            yield pa.record_batch({"id": ids, "m": n})
+
+    return scan
 
-def overlaps(gram: int):
-    """Pairs with both texts to (a, b, n_a, n_b, fragment, part of the overlap)."""
+
+def fragments(gram: int):
+    """Rows (k, n, f, grams): a set's n-grams in each fragment of the order that it reaches, with the size of the set."""
 
     def scan(batches):
         for batch in batches:
-            left = [x for _, x in sets(batch.select(["text_a"]).rename_columns(["text"]), gram)]
-            right = [x for _, x in sets(batch.select(["text_b"]).rename_columns(["text"]), gram)]
-            both = [np.intersect1d(x, y, assume_unique=True) for x, y in zip(left, right, strict=True)]
-            count = np.array([np.bincount((x >> np.uint64(62)).astype(np.int64), minlength=FRAGMENTS) for x in both], np.int64).reshape(-1)
-            rows = np.repeat(np.arange(len(both)), FRAGMENTS)
-            a, b = batch.column(0).to_numpy()[rows], batch.column(1).to_numpy()[rows]
-            sizes = [np.array([len(x) for x in y], np.int64)[rows] for y in (left, right)]
-            yield pa.record_batch({"a": a, "b": b, "n_a": sizes[0], "n_b": sizes[1], "part": count})
+            keys, ks, ns, fs, lists = batch.column(0).to_numpy(), [], [], [], []
+            for row, x in sets(batch, gram):
+                cut = np.searchsorted(x, [np.uint64(i * (2**64 // FRAGMENTS)) for i in range(1, FRAGMENTS)])
+                for f, part in enumerate(np.split(x, cut)):
+                    if len(part):
+                        ks.append(keys[row])
+                        ns.append(len(x))
+                        fs.append(f)
+                        lists.append(B.signed(part))
+            off = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+            values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            yield pa.record_batch({"k": pa.array(ks, pa.int64()), "n": pa.array(ns, pa.int64()), "f": pa.array(fs, pa.int32()), "grams": pa.ListArray.from_arrays(pa.array(off), pa.array(values))})
 
     return scan
 
 
-def measured(pairs: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
-    """The pairs (a, b) with the sizes of their sets and of the overlap: (a, b, n_a, n_b, o)."""
-    with_a = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    parts = with_b.mapInArrow(overlaps(gram), "a long, b long, n_a long, n_b long, part long")
-    return parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("o"))
+def measured(pairs: DataFrame, frags: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share n-grams, with the sizes of their sets and of the overlap: (a, b, n_a, n_b, o).
+    Each fragment's part of an overlap is counted from that fragment's rows alone; the parts are then added up."""
+    left = frags.select(F.col("k").alias("a"), "f", F.col("n").alias("n_a"), F.col("grams").alias("left"))
+    right = frags.select(F.col("k").alias("b"), "f", F.col("n").alias("n_b"), F.col("grams").alias("right"))
+    parts = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("left", "right")).alias("part"))
+    return parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("o")).filter("o > 0")
 
 
 def alike(overlap, n, m, part: tuple[int, int]):
@@ -165,47 +181,62 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(gram: int, part: tuple[int, int]):
-    """Of sets with their texts, sorted by comp, i and j, two blocks of a component: (k, links between the blocks)."""
+def linked(part: tuple[int, int]):
+    """Of the fragments of sets, sorted by comp, i and j, two blocks of a component, and by f: (k, links between the
+    blocks). A fragment's overlaps of all pairs are one partial matrix, and the matrices of the fragments are added up."""
+
+    def counted(i: int, j: int, sides: list[dict], total: np.ndarray):
+        (rows, n), (cols, m) = ((np.array(list(s)), np.array([x[1] for x in s.values()], np.int64)) for s in sides)
+        are = alike(total[: len(rows), : len(cols)], n[:, None], m[None, :], part)
+        if i == j:
+            np.fill_diagonal(are, False)
+            return rows, are.sum(1)
+        return np.append(rows, cols), np.append(are.sum(1), are.sum(0))
 
     def scan(batches):
-        for batch, _, _ in B.runs(batches, ["comp", "i", "j"], lambda _: False):
-            found = [x for _, x in sets(batch, gram)]
-            comp, i, j, own, k = (batch.column(c).to_numpy() for c in ("comp", "i", "j", "own", "k"))
-            new = np.flatnonzero(np.append(True, (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-            ks, ns = [], []
+        now, sides, total = None, [{}, {}], np.zeros((0, 0), np.int64)
+        for batch, _, _ in B.runs(batches, ["comp", "i", "j", "f"], lambda _: False):
+            comp, i, j, f, own, k, size = (batch.column(c).to_numpy() for c in ("comp", "i", "j", "f", "own", "k", "n"))
+            grams = batch.column(batch.schema.get_field_index("grams"))
+            values, off = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
+            new = np.flatnonzero(np.append(True, (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (f[1:] != f[:-1])))
             for a, z in zip(new, np.append(new[1:], len(k)), strict=True):
-                left, right = (a + np.flatnonzero(own[a:z] == x[a]) for x in (i, j))
-                if not len(left) or not len(right):
-                    continue
-                n, m = (np.array([len(found[y]) for y in x], np.int64) for x in (left, right))
-                are = alike(common([found[y] for y in left], [found[y] for y in right]), n[:, None], m[None, :], part)
-                if i[a] == j[a]:
-                    np.fill_diagonal(are, False)
-                else:
-                    ks.append(k[right])
-                    ns.append(are.sum(0))
-                ks.append(k[left])
-                ns.append(are.sum(1))
-            if ks:
-                yield pa.record_batch({"k": np.concatenate(ks), "links": np.concatenate(ns)})
+                group = (comp[a], i[a], j[a])
+                if group != now:
+                    if now and sides[0] and sides[1]:
+                        ks, ns = counted(now[1], now[2], sides, total)
+                        yield pa.record_batch({"k": ks, "links": ns})
+                    now, sides, total = group, [{}, {}], np.zeros((0, 0), np.int64)
+                here = [a + np.flatnonzero(own[a:z] == x) for x in group[1:]]
+                for side, rows in zip(sides, here, strict=True):
+                    for r in rows:
+                        side.setdefault(int(k[r]), (len(side), int(size[r])))
+                grown = np.zeros((len(sides[0]), len(sides[1])), np.int64)
+                grown[: total.shape[0], : total.shape[1]] = total
+                total = grown
+                if len(here[0]) and len(here[1]):
+                    at = [[side[int(k[r])][0] for r in rows] for side, rows in zip(sides, here, strict=True)]
+                    total[np.ix_(*at)] += common(*[[values[off[r] : off[r + 1]] for r in rows] for rows in here])
+        if now and sides[0] and sides[1]:
+            ks, ns = counted(now[1], now[2], sides, total)
+            yield pa.record_batch({"k": ks, "links": ns})
 
     return scan
 
 
-def degrees(comps: DataFrame, texts: DataFrame, gram: int, part: tuple[int, int]) -> DataFrame:
+def degrees(comps: DataFrame, frags: DataFrame, part: tuple[int, int]) -> DataFrame:
     """(class, k_links): links of each set. Both ends of a link are in one component, so all pairs of a component are
     compared, dealt out by pairs of its blocks; pairs are counted where they are compared and no row is made of them."""
     many = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     own = comps.join(many, "comp").select("k", "comp", "blocks", F.pmod(F.xxhash64("k"), "blocks").alias("own"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("k", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.join(texts, "k").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    counted = rows.mapInArrow(linked(gram, part), "k long, links long")
+    rows = dealt.join(frags, "k").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "f")
+    counted = rows.mapInArrow(linked(part), "k long, links long")
     return counted.groupBy(F.col("k").alias("class")).agg(F.sum("links").alias("k_links"))
 
 
-def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4)) -> DataFrame:
+def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4), most: int | None = None) -> DataFrame:
     """Link documents whose n-gram sets have |A & B| * part[1] >= |A | B| * part[0], and return one row a
     document: doc_id, n_shingles, class_id, component_id and k_links (how many other classes it is linked with).
 
@@ -213,7 +244,8 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
     Letters A-Z are lower-cased. A null text or one without words has the empty set and is linked
     with nothing; one with fewer words than gram has one n-gram, all its words. class_id and component_id are the smallest doc_id
     with the same set and reachable by links. Null and repeated ids: see common.keyed; rows equal in id and text
-    are one document. No pair is lost: caps and samples are not used anywhere.
+    are one document. No pair is lost: caps and samples are not used anywhere. most: rows of one n-gram that a
+    task holds at once (blocks.RUN); the result does not depend on it.
     """
     if part != (3, 4):
         raise ValueError("the candidate rounds are worked out for 3/4")
@@ -227,7 +259,7 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
     classes = written(info.join(same, ["n", "a", "b"], "left").select("k", "n", "a", F.coalesce("class", "k").alias("class")))
     # the lower half of the order: a partner shares n-grams there, as many as a quarter of the set or more
     low = text.mapInArrow(lowest(gram, part, 2), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
-    hit = low.mapInArrow(met, "id long, m long").groupBy(F.col("id").alias("a")).agg(F.sum("m").alias("m"))
+    hit = low.mapInArrow(met(most), "id long, m long").groupBy(F.col("id").alias("a")).agg(F.sum("m").alias("m"))
     able = classes.filter("n > 0 and k = class").join(hit, "a").filter(F.col("m") * 4 >= F.col("n"))
     able = written(able.select("k", "n"))
     del low, hit
@@ -236,7 +268,7 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
     release(spark)
     # the whole order: three quarters of the set are repeated; of these, rarest first, the first are candidates
     low = texts.select("k", "text").mapInArrow(lowest(gram, part, 1), "h long, id long").repartition("h").sortWithinPartitions("h", "id")
-    found = low.mapInArrow(shared, "id long, h long, df long").groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("df", "h")).alias("grams"))
+    found = low.mapInArrow(shared(most), "id long, h long, df long").groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("df", "h")).alias("grams"))
     most = F.ceil(F.col("n") * 3 / 4)
     kept = texts.select("k", "n").join(found, "k").filter(F.size("grams") >= most)
     kept = kept.select("k", "n", (F.col("n") - F.size("grams")).alias("alone"), F.slice(F.array_sort("grams"), F.lit(1), F.greatest(F.size("grams") - most + 1, F.lit(0)).cast("int")).alias("grams"))
@@ -244,7 +276,8 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
     groups = written(kept.select("k", "n", "alone", F.posexplode("grams").alias("pos", "g")).select(F.col("g.h").alias("h"), "k", "n", "alone", "pos", none.alias("home"), none.alias("inside")))
     del low, found, kept
     release(spark)
-    texts = written(texts.join(groups.select("k").distinct(), "k").select("k", "text"))
+    frags = texts.join(groups.select("k").distinct(), "k").select("k", "text").mapInArrow(fragments(gram), "k long, n long, f int, grams array<long>")
+    frags = written(frags)
     comps = tested = links = None
     pivots = 1
     while True:
@@ -272,7 +305,7 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
             groups = rows.filter(F.col("rank") > pivots).drop("comp", "rank")
             pivots *= 64
         pairs = written(pairs)
-        new = written(measured(pairs, texts, gram))
+        new = written(measured(pairs, frags))
         if tested is None:
             at = homes.select("k", F.col("p").alias("home"), F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).join(new, ["a", "b"])
             groups = written(groups.drop("home", "inside").join(at.select("k", "home", F.col("o").alias("inside")), "k", "left"))
@@ -283,7 +316,7 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4))
             comps = components(links)
     if comps is None:
         comps = spark.createDataFrame([], "k long, comp long")
-    degree = degrees(comps, texts, gram, part)
+    degree = degrees(comps, frags, part)
     result = classes.join(comps.withColumnRenamed("k", "class"), "class", "left").join(degree, "class", "left")
     result = result.select("k", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"), F.coalesce("k_links", F.lit(0)).alias("k_links"))
     if unique:

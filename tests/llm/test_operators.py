@@ -162,9 +162,33 @@ def test_jaccard_counts_all_links(spark):
     assert {x.doc_id: x.k_links for x in jaccard_join(docs).collect()} == want
 
 
+@pytest.mark.parametrize("most", [3, 20])
+def test_jaccard_with_hot_ngrams_cut(spark, most):
+    """An n-gram of every document, runs of it cut every few rows, and small Arrow batches, against brute force."""
+    r = random.Random(most)
+    common = "all of them hold this line here "
+    rows = []
+    for _ in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(30, 60))]
+        for _ in range(r.randrange(1, 8)):
+            copy = list(base)
+            for at in r.sample(range(len(base)), r.randrange(0, 3)):
+                copy[at] = f"c{r.randrange(10**6)}"
+            rows.append((len(rows), common + " ".join(copy)))
+    rows += [(len(rows) + i, common) for i in range(40)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    try:
+        got = jaccard_join(docs, most=most).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == components_by_pairs(rows)
+    assert {x.doc_id: x.k_links for x in got} == links_by_pairs(rows)
+
+
 @pytest.mark.parametrize("limit", [3, 8, 200_000])
-def test_one_order_of_ngrams_over_cut_runs(limit, monkeypatch):
-    monkeypatch.setattr(B, "RUN", limit, raising=False)
+def test_one_order_of_ngrams_over_cut_runs(limit):
     r = random.Random(limit)
     rows = [(7, i) for i in range(450_001)] if limit == 200_000 else []
     rows += [(h, r.choice([h, h, h + 1, r.randrange(60)])) for h in range(8, 40) for _ in range(r.randrange(1, 50))]
@@ -172,7 +196,7 @@ def test_one_order_of_ngrams_over_cut_runs(limit, monkeypatch):
     h, d = (np.array(x, np.int64) for x in zip(*sorted(rows), strict=True))
     step = 10_000 if limit == 200_000 else 4
     batches = [pa.record_batch({"h": h[i : i + step], "id": d[i : i + step]}) for i in range(0, len(h), step)]
-    got = [x for b in jaccard.shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    got = [x for b in jaccard.shared(limit)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     ids = defaultdict(set)
     for a, b in rows:
         ids[a].add(b)
