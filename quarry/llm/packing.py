@@ -14,7 +14,6 @@ import bisect
 import json
 import zlib
 from array import array
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,9 @@ from pyspark.sql import functions as F
 from quarry.llm import blocks as B
 from quarry.llm.common import keyed, ship, written
 
-SALTS = 64
+SALTS = 64  # at least, of the pieces of one length
+GROUPS = 48  # of large items, of equal cardinality
+ROUNDS = 400  # of column generation, at most
 CACHE = 200_000
 WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")  # white space beyond ASCII
 PIECES = "k long, piece int, start long, length int, ids_crc32 long"
@@ -146,11 +147,6 @@ def cut_up(path: str, capacity: int, end: int, added: bool):
     return scan
 
 
-def configurations(sizes: list[int], capacity: int, few: int) -> list[tuple[int, ...]]:
-    """All multisets of at most few group sizes that fit."""
-    return [c for k in range(1, few + 1) for c in combinations_with_replacement(range(len(sizes)), k) if sum(sizes[i] for i in c) <= capacity]
-
-
 def grouped(counts: dict[int, int], large: int, n: int) -> list[dict[int, int]]:
     """Items of at least large, longest first, in n groups of equal cardinality: {length: items} each."""
     todo = [[s, counts[s]] for s in sorted(counts, reverse=True) if s >= large and counts[s]]
@@ -168,59 +164,96 @@ def grouped(counts: dict[int, int], large: int, n: int) -> list[dict[int, int]]:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 24, few: int = 3, large: int | None = None) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths in one sequence, sequences like it)] that hold exactly counts items of each length.
-
-    The work depends on the number of lengths and groups, not of items."""
-    large = large or capacity // (few + 1) + 1
-    found = grouped(counts, large, groups)
-    sizes = [max(g) for g in found]
-    left = [sum(g.values()) for g in found]
-    # few-size configurations, fullest first: each takes as many sequences as its scarcest group allows
-    shapes: list[tuple[tuple[int, ...], int]] = []
-    for c in sorted(configurations(sizes, capacity, few), key=lambda c: (-sum(sizes[i] for i in c), len(c))):
-        need = {i: c.count(i) for i in c}
-        times = min(left[i] // x for i, x in need.items())
-        if times:
-            shapes.append((c, times))
-            for i, x in need.items():
-                left[i] -= x * times
-    # substitute actual items: places of a group take its items from the longest
-    stock = [sorted(g.items(), reverse=True) for g in found]
-    at = [[0, 0] for _ in found]
+def worthiest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The configuration of most worth and that worth: an unbounded knapsack over the room used."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for used in range(int(sizes[-1]), capacity + 1):
+        n = int(np.searchsorted(-sizes, -used))  # sizes come longest first
+        values = best[used - sizes[n:]] + worth[n:]
+        i = int(np.argmax(values))
+        best[used], last[used] = (values[i], n + i) if values[i] > best[used - 1] + 1e-12 else (best[used - 1], -1)
+    out, used = np.zeros(len(sizes)), capacity
+    while used > 0:
+        if last[used] < 0:
+            used -= 1
+            continue
+        out[last[used]] += 1
+        used -= sizes[last[used]]
+    return out, float(best[-1])
+
+
+def configurations(groups: list[dict[int, int]], capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """Whole configurations of groups (with how many sequences), of a least number of sequences for all items.
+
+    An item counts at the longest of its group. The linear program over all configurations is solved by column generation:
+    the duals of the present basis price groups, a knapsack finds the worthiest configuration, and it enters while it is
+    worth more than one sequence. Fractions are cut off; what they leave is for best fit."""
+    if not groups:
+        return []
+    sizes, need = np.array([max(g) for g in groups]), np.array([sum(g.values()) for g in groups], float)
+    basis = np.diag((capacity // sizes).astype(float))
+    amount = need / basis.diagonal()
+    for _ in range(rounds):
+        worth = np.linalg.solve(basis.T, np.ones(len(basis)))
+        new, top = worthiest(sizes, np.maximum(worth, 0), capacity)
+        if top <= 1 + 1e-6:
+            break
+        step = np.linalg.solve(basis, new)
+        ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(np.argmin(ratio))
+        amount = np.maximum(amount - ratio[out] * step, 0)
+        amount[out] = ratio[out]
+        basis[:, out] = new
+    found = [(tuple(i for i in range(len(sizes)) for _ in range(int(basis[i, j]))), int(amount[j] + 1e-6)) for j in range(len(basis))]
+    return [(c, n) for c, n in found if n]
+
+
+def substituted(shapes: list[tuple[tuple[int, ...], int]], groups: list[dict[int, int]]) -> tuple[dict[tuple[int, ...], int], dict[int, int]]:
+    """({lengths in a sequence: sequences like it}, {length: items left}): actual items in the places of their groups,
+    from the longest; places that no item is left for stay free."""
+    stock = [[list(x) for x in sorted(g.items())] for g in groups]  # the longest last
     open_: dict[tuple[int, ...], int] = {}
     for c, times in shapes:
         while times:
-            run, moves = times, {}
-            for i in set(c):
-                j, used = at[i]
-                run = min(run, max(1, (stock[i][j][1] - used) // c.count(i)))
-            lengths = []
-            for i in c:
-                for _ in range(1):
-                    lengths.append(i)
-            actual = []
-            if all(stock[i][at[i][0]][1] - at[i][1] >= c.count(i) * run for i in set(c)):
-                for i in c:
-                    actual.append(stock[i][at[i][0]][0])
-                for i in set(c):
-                    moves[i] = c.count(i) * run
-            else:  # a length runs out within one sequence
-                run = 1
+            heads = {i: stock[i][-1] for i in set(c) if stock[i]}
+            run = min([times] + [x[1] // c.count(i) for i, x in heads.items()])
+            if run and len(heads) == len(set(c)):  # as many sequences alike as the heads of the stock allow
+                lengths = [heads[i][0] for i in c]
+                for i, x in heads.items():
+                    x[1] -= run * c.count(i)
+            else:  # a length runs out within this sequence
+                run, lengths = 1, []
                 for i in c:
-                    while stock[i][at[i][0]][1] == at[i][1]:
-                        at[i] = [at[i][0] + 1, 0]
-                    actual.append(stock[i][at[i][0]][0])
-                    at[i][1] += 1
-            for i, x in moves.items():
-                at[i][1] += x
+                    while stock[i] and not stock[i][-1][1]:
+                        stock[i].pop()
+                    if stock[i]:
+                        lengths.append(stock[i][-1][0])
+                        stock[i][-1][1] -= 1
             for i in set(c):
-                while at[i][0] < len(stock[i]) - 1 and stock[i][at[i][0]][1] == at[i][1]:
-                    at[i] = [at[i][0] + 1, 0]
-            key = tuple(sorted(actual, reverse=True))
+                while stock[i] and not stock[i][-1][1]:
+                    stock[i].pop()
+            key = tuple(sorted(lengths, reverse=True))
             open_[key] = open_.get(key, 0) + run
             times -= run
-    return best_fit(open_, {s: c for s, c in counts.items() if s < large and c}, capacity)
+    left: dict[int, int] = {}
+    for g in stock:
+        for s, n in g:
+            left[s] = left.get(s, 0) + n
+    return {c: n for c, n in open_.items() if c}, left
+
+
+def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS, large: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """[(lengths in one sequence, sequences like it)] that hold exactly counts items of each length.
+
+    Items of at least large (7/16 of the capacity) are grouped; a lower limit groups more of them and wastes more, as
+    what lengths are rounded up by then exceeds what small items can fill. The work depends on the number of lengths and groups, not of items."""
+    large = large or capacity * 7 // 16
+    found = grouped(counts, large, groups)
+    open_, left = substituted(configurations(found, capacity), found)
+    for s, n in counts.items():
+        if s < large and n:
+            left[s] = left.get(s, 0) + n
+    return best_fit(open_, left, capacity)
 
 
 def best_fit(open_: dict[tuple[int, ...], int], small: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -255,20 +288,6 @@ def best_fit(open_: dict[tuple[int, ...], int], small: dict[int, int], capacity:
     return [(c, n) for room in sorted(by_room) for c, n in sorted(by_room[room].items())]
 
 
-def best_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The shortest of the plans over a few thresholds for large."""
-    low = -(-sum(s * c for s, c in counts.items()) // capacity)
-    best = None
-    for large in sorted({capacity // 4 + 1, capacity // 3 + 1, capacity // 2 + 1, capacity}):
-        for groups in (24, 1000) if large > capacity // 3 + 1 else (24,):
-            now = plan(counts, capacity, groups if large <= capacity // 2 else min(groups, len(counts) or 1), 3 if large <= capacity // 3 else 2, large)
-            if best is None or sum(n for _, n in now) < sum(n for _, n in best):
-                best = now
-            if sum(n for _, n in best) <= low:
-                return best
-    return best
-
-
 def places(steps: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """For each length, rows (rank from, sequence from, offset) in order of rank: the item of rank r in a
     row is in sequence r - rank from + sequence from."""
@@ -291,7 +310,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, ad
 
     docs has doc_id and text; other columns are ignored. tokenizer is the path of a tokenizer file
     that all executors have; its added tokens are ordinary text, or with added have their own ids, as the library gives by default. Returns a row for each piece: doc_id, piece, start (ids of the document before
-    it), length, ids_crc32 (of its ids as little-endian unsigned 32-bit), sequence_id and offset in the sequence. A
+    it), length, ids_crc32 (of its ids as little-endian unsigned 32-bit), sequence_id (negative: a full piece) and offset in the sequence. A
     null or empty text is the end id alone. Only documents over capacity are cut, so that all pieces but
     the first are full. Null and repeated ids: see common.keyed; rows equal in id and text are each packed.
     """
@@ -302,13 +321,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, ad
         kd = written(kd.withColumn("key", F.col("k") * (kd.agg(F.max("again")).first()[0] or 1) + F.col("again")))
         names, kd = kd.select(F.col("key").alias("k"), "doc_id"), kd.select(F.col("key").alias("k"), "text")
     pieces = written(kd.select("k", "text").mapInArrow(cut_up(tokenizer, capacity, end, added), PIECES))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(SALTS)))
+    salts = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = pieces.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(salts)))
     tally = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     tally = written(tally.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))))
     counts = {r[0]: r[1] for r in tally.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
-    full = counts.pop(capacity, 0)
-    steps = best_plan(counts, capacity)
-    table = places([((capacity,), full)] * bool(full) + steps)
+    steps = plan(counts, capacity)
+    table = places(steps)
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("k", "piece")) - 1
 
     def put(batches):
@@ -325,7 +344,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, ad
 
     ranked = salted.join(tally.select("length", "salt", "before"), ["length", "salt"]).withColumn("r", rank + F.coalesce("before", F.lit(0)))
     placed = ranked.select("length", F.col("r").cast("long"), "k", "piece", "start", "ids_crc32").mapInArrow(put, "sequence_id long, offset long, k long, piece int, start long, ids_crc32 long, length int")
-    placed = placed.select("k", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+    whole = pieces.filter(F.col("length") == capacity)  # a full piece is a sequence by itself
+    whole = whole.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    placed = placed.unionByName(whole).select("k", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
     if unique:
         return placed.withColumnRenamed("k", "doc_id")
     return names.join(placed, "k").drop("k")

@@ -263,13 +263,40 @@ def test_plan_holds_every_item():
     for n in (0, 1, 7, 5000):
         counts = dict(Counter(r.integers(1, 1024, n).tolist()))
         held = Counter()
-        for c, times in packing.best_plan(counts, 1024) or []:
+        for c, times in packing.plan(counts, 1024):
             assert sum(c) <= 1024
             for s in c:
                 held[s] += times
         assert held == counts
 
 
+def test_grouped_configurations_carry_the_plan():
+    counts = dict(Counter(np.random.default_rng(4).integers(1, 1024, 5000).tolist()))
+    groups = packing.grouped(counts, 448, 48)
+    assert max(sum(g.values()) for g in groups) == -(-sum(n for s, n in counts.items() if s >= 448) // 48)
+    found = packing.configurations(groups, 1024)
+    sizes, needs, held = [max(g) for g in groups], [sum(g.values()) for g in groups], Counter()
+    for c, n in found:
+        assert sum(sizes[i] for i in c) <= 1024
+        for i in c:
+            held[i] += n
+    assert all(held[i] <= need for i, need in enumerate(needs))
+    large = sum(needs)
+    assert sum(held.values()) > 0.95 * large  # fractions cut off leave few
+    assert sum(n for c, n in found if len(c) > 1) > 200
+    steps = packing.plan(counts, 1024)
+    assert sum(n for c, n in steps if sum(s >= 448 for s in c) > 1) > 200
+    assert sum(n for _, n in steps) <= 1.02 * sum(s * n for s, n in counts.items()) / 1024
+
+
+def test_configurations_are_of_a_least_number():
+    """Against every way of filling sequences, for few sizes."""
+    for groups, want in (([{60: 4}, {40: 4}], 4), ([{50: 6}], 3), ([{70: 2}, {30: 2}, {20: 3}], 3)):
+        found = packing.configurations(groups, 100)
+        assert sum(n for _, n in found) <= want
+    assert packing.configurations([], 100) == []
+
+
 def test_rules(plain):
     for r in quality_rules(plain).collect():
         t = dict(rows_of(plain))[r.doc_id]
