@@ -12,7 +12,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from quarry.llm import blocks as B  # noqa: E402
-from quarry.llm import jaccard, packing  # noqa: E402
+from quarry.llm import jaccard, mixing, packing  # noqa: E402
 from quarry.llm.bytestrings import bytestring_dedup  # noqa: E402
 from quarry.llm.fingerprints import document_fingerprints  # noqa: E402
 from quarry.llm.jaccard import jaccard_join  # noqa: E402
@@ -313,10 +313,64 @@ def test_rules(plain):
         assert r.base_failed == (len(w) < 10 or 100 * len(marked) > 20 * len(w)) and not (r.base_failed and r.kept)
 
 
-def test_mixing(plain):
-    got = mix_sources(plain).collect()
-    assert len(got) == len(texts()) and all(0 <= r.prob <= 1 for r in got)
-    assert abs(sum(r.tokens * r.prob for r in got) / sum(r.tokens for r in got) - 0.5) < 0.02
+def shares(rows, axis):
+    out, total = defaultdict(float), sum(r.tokens * r.prob for r in rows)
+    for r in rows:
+        out[r[axis]] += r.tokens * r.prob / total
+    return out
+
+
+def test_mixing_meets_targets(spark):
+    """Expected shares of the documents kept, added up from the rows, against the targets that are given."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    targets = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": {"prose": 0.9, "legal": 0.06, "table": 0.03, "contact": 0.01}}
+    got = mixing.mix_sources(docs, 0.2, targets).collect()
+    assert len(got) == docs.count()
+    for axis, goal in targets.items():
+        have = shares(got, axis)
+        assert all(abs(have[c] - g) < 0.005 for c, g in goal.items()), (axis, dict(have))
+    powered = Counter()
+    for r in got:
+        powered[r.source] += r.tokens
+    total = sum(x**0.7 for x in powered.values())
+    assert all(abs(shares(got, "source")[c] - x**0.7 / total) < 0.005 for c, x in powered.items())
+    assert abs(sum(r.tokens for r in got if r.kept) / sum(r.tokens for r in got) - 0.2) < 0.03
+    left = {(r.axis, r.name): r for r in mixing.residuals(docs, 0.2, targets).collect()}
+    assert all(abs(left["lang", c].goal - g) < 1e-9 and abs(left["lang", c].share - shares(got, "lang")[c]) < 1e-6 for c, g in targets["lang"].items())
+
+
+def test_mixing_beyond_reach(plain):
+    """What cannot be reached is given whole, and the report says what is missed; zero targets keep nothing."""
+    got = mixing.mix_sources(plain, 0.9, {"lang": {"en": 1.0}}).collect()
+    assert {r.prob for r in got if r.lang is None and r.tokens} == {0.0} and all(r.prob == 1 for r in got if r.lang == "en" and r.tokens and r.prob)
+    report = {(r.axis, r.name): r for r in mixing.residuals(plain, 0.9, {"source": {"s0": 0.95, "s1": 0.05}}).collect()}
+    assert report["source", "s0"].goal == 0.95 and report["source", "s0"].residual < -0.1 and report["source", None].share == 0
+
+
+def test_mixing_by_joins_is_the_same(plain):
+    one, two = ({r.doc_id: r.prob for r in mixing.mix_sources(plain, 0.4, most=m).collect()} for m in (1000, 2))
+    assert set(one) == set(two) and all(abs(one[d] - two[d]) < 1e-4 for d in one)
+
+
+def test_mixing_of_untidy_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, row string, fit_lang string, draw double, _s int, topic int, kept string"
+    rows = [(None, f"w{i} " * (i % 9), None if i % 2 else "en", "\0" if i % 3 else None, "r", "f", 0.5, 1, 2, "k") for i in range(300)] + [(7, "a b", "en", "x", "r", "f", 0.5, 1, 2, "k")] * 3
+    got = mixing.mix_sources(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 303 and {(r.row, r.fit_lang, r.draw, r._s) for r in got} == {("r", "f", 0.5, 1)}
+    assert len({(r.prob, r.kept) for r in got if r.doc_id == 7}) == 1
+    assert 0.1 < sum(r.kept for r in got if r.doc_id is None) / 300 < 0.75  # null ids draw by text, so not all alike
+    assert len({r.prob for r in got if r.source is None} ^ {r.prob for r in got if r.source == "\0"}) > 0
+
+
+def test_mixing_matches_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    want = sorted(con.sql(mixing.op1_sql()).fetchall(), key=str)
+    got = sorted((tuple(r) for r in mixing.op1_mix_sources(spark, d).collect()), key=str)
+    assert got == want
 
 
 def test_licences(plain):
