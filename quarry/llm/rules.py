@@ -1,21 +1,32 @@
 """Quality rules: counted statistics with fixed limits, then robust multivariate outliers.
 
 Everything is an expression over one document, so the scan needs no shuffle; the vectors of transformed
-statistics are then grouped by language and source. Concentration steps towards the minimum covariance
-determinant start from medians and absolute deviations: each keeps the nearest rows of a group by Mahalanobis distance and
-takes mean and covariance of these. Only sums and quantile sketches of groups are shuffled.
+statistics are then grouped by language and source. The minimum covariance determinant of a group is sought by
+concentration steps from several starts: each step keeps the nearest share of the rows by Mahalanobis distance and
+takes mean and covariance of these, made consistent for normal data; the start that ends with the least determinant
+counts, and is reweighted once. Rows are rejected by a chi-square quantile. Only sums and quantile sketches of groups are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 
-SHARE, STEPS, LEAST, CUT = 0.75, 3, 50, 60.0  # rows kept by a step, steps, rows of a group that has its own estimate, distance limit
-FLOOR = 0.09  # added to each variance: log units below which spread means nothing
-AXES = ("x", "y", "z")
+AXES = ("x", "y", "u", "w")  # word length, symbols, equal lines, repeated words
+SHARE, STEPS, STARTS = 0.75, 2, 3  # rows kept by a step, steps, starts
+PRIOR = 30  # words or lines of ordinary text that a statistic is smoothed with, so that short texts vary no more than long ones
+SHRINK = 50  # rows that the estimate over all rows counts for in that of a group
+# Least variances. Three quarters of ordinary texts have no symbols, equal lines or repeated words at all, so the covariance of
+# these axes is singular: a variance below one squared log unit is raised to it. Word length only where texts are all alike.
+RESOLUTION = {"x": 1e-4, "y": 1.0, "u": 1.0, "w": 1.0}
+# Quantiles of chi-square with four degrees of freedom.
+CHI2 = {0.75: 5.38527, 0.975: 11.14329, 0.999: 18.46683}
+CUT = CHI2[0.999]
+BROADCAST = 100_000  # groups
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -43,47 +54,82 @@ def repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """The columns of docs but text, with the counted statistics and the vector x, y, z."""
+    """The columns of docs but text, with the counted statistics and the vector of AXES."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rest = [c for c in docs.columns if c != "text"]
     words = F.array_remove(F.split(text, SPACES), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     got = docs.select(*rest, let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words"))).alias("s"),
         (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).alias("calls"))
-    n, chars = F.greatest(F.col("s.n_words"), F.lit(1)), F.greatest(F.col("s.word_chars"), F.lit(1))
-    return got.select(*rest, F.col("s.n_words").alias("n_words"), F.col("s.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("s.n_repeat_words").alias("n_repeat_words"),
-        F.log(chars / n).alias("x"), F.log1p(F.col("n_symbols") * 1000 / chars).alias("y"), F.log1p(F.col("calls") * 100 / n).alias("z"))
+        let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"))
+    n, chars = F.col("s.n_words"), F.col("s.word_chars")
+    return got.select(*rest, F.col("s.n_words").alias("n_words"), F.col("s.word_chars").alias("word_chars"), "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("s.n_repeat_words").alias("n_repeat_words"),
+        F.log((chars + 5 * PRIOR) / (n + PRIOR)).alias("x"), F.log1p(F.col("n_symbols") * 1000 / (chars + 5 * PRIOR)).alias("y"),
+        F.log1p(F.col("l.dup") * 100 / (F.col("l.n") + PRIOR)).alias("u"), F.log1p(F.col("s.n_repeat_words") * 100 / (n + PRIOR)).alias("w"))
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the nearest share of four-dimensional normal rows is to be multiplied by."""
+    half = CHI2[share] / 2
+    return share / (1 - math.exp(-half) * (1 + half + half * half / 2))
+
+
+PAIRS = [(a, b) for i, a in enumerate(AXES) for b in AXES[: i + 1]]
+
+
+def whitened(params: DataFrame) -> DataFrame:
+    """params (m_x.., c_xx..) with t_ab, the inverse Cholesky factor of the covariance, and its log determinant."""
+    out = params.withColumns({f"c_{a}{a}": F.greatest(F.col(f"c_{a}{a}"), F.lit(RESOLUTION[a])) for a in AXES})
+    for i, a in enumerate(AXES):
+        for j, b in enumerate(AXES[: i + 1]):
+            rest = F.col(f"c_{a}{b}") - sum((F.col(f"l_{a}{k}") * F.col(f"l_{b}{k}") for k in AXES[:j]), F.lit(0.0))
+            out = out.withColumn(f"l_{a}{b}", F.sqrt(F.greatest(rest, F.lit(RESOLUTION[a] / 100))) if a == b else rest / F.col(f"l_{b}{b}"))
+    for i, a in enumerate(AXES):
+        for j, b in enumerate(AXES[: i + 1]):
+            top = F.lit(1.0) if a == b else -sum((F.col(f"l_{a}{k}") * F.col(f"t_{k}{b}") for k in AXES[j:i]), F.lit(0.0))
+            out = out.withColumn(f"t_{a}{b}", top / F.col(f"l_{a}{a}"))
+    return out.withColumn("log_det", sum((2 * F.log(f"l_{a}{a}") for a in AXES), F.lit(0.0))).drop(*[f"l_{a}{b}" for a, b in PAIRS])
+
+
+def distance() -> Column:
+    """Squared Mahalanobis distance of a row from the means m_x.. by the factors t_ab."""
+    out = F.lit(0.0)
+    for i, a in enumerate(AXES):
+        z = sum((F.col(f"t_{a}{b}") * (F.col(b) - F.col(f"m_{b}")) for b in AXES[: i + 1]), F.lit(0.0))
+        out += z * z
+    return out
 
 
-def distance(m: str = "m", c: str = "c") -> Column:
-    """Squared Mahalanobis distance of (x, y, z) from means m_x.. under covariances c_xx.., by cofactors."""
-    g = lambda a, b: F.col(f"{c}_{min(a, b)}{max(a, b)}") + (FLOOR if a == b else 0.0)
-    d = {a: F.col(a) - F.col(f"{m}_{a}") for a in AXES}
-    others = {a: [b for b in AXES if b != a] for a in AXES}
+def moments(only: Column | None = None, factor: float = 1.0) -> list[Column]:
+    of = {a: F.col(a) if only is None else F.when(only, F.col(a)) for a in AXES}
+    return [F.avg(of[a]).alias(f"m_{a}") for a in AXES] + [(F.covar_pop(of[a], of[b]) * factor).alias(f"c_{a}{b}") for a, b in PAIRS]
 
-    def cofactor(a: str, b: str) -> Column:
-        (r, s), (t, u) = others[a], others[b]
-        sign = -1 if (AXES.index(a) + AXES.index(b)) % 2 else 1
-        return (g(r, t) * g(s, u) - g(r, u) * g(s, t)) * sign
 
-    det = sum((g("x", b) * cofactor("x", b) for b in AXES), F.lit(0.0))
-    return sum((d[a] * d[b] * cofactor(a, b) for a in AXES for b in AXES), F.lit(0.0)) / det
+def near(rows: DataFrame, params: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """rows joined to the parameters of their group; these are a row a group, and broadcast where they are few."""
+    return rows.join(F.broadcast(params) if few else params, keys).withColumn("d", distance())
 
 
 def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and covariance of each group after the concentration steps."""
-    med = rows.groupBy(*keys).agg(*[F.percentile_approx(a, 0.5).alias(f"m_{a}") for a in AXES], F.count(F.lit(1)).alias("rows"))
-    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
-    spread = rows.join(med, keys).groupBy(*keys).agg(*[(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5) * 1.4826).alias(f"s_{a}") for a in AXES])
-    now = written(med.join(spread, keys).select(*keys, "rows", *[f"m_{a}" for a in AXES], *[(F.col(f"s_{a}") * F.col(f"s_{b}") if a == b else F.lit(0.0)).alias(f"c_{a}{b}") for a, b in pairs]))
+    """Robust mean, covariance and number of rows of each group."""
+    half = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
+    mid = [F.percentile_approx(a, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"q_{a}") for a in AXES]
+    first = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *mid, F.struct(*moments()).alias("all"), F.struct(*moments(half)).alias("some")))
+    few = first.limit(BROADCAST + 1).count() <= BROADCAST
+    quartiles = F.struct(*[F.col(f"q_{a}")[1].alias(f"m_{a}") for a in AXES], *[(F.pow((F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.349, 2) if a == b else F.lit(0.0)).alias(f"c_{a}{b}") for a, b in PAIRS])
+    names = [f"m_{a}" for a in AXES] + [f"c_{a}{b}" for a, b in PAIRS]
+    given = lambda c: F.struct(*[F.coalesce(F.col(f"{c}.{n}"), F.col(f"all.{n}")).alias(n) for n in names])
+    starts = first.select(*keys, "rows", F.posexplode(F.array(quartiles, given("all"), given("some"))).alias("start", "p")).select(*keys, "rows", "start", "p.*")
+    now = written(whitened(starts))
+    many = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))).alias("start"))
+    by = [*keys, "start"]
     for _ in range(STEPS):
-        far = rows.join(now, keys).select(*keys, "rows", *AXES, distance().alias("d"))
-        limit = far.groupBy(*keys).agg(F.percentile_approx("d", SHARE).alias("limit"))
-        near = far.join(limit, keys).filter(F.col("d") <= F.col("limit"))
-        now = written(near.groupBy(*keys).agg(F.max("rows").alias("rows"), *[F.avg(a).alias(f"m_{a}") for a in AXES], *[F.covar_pop(a, b).alias(f"c_{a}{b}") for a, b in pairs]))
-    return now
+        far = near(many, now, by, few)
+        limit = far.groupBy(*by).agg(F.percentile_approx("d", SHARE, 10_000).alias("limit"))
+        kept = near(many, now.join(F.broadcast(limit) if few else limit, by), by, few).filter(F.col("d") <= F.col("limit"))
+        now = written(whitened(kept.groupBy(*by).agg(F.max("rows").alias("rows"), *moments(None, consistency(SHARE)))))
+    best = now.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("log_det", "start"))).filter("place = 1").drop("place", "start")
+    return written(near(rows, best, keys, few).filter(F.col("d") <= CHI2[0.975]).groupBy(*keys).agg(F.max("rows").alias("rows"), *moments(None, consistency(0.975))))
 
 
 def quality_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
@@ -91,25 +137,33 @@ def quality_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance and kept.
     Null and empty texts have no words and fail the fixed limits. Rows that fail these take no part in the
-    estimates. Null languages and sources are groups of their own; groups of fewer than LEAST rows are judged
-    by the estimate over all rows, and where there is none, kept. Repeated rows and ids are judged alike; other
-    columns are ignored.
+    estimates and have a distance all the same. Null languages and sources are groups of their own. A group's mean and covariance are
+    drawn towards those of all rows, which count for SHRINK rows in them, so small groups need no other rule; where no
+    row passes the limits there is no distance. Repeated rows and ids are judged alike; other columns are ignored.
     """
     low = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    stats = statistics(docs.select("doc_id", "text", F.coalesce("lang", F.lit("\0")).alias("lang"), F.coalesce("source", F.lit("\0")).alias("source")))
+    stats = statistics(docs.select("doc_id", "text", F.struct(F.lit(1).alias("level"), "lang", "source").alias("g")))
     stats = written(stats.withColumn("base_failed", low))
     good = stats.filter(~F.col("base_failed"))
     # each row counts in its group and in the one of all rows, so that one set of jobs makes both estimates
-    groups = F.array(F.struct("lang", "source"), F.struct(F.lit("\0all").alias("lang"), F.lit("\0all").alias("source")))
-    found = estimates(good.select(F.explode(groups).alias("g"), *AXES).select("g.*", *AXES), ["lang", "source"])
-    own = found.filter((F.col("rows") >= LEAST) & (F.col("lang") != "\0all"))
-    whole = found.filter(F.col("lang") == "\0all")
-    params = [c for c in own.columns if c[:2] in ("m_", "c_")]
-    both = stats.join(own.select("lang", "source", *params), ["lang", "source"], "left")
-    both = both.join(F.broadcast(whole.select(*[F.col(p).alias(f"w_{p}") for p in params])), F.lit(True), "left")  # one row
-    d = F.coalesce(distance(), distance("w_m", "w_c"))
-    kept = ~F.col("base_failed") & F.coalesce(d <= cut, F.lit(True))
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d.alias("distance"), kept.alias("kept"))
+    none = F.lit(None).cast("string")
+    everything = F.struct(F.lit(0).alias("level"), none.alias("lang"), none.alias("source"))
+    key = F.xxhash64("doc_id", *AXES).alias("key")
+    grouped = good.select(F.explode(F.array(F.col("g"), everything)).alias("g"), key, *AXES)
+    found = estimates(grouped.select(F.to_json("g", {"ignoreNullFields": "true"}).alias("g"), "key", *AXES), ["g"])
+    names = [f"m_{a}" for a in AXES] + [f"c_{a}{b}" for a, b in PAIRS]
+    whole = found.filter(F.col("g") == F.to_json(everything)).select(*[F.col(n).alias(f"w_{n}") for n in names])
+    share = F.col("rows") / (F.col("rows") + SHRINK)
+    own = found.join(F.broadcast(whole), F.lit(True)).select("g", *[(F.col(n) * share + F.col(f"w_{n}") * (1 - share)).alias(n) for n in names])  # one row
+    own = written(whitened(own.unionByName(whole.select(F.lit("").alias("g"), *[F.col(f"w_{n}").alias(n) for n in names]))))
+    # groups of which no row passes the limits are judged by the estimate over all rows
+    known = own.select(F.col("g").alias("known"))
+    few = known.limit(BROADCAST + 1).count() <= BROADCAST
+    named = stats.withColumn("g", F.to_json("g", {"ignoreNullFields": "true"}))
+    named = named.join(F.broadcast(known) if few else known, F.col("g") == F.col("known"), "left").withColumn("g", F.coalesce("known", F.lit(""))).drop("known")
+    both = named.join(F.broadcast(own) if few else own, "g", "left").withColumn("distance", distance())
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

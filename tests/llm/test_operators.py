@@ -12,7 +12,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from quarry.llm import blocks as B  # noqa: E402
-from quarry.llm import jaccard, mixing, packing  # noqa: E402
+from quarry.llm import jaccard, mixing, packing, rules  # noqa: E402
 from quarry.llm.bytestrings import bytestring_dedup  # noqa: E402
 from quarry.llm.fingerprints import document_fingerprints  # noqa: E402
 from quarry.llm.jaccard import jaccard_join  # noqa: E402
@@ -313,6 +313,64 @@ def test_rules(plain):
         assert r.base_failed == (len(w) < 10 or 100 * len(marked) > 20 * len(w)) and not (r.base_failed and r.kept)
 
 
+def distances_by_hand(rows, share=0.75, steps=2):
+    """Mahalanobis distances from the estimate of least determinant, with NumPy: rows (half, x, y, u, w)."""
+    v = np.array([r[1:] for r in rows])
+    half = np.array([r[0] for r in rows])
+    floor = np.array([rules.RESOLUTION[a] for a in rules.AXES])
+
+    def raised(c):
+        c = c.copy()
+        c[np.diag_indices(4)] = np.maximum(np.diag(c), floor)
+        return c
+
+    def d(m, c):
+        return np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(raised(c)), v - m)
+
+    def of(x, factor=1.0):
+        return x.mean(0), np.cov(x.T, bias=True) * factor
+
+    def rank(x, p):
+        return np.sort(x, 0)[max(int(np.ceil(p * len(x))) - 1, 0)]
+
+    starts = [(rank(v, 0.5), np.diag(((rank(v, 0.75) - rank(v, 0.25)) / 1.349) ** 2)), of(v), of(v[half] if half.any() else v)]
+    ends = []
+    for m, c in starts:
+        for _ in range(steps):
+            far = d(m, c)
+            m, c = of(v[far <= rank(far, share)], rules.consistency(share))
+        ends.append((np.linalg.slogdet(raised(c))[1], m, c))
+    _, m, c = min(ends, key=lambda e: e[0])
+    return of(v[d(m, c) <= rules.CHI2[0.975]], rules.consistency(0.975)), d
+
+
+def test_outliers_by_hand(spark):
+    """Distances of two groups against the same estimate with NumPy, drawn towards that of all rows."""
+    r = random.Random(6)
+    rows = []
+    for i in range(260):
+        words = ["ab", "abc", "abcd", "abcde", "abcdef"] if i % 2 else ["abcdef", "abcdefgh", "abcdefghi"]
+        text = " ".join(r.choice(words) + str(r.randrange(99)) for _ in range(r.randrange(12, 200)))
+        if i % 23 == 0:
+            text = text.replace(" ", "### ")
+        rows.append((i, text + "\nsame\nsame" * (i % 17 == 0), "en" if i % 2 else "de", "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {x.doc_id: x for x in quality_rules(docs).collect()}
+    stats = rules.statistics(docs).selectExpr("*", "pmod(xxhash64(doc_id, x, y, u, w), 8) = 0 AS half").collect()
+    good = [x for x in stats if not got[x.doc_id].base_failed]
+    vector = lambda xs: [(x.half, x.x, x.y, x.u, x.w) for x in xs]
+    (wm, wc), _ = distances_by_hand(vector(good))
+    for lang in ("en", "de"):
+        mine = [x for x in good if x.lang == lang]
+        (m, c), d = distances_by_hand(vector(mine))
+        share = len(mine) / (len(mine) + rules.SHRINK)
+        by_hand = d(m * share + wm * (1 - share), c * share + wc * (1 - share))
+        for x, want in zip(mine, by_hand, strict=True):
+            assert abs(got[x.doc_id].distance - want) < 1e-6 * max(want, 1), (lang, got[x.doc_id].distance, want)
+    assert all(not got[i].kept for i in range(0, 260, 23) if not got[i].base_failed)
+    assert sum(x.kept for x in got.values()) > 0.9 * 260
+
+
 def shares(rows, axis):
     out, total = defaultdict(float), sum(r.tokens * r.prob for r in rows)
     for r in rows:
