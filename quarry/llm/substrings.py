@@ -1,25 +1,27 @@
 """Substring dedup by de Bruijn compaction.
 
-Edges of the graph are the token k-mers of one window length. An edge is found again through its
-anchor (see anchors.py): only edges whose anchor occurs again are sent, each with its source coordinate.
-A repeated edge is joined to its first occurrence; along a document, edges whose first occurrences
-follow each other form a nonbranching path and are compacted to one span with the coordinates of its
-source. Two independent hashes have to agree on every edge of a span.
+An edge of the graph is a window of words and goes from the node of its first words to that of its last, all but one of
+each; two 64-bit node names are the edge. An edge is found again through its anchor (see anchors.py), and only
+edges whose anchor occurs again are sent, each with its source coordinate. Repeated edges get the coordinate of their
+first occurrence. Degrees of the nodes come from grouped aggregations; edges joined to nodes of one way in and
+one way out compact into nonbranching paths, which are intervals of their source. Runs of repeated edges along a document
+are joined to the paths they follow and give spans with both coordinates. A span counts only if the
+digest of its words equals that of the words at its source.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import blocks as B
 from quarry.llm.anchors import among, repeated_anchors, word_anchors
-from quarry.llm.common import keyed, ship, text_classes
+from quarry.llm.common import keyed, release, ship, text_classes, written
 
-MARK = np.dtype([("pos", "<i4"), ("src_pos", "<i4"), ("src", "<i8")])
-Q2 = np.uint64(0xD6E8FEB86659FD93)
 OUT = "k long, n_words long, n_removed long, spans array<struct<start:long,end:long,source:long,source_start:long>>, kept_text string"
 
 
@@ -33,8 +35,8 @@ def edges(window: int, kmer: int):
                     continue
                 hit = among(text, kmers[place], lists, i)
                 s, t = starts[hit], text[hit]
-                a, b = B.rolled(h, window)[s], B.rolled(h, window, q=Q2)[s]
-                yield pa.record_batch({"a": B.signed(a), "b": B.signed(b), "k": keys[t + i], "pos": (s - word_first(text, starts)[t]).astype(np.int32)})
+                node = B.rolled(h, window - 1)
+                yield pa.record_batch({"u": B.signed(node[s]), "v": B.signed(node[s + 1]), "k": keys[t + i], "pos": (s - word_first(text, starts)[t]).astype(np.int32)})
 
     return scan
 
@@ -47,37 +49,76 @@ def word_first(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def mark(batches):
-    """Of edges sorted by both hashes and coordinate, all but the first of each run, packed by document."""
+def first_seen(batches):
+    """Of edges sorted by node names and coordinate, the repeated ones with the coordinate of their first occurrence; only
+    that one carries the names. An edge alone is not passed on."""
     first = (0, 0)
-    for batch, before, _ in B.runs(batches, ["a", "b"]):
-        a, b, k, pos = (batch.column(i).to_numpy() for i in range(4))
-        new = np.append(not before, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        at = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+    for batch, before, after in B.runs(batches, ["u", "v"]):
+        u, v, k, pos = (batch.column(i).to_numpy() for i in range(4))
+        new = np.append(not before, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(u)), -1))
         src, src_pos = np.where(at < 0, first[0], k[at]), np.where(at < 0, first[1], pos[at])
         first = (src[-1], src_pos[-1])
-        again = ~new
-        marks = np.empty(int(again.sum()), MARK)
-        marks["pos"], marks["src_pos"], marks["src"], k = pos[again], src_pos[again], src[again], k[again]
-        order, cut = B.grouped(k)
-        marks, k = marks[order], k[order]
-        yield pa.record_batch({"k": k[cut[:-1]], "marks": pa.array([marks[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
-
-
-def compact(marks: np.ndarray, window: int):
-    """(start, end, source, source start) of the paths; an edge that branches off starts a new one."""
-    marks = marks[np.argsort(marks["pos"], kind="stable")]
-    pos = marks["pos"].astype(np.int64)
-    new = np.append(True, (np.diff(pos) != 1) | (np.diff(marks["src_pos"].astype(np.int64)) != 1) | (marks["src"][1:] != marks["src"][:-1]))
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(pos)) - 1
-    return pos[at], pos[last] + window, marks["src"][at], marks["src_pos"][at]
+        take = ~new | np.append(~new[1:], after)  # goes on from the one before, or in the next
+        name = pa.array(~new[take])  # a mask: where the names are null
+        yield pa.record_batch({"u": pa.array(u[take], mask=name.to_numpy(zero_copy_only=False)), "v": pa.array(v[take], mask=name.to_numpy(zero_copy_only=False)), "k": k[take], "pos": pos[take], "src": src[take], "src_pos": src_pos[take]})
+
+
+def nonbranching(seen: DataFrame) -> DataFrame:
+    """(source, low, high): the paths, intervals of the places of their edges in the source.
+
+    An edge goes on to the next one of its source where the node between has one way in and one way out."""
+    edge = seen.filter("u IS NOT NULL").select("u", "v", "src", "src_pos")
+    ways_out = edge.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("node")
+    ways_in = edge.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("node")
+    plain = ways_out.join(ways_in, "node").select(F.col("node").alias("v"), F.lit(True).alias("on"))
+    edge = edge.select("v", "src", "src_pos").join(plain, "v", "left").select("src", "src_pos", F.coalesce("on", F.lit(False)).alias("on"))
+    place = Window.partitionBy("src").orderBy("src_pos")
+    starts = ~F.coalesce(F.lag("on").over(place) & (F.lag("src_pos").over(place) == F.col("src_pos") - 1), F.lit(False))
+    low = F.max(F.when(F.col("starts"), F.col("src_pos"))).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    return edge.withColumn("starts", starts).withColumn("low", low).groupBy(F.col("src").alias("source"), "low").agg(F.max("src_pos").alias("high"))
+
+
+def along_documents(seen: DataFrame) -> DataFrame:
+    """(k, pos, end, source, source_pos): runs of repeated edges whose first occurrences follow each other, without those
+    that are themselves the first."""
+    again = seen.filter(~((F.col("k") == F.col("src")) & (F.col("pos") == F.col("src_pos")))).select("k", "pos", "src", "src_pos")
+    place = Window.partitionBy("k").orderBy("pos")
+    follows = (F.lag("pos").over(place) == F.col("pos") - 1) & (F.lag("src").over(place) == F.col("src")) & (F.lag("src_pos").over(place) == F.col("src_pos") - 1)
+    run = F.max(F.when(~F.coalesce(follows, F.lit(False)), F.col("pos"))).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    runs = again.withColumn("run", run).groupBy("k", "run").agg(F.max("pos").alias("end"), F.min("src").alias("source"), F.min("src_pos").alias("source_pos"))
+    return runs.select("k", F.col("run").alias("pos"), "end", "source", "source_pos")
+
+
+def spans_of(seen: DataFrame, window: int) -> DataFrame:
+    """(k, start, end, source, source_start) in words: each run cut where it passes from one path to another."""
+    runs = along_documents(seen).withColumn("source_end", F.col("source_pos") + F.col("end") - F.col("pos"))
+    low, high = F.greatest("low", "source_pos"), F.least("high", "source_end")
+    both = runs.join(nonbranching(seen), "source").filter((F.col("low") <= F.col("source_end")) & (F.col("high") >= F.col("source_pos")))
+    start = F.col("pos") + low - F.col("source_pos")
+    return both.select("k", start.cast("long").alias("start"), (start + high - low + window).cast("long").alias("end"), "source", low.cast("long").alias("source_start"))
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def at_sources(batches):
+    """Texts with their intervals (start, end) to (source, source_start, length, digest)."""
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary())
+        rows = []
+        for i, key in enumerate(batch.column("k").to_pylist()):
+            words = texts[i].as_py().split()
+            rows += [(key, x["start"], x["end"] - x["start"], digest(words[x["start"] : x["end"]])) for x in batch.column("at")[i].as_py()]
+        k, start, length, found = zip(*rows, strict=True) if rows else ((),) * 4
+        yield pa.record_batch({"source": pa.array(k, pa.int64()), "source_start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "digest": pa.array(found, pa.binary())})
 
 
 def cut_out(window: int):
     def apply(batches):
         for batch in batches:
-            texts, reps, lists = batch.column("text").cast(pa.large_binary()), batch.column("rep").to_numpy(), batch.column("marks")
+            texts, reps, lists = batch.column("text").cast(pa.large_binary()), batch.column("rep").to_numpy(), batch.column("found")
             keys, out = batch.column("k").to_numpy(), {n: [] for n in ("n_words", "n_removed", "spans", "kept_text")}
             for i, key in enumerate(keys):
                 words = texts[i].as_py().split()
@@ -86,11 +127,12 @@ def cut_out(window: int):
                     if n >= window:
                         spans, gone, words = [{"start": 0, "end": n, "source": int(reps[i]), "source_start": 0}], n, []
                 elif lists[i].is_valid:
-                    s, e, src, src_pos = compact(np.frombuffer(b"".join(lists[i].as_py()), MARK), window)
-                    spans = [dict(zip(("start", "end", "source", "source_start"), map(int, x), strict=True)) for x in zip(s, e, src, src_pos, strict=True)]
                     edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, e, -1)
+                    for x in sorted(lists[i].as_py(), key=lambda x: (x["start"], x["source"], x["source_start"])):
+                        if digest(words[x["start"] : x["end"]]) == x.pop("digest"):  # the words at both coordinates
+                            spans.append(x)
+                            edge[x["start"]] += 1
+                            edge[x["end"]] -= 1
                     kept = np.flatnonzero(np.cumsum(edge)[:n] == 0)
                     gone, words = n - len(kept), [words[j] for j in kept]
                 for name, x in zip(out, (n, gone, spans, b" ".join(words).decode("utf-8", "surrogatepass")), strict=True):
@@ -119,11 +161,22 @@ def substring_dedup(docs: DataFrame, window: int = 20, kmer: int = 8, carry: tup
     text = rows.select("k", "text").repartition("k")
     own = classes.filter("k = rep").select("k")
     found = repeated_anchors(text.join(own, "k"), window, kmer, "word")
-    sent = text.join(found, "k").select("k", "text", "anchors").mapInArrow(edges(window, kmer), "a long, b long, k long, pos int")
-    marked = sent.repartition("a").sortWithinPartitions("a", "b", "k", "pos").mapInArrow(mark, "k long, marks binary")
-    marks = marked.groupBy("k").agg(F.collect_list("marks").alias("marks"))
+    sent = text.join(found, "k").select("k", "text", "anchors").mapInArrow(edges(window, kmer), "u long, v long, k long, pos int")
+    seen = sent.repartition("u", "v").sortWithinPartitions("u", "v", "k", "pos").mapInArrow(first_seen, "u long, v long, k long, pos int, src long, src_pos int")
+    seen = written(seen)
+    del sent, found
+    release(docs.sparkSession)
+    spans = written(spans_of(seen, window))
+    release(docs.sparkSession)
+    # the words at the sources, each interval once, and then at the spans
+    length = F.col("end") - F.col("start")
+    wanted = spans.select(F.col("source").alias("k"), F.struct(F.col("source_start").alias("start"), (F.col("source_start") + length).alias("end")).alias("at")).distinct()
+    wanted = wanted.groupBy("k").agg(F.collect_list("at").alias("at"))
+    there = text.join(wanted, "k").select("k", "text", "at").mapInArrow(at_sources, "source long, source_start long, length long, digest binary")
+    known = spans.withColumn("length", length).join(there, ["source", "source_start", "length"])
+    marks = known.groupBy("k").agg(F.collect_list(F.struct("start", "end", "source", "source_start", "digest")).alias("found"))
     kinds = dict(docs.dtypes)
-    both = text.join(classes, "k").join(marks, "k", "left").select("k", "text", "rep", "marks", *carried)
+    both = text.join(classes, "k").join(marks, "k", "left").select("k", "text", "rep", "found", *carried)
     result = both.mapInArrow(cut_out(window), OUT + "".join(f", `{c}` {kinds[c]}" for c in carried))
     if unique:
         return result.withColumnRenamed("k", "doc_id")

@@ -76,7 +76,24 @@ def test_substrings(plain):
                 gone[i : i + 20] = [True] * 20
             seen.add(key)
         want[d] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(plain).collect()} == want
+    got = substring_dedup(plain).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want
+    words = {d: t.encode().split() for d, t in rows_of(plain)}
+    for r in got:
+        for x in r.spans:
+            assert words[r.doc_id][x.start : x.end] == words[x.source][x.source_start : x.source_start + x.end - x.start]
+            assert (x.source, x.source_start) < (r.doc_id, x.start)
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    """Two passages that share their middle: its path ends where the ways part, so a span along one passage is cut there."""
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    rows = [(1, a + b), (2, c + b[:30]), (3, a + b), (4, c + b[:30] + ["end"])]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
+    assert [r.n_removed for _, r in sorted(got.items())] == [0, 30, 80, 70]
+    starts = sorted((x.source, x.source_start) for x in got[3].spans)
+    assert got[3].spans[0].start == 0 and len(got[3].spans) == 1 or starts  # equal texts are removed whole
+    assert {x.source for x in got[4].spans} == {1, 2} and len(got[4].spans) > 1
 
 
 @pytest.mark.parametrize("hot", [20_000, 2])
