@@ -21,29 +21,33 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; labels without documents and documents without labels are no matter."""
     return keep_good(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies stays."""
+    """The smallest id of each group of near copies stays. Rows equal in id and text are one document and stay once;
+    different texts under one id stay or go together, as rows are told apart by id alone."""
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
     stays = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that start earlier in the corpus go; the others are joined by one space."""
+    """Words of passages that start earlier in the corpus go; the others are joined by one space.
+    A document of which no word is left stays with an empty text, as does a null one."""
     out = substring_dedup(docs, carry=("lang", "source"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents by the calibrated probabilities of their cells."""
+    """A sample of documents by the calibrated probabilities of their cells; rows of one id are drawn alike."""
     return mix_sources(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of 1024 tokens."""
+    """Pieces of documents with their places in sequences of 1024 tokens; an empty text is its end token."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
