@@ -24,22 +24,22 @@ def format_tokens(c: Column) -> Column:
 
 
 def glob_regex(c: Column) -> Column:
-    """A pattern of a path glob: ** is anything, * and ? stay within a segment."""
+    """A pattern of a path glob: ** is anything, * stays within a segment, ? is any one character."""
     dots = F.regexp_replace(c, "\\.", "\\\\.")
     many = F.regexp_replace(dots, "\\*\\*", "\u0001")
-    one = F.regexp_replace(F.regexp_replace(many, "\\*", "[^/]*"), "\\?", "[^/]")
+    one = F.regexp_replace(F.regexp_replace(many, "\\*", "[^/]*"), "\\?", ".")
     return F.concat(F.lit("^"), F.replace(one, F.lit("\u0001"), F.lit(".*")), F.lit("$"))
 
 
 def glob_prefix(c: Column) -> Column:
     """The part of a glob before its first wildcard, without a slash at the end."""
-    return F.regexp_replace(F.regexp_extract(c, "^([^*?]*)", 1), "/+$", "")
+    return F.regexp_replace(F.regexp_extract(c, "^([^*?\\[]*)", 1), "/+$", "")
 
 
 def scope_relation(a: Column, b: Column) -> Column:
-    """same, nest or none, of two literal prefixes."""
+    """same, nest or none, of two literal prefixes; an empty prefix is related to nothing."""
     under = a.startswith(F.concat(b, F.lit("/"))) | b.startswith(F.concat(a, F.lit("/")))
-    return F.when(a == b, "same").when(under, "nest").otherwise("none")
+    return F.when((a == "") | (b == ""), "none").when(a == b, "same").when(under, "nest").otherwise("none")
 
 
 def week_id(c: Column) -> Column:
@@ -71,8 +71,20 @@ def progress(part: Column, whole: Column) -> Column:
 
 
 def drift(actual: Column, estimate: Column) -> Column:
-    """over, under or on: a quarter off, in whole numbers."""
-    return F.when(actual * 100 > estimate * 125, "over").when(actual * 100 < estimate * 75, "under").otherwise("on")
+    """How an estimate was: under where the actual is more than a quarter over it, over where it is more than a quarter
+    below, else on, in whole numbers; null without a positive estimate and actual."""
+    known = (estimate > 0) & (actual > 0)
+    return F.when(known, F.when(actual * 100 > estimate * 125, "under").when(actual * 100 < estimate * 75, "over").otherwise("on"))
+
+
+def size_verdict(expected: Column, actual: Column) -> Column:
+    """The same of sizes: under where it took a larger one than expected; unrecorded where either is no size."""
+    e, a = size_rank(expected), size_rank(actual)
+    return F.when((e == 0) | (a == 0), "unrecorded").when(a > e, "under").when(a < e, "over").otherwise("on")
+
+
+def days_ago(now: Column, n: int) -> Column:
+    return F.date_format(F.date_sub(now.cast("date"), n), "yyyy-MM-dd")
 
 
 def cell(c: Column) -> Column:

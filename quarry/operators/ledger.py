@@ -16,7 +16,7 @@ def ready_set(items: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def carried(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """The last value seen so far in the group, for rows without one."""
+    """The last value seen so far in the group, for rows without one; rows before the first value have none and belong to no group."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(value, F.last_value(value, F.lit(True)).over(w))
 
@@ -45,13 +45,17 @@ def bands(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def sync_once(ledger: DataFrame, incoming: DataFrame, marker: str) -> DataFrame:
-    """Rows whose marker the ledger does not have, appended; again changes nothing."""
-    return ledger.unionByName(incoming.dropDuplicates([marker]).join(ledger.select(marker), marker, "left_anti"))
+    """Rows whose marker the ledger does not have, appended; again changes nothing. A null marker is a marker like any other."""
+    known = ledger.select(F.col(marker).alias("_known"))
+    return ledger.unionByName(incoming.dropDuplicates([marker]).join(known, F.col(marker).eqNullSafe(F.col("_known")), "left_anti"))
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:
-    new = changes.select(key, F.col(value).alias("_new"))
-    return table.join(new, key, "full").withColumn(value, F.coalesce("_new", value)).drop("_new")
+def upsert(table: DataFrame, changes: DataFrame, key: str, value: str, insert: bool = True) -> DataFrame:
+    """table with the values of changes, which may be null; rows that table lacks are added, or with insert off left out."""
+    new = changes.dropDuplicates([key]).select(F.col(key).alias("_key"), F.struct(F.col(value).alias("v")).alias("_new"))
+    both = table.join(new, F.col(key).eqNullSafe(F.col("_key")), "full" if insert else "left")
+    both = both.withColumns({key: F.coalesce(key, "_key"), value: F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col(value))})
+    return both.select(*table.columns)
 
 
 def metadata_diff(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -72,9 +76,29 @@ def supersede_audit(links: DataFrame) -> DataFrame:
     return both.select("id", problem.alias("problem"))
 
 
-def claims(df: DataFrame, key: str, order: str, who: str) -> DataFrame:
-    """The first claimant of each key, and how many came later."""
-    return df.groupBy(key).agg(F.min_by(who, order).alias("holder"), (F.count(F.lit(1)) - 1).alias("refused"))
+def claims(df: DataFrame, key: str, order: str, who: str, force: str | None = None) -> DataFrame:
+    """The holder of each key after all claims in order, and how many were refused: those of others than the holder, unless
+    forced (the column force), which takes the lease over. A null claimant releases it. Ties in order fall to the lesser claimant."""
+    forced = F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)
+    events = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(who).alias("who"), forced.alias("force"))))
+    start = F.struct(F.lit(None).cast(dict(df.dtypes)[who]).alias("holder"), F.lit(0).cast("long").alias("refused"))
+
+    def one(state: Column, e: Column) -> Column:
+        taken = state["holder"].isNotNull() & e["who"].isNotNull() & (state["holder"] != e["who"]) & ~e["force"]
+        return F.struct(F.when(taken, state["holder"]).otherwise(e["who"]).alias("holder"), (state["refused"] + taken.cast("int")).alias("refused"))
+
+    if force is None:  # without force the first claimant stays, so that two sums are enough
+        first = df.groupBy(key).agg(F.min_by(who, F.struct(order, who)).alias("holder"))
+        return df.join(first, key).groupBy(key, "holder").agg(F.count_if(F.col(who) != F.col("holder")).alias("refused"))
+    return df.groupBy(key).agg(F.aggregate(events, start, one).alias("s")).select(key, "s.*")
+
+
+def transitions(df: DataFrame, key: str, order: str, cycle: str, given: str | None = None) -> DataFrame:
+    """Each row with verdict, what a move out of verify says: approved to ship, punch-list back to build, design or frame, else
+    nothing; a given verdict (the column given) goes before it."""
+    old, new = F.lag(cycle).over(Window.partitionBy(key).orderBy(order)), F.col(cycle)
+    said = F.when(new == "ship", "approved").when(new.isin("build", "design", "frame"), "punch-list")
+    return df.withColumn("_old", old).withColumn("verdict", F.when(F.col("_old") == "verify", F.coalesce(F.col(given), said) if given else said)).drop("_old")
 
 
 def numbered(df: DataFrame, base: Column, order: list[str]) -> DataFrame:

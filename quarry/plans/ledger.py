@@ -45,12 +45,12 @@ _CARRY = """c AS (SELECT user_id, event_id, event_type, value, last_value(CASE W
 
 
 @query(f"""WITH {_CARRY}, p AS (SELECT user_id, iface, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(18,4)), 2) AS part, count(*) AS n FROM c GROUP BY ALL)
-    SELECT coalesce(iface, -1) AS iface, CAST(sum(part) AS DOUBLE) AS usd, CAST(sum(n) AS BIGINT) AS sessions FROM p GROUP BY iface""")
+    SELECT iface, CAST(sum(part) AS DOUBLE) AS usd, CAST(sum(n) AS BIGINT) AS sessions FROM p WHERE iface IS NOT NULL GROUP BY iface""")
 def cost_two_phase(t):
     k = F.get_json_object("props", "$.k").cast("int")
     e = L.carried(t("events").withColumn("iface", F.when(k % 3 == 0, k)), "user_id", "event_id", "iface")
-    got = L.two_phase(e, "user_id", "iface", F.col("value").cast("decimal(18,4)"))
-    return got.select(F.coalesce("iface", F.lit(-1)).alias("iface"), F.col("usd").cast("double").alias("usd"), "sessions")
+    got = L.two_phase(e.filter("iface IS NOT NULL"), "user_id", "iface", F.col("value").cast("decimal(18,4)"))
+    return got.select("iface", F.col("usd").cast("double").alias("usd"), "sessions")
 
 
 @query("""SELECT d.event_type, count(e.event_id) AS n, CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))), 0) AS DOUBLE) AS usd FROM (SELECT DISTINCT event_type FROM events UNION ALL SELECT 'archive') d LEFT JOIN events e USING (event_type) GROUP BY 1""")
@@ -71,7 +71,7 @@ def size_band(t):
     return L.bands(t("part"), "p_size", "p_retailprice")
 
 
-@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN b IS NULL THEN 'unrecorded' WHEN a * 100 > b * 125 THEN 'over' WHEN a * 100 < b * 75 THEN 'under' ELSE 'on' END AS verdict FROM
+@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN b IS NULL THEN 'unrecorded' WHEN a * 100 > b * 125 THEN 'under' WHEN a * 100 < b * 75 THEN 'over' ELSE 'on' END AS verdict FROM
     (SELECT CAST(l_quantity AS BIGINT) AS a, lag(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS b FROM lineitem)) GROUP BY 1""")
 def drift_tally(t):
     a = F.col("l_quantity").cast("long")
@@ -130,7 +130,7 @@ def scope_overlap(t):
     return both.groupBy(F.col("top").alias("a")).agg(F.count(F.lit(1)).alias("nested")).unionByName(s.agg(F.count(F.lit(1)).alias("nested")).select(F.lit("paths").alias("a"), "nested"))
 
 
-@query(f"""SELECT g AS scope, count(*) AS paths FROM (SELECT {_PATH} AS p FROM pages) JOIN (VALUES ('/en/**', '^/en/.*$'), ('/de/*', '^/de/[^/]*$'), ('/fr/?????', '^/fr/[^/][^/][^/][^/][^/]$'), ('/**.html', '^/.*\\.html$')) v(g, r) ON regexp_matches(p, r) GROUP BY 1""")
+@query(f"""SELECT g AS scope, count(*) AS paths FROM (SELECT {_PATH} AS p FROM pages) JOIN (VALUES ('/en/**', '^/en/.*$'), ('/de/*', '^/de/[^/]*$'), ('/fr/?????', '^/fr/.....$'), ('/**.html', '^/.*\\.html$')) v(g, r) ON regexp_matches(p, r) GROUP BY 1""")
 def glob_govern(t):
     globs = t("pages").sparkSession.createDataFrame([(g,) for g in ("/en/**", "/de/*", "/fr/?????", "/**.html")], "scope string").withColumn("r", X.glob_regex(F.col("scope")))
     p = t("pages").select(F.expr(_PATH.replace("'^[a-z]+://[^/]+(/[^?#]*)'", "r'^[a-z]+://[^/]+(/[^?#]*)'")).alias("p"))
@@ -181,26 +181,44 @@ def slug_unique(t):
     return s.select("p_partkey", "slug", (F.count(F.lit(1)).over(w) > 1).alias("duplicate"), (F.row_number().over(w.orderBy("p_partkey")) + 100).cast("long").alias("new_id"))
 
 
-@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN p = 'view' AND event_type = 'purchase' THEN 'approved' WHEN p = 'view' AND event_type IN ('click', 'view') THEN 'punch-list' ELSE 'none' END AS verdict
-    FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)) GROUP BY 1""")
+_CYCLE = "CASE event_type WHEN 'view' THEN 'verify' WHEN 'purchase' THEN 'ship' WHEN 'click' THEN 'build' WHEN 'signup' THEN 'design' ELSE 'frame' END"
+
+
+@query(f"""SELECT event_id, CASE WHEN p = 'verify' THEN CASE WHEN event_id % 20 = 0 THEN 'rejected' WHEN c = 'ship' THEN 'approved' WHEN c <> 'verify' THEN 'punch-list' ELSE '' END ELSE '' END AS verdict
+    FROM (SELECT event_id, c, lag(c) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT event_id, user_id, {_CYCLE} AS c FROM events))""")
 def verdict_infer(t):
-    p, now = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id")), F.col("event_type")
-    e = t("events").select("event_type", p.alias("p"))
-    verdict = F.when((F.col("p") == "view") & (now == "purchase"), "approved").when((F.col("p") == "view") & now.isin("click", "view"), "punch-list").otherwise("none")
-    return e.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    e = t("events").select("event_id", "user_id", F.expr(_CYCLE).alias("cycle"), F.when(F.col("event_id") % 20 == 0, "rejected").alias("told"))
+    return L.transitions(e, "user_id", "event_id", "cycle", "told").select("event_id", F.coalesce("verdict", F.lit("")).alias("verdict"))
 
 
-@query("SELECT l_partkey AS part, arg_min(l_suppkey, l_orderkey * 100 + l_linenumber) AS holder, count(*) - 1 AS refused FROM lineitem GROUP BY 1")
+@query("""SELECT l_partkey AS part, min(holder) AS holder, count(*) FILTER (WHERE l_suppkey <> holder) AS refused FROM (SELECT *, first_value(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 100 + l_linenumber, l_suppkey) AS holder FROM lineitem) GROUP BY 1""")
 def lease_claims(t):
     return L.claims(t("lineitem").withColumn("at", F.col("l_orderkey") * 100 + F.col("l_linenumber")), "l_partkey", "at", "l_suppkey").withColumnRenamed("l_partkey", "part")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS markers FROM events WHERE user_id % 3 = 0 OR event_id % 2 = 0")
+@query("""SELECT key AS part, who AS holder, n AS claims FROM (SELECT l_partkey AS key, l_suppkey AS who, count(*) OVER (PARTITION BY l_partkey) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 100 + l_linenumber DESC, l_suppkey DESC) AS r FROM lineitem) WHERE r = 1""")
+def lease_steals(t):
+    """Every claim is forced, so the last one holds and none is refused."""
+    e = t("lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("at"), F.lit(True).alias("force"))
+    n = e.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("claims"))
+    return L.claims(e, "l_partkey", "at", "l_suppkey", "force").join(n, "l_partkey").select(F.col("l_partkey").alias("part"), "holder", (F.col("claims") - F.col("refused")).alias("claims"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS markers, CAST(sum(event_id) AS BIGINT) AS total FROM events")
 def idempotent_sync(t):
+    """The whole table, two thirds as the ledger and two thirds as what comes in, so that one third is there already."""
     e = t("events").select("event_id", "user_id")
-    twice = e.filter("event_id % 2 = 0")
-    once = L.sync_once(e.filter("user_id % 3 = 0"), twice, "event_id")
-    return L.sync_once(once, twice, "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("markers"))
+    ledger, incoming = e.filter("event_id % 3 <> 0"), e.filter("event_id % 3 <> 1")
+    once = L.sync_once(ledger, incoming, "event_id")
+    return L.sync_once(once, incoming, "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("markers"), F.sum("event_id").alias("total"))
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 6 = 0 THEN 'new' ELSE '' END ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0""")
+def scalar_upsert(t):
+    """Four fifths of the rows are there; changes set, clear and insert."""
+    c = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    changes = c.filter("k % 3 = 0").select("k", F.when(F.col("k") % 6 == 0, "new").alias("segment"))
+    return L.upsert(c.filter("k % 5 <> 0"), changes, "k", "segment").select("k", F.coalesce("segment", F.lit("")).alias("segment"))
 
 
 @query("""SELECT c_custkey, field, coalesce(a, '') AS a, coalesce(b, '') AS b FROM (SELECT c_custkey, 'c_name' AS field, c_name AS a, CASE WHEN c_custkey % 10 = 0 THEN upper(c_name) || '!' ELSE c_name END AS b FROM customer UNION ALL

@@ -20,7 +20,7 @@ def scan(spark: SparkSession, path: str, glob: str, active: bool = False) -> Dat
 
 
 def front_matter(text: str | None) -> str | None:
-    """The front matter as JSON; null where there is none or it cannot be read."""
+    """The front matter as JSON with every scalar as its text; null where there is none or it cannot be read."""
     import yaml
 
     if not text or not text.startswith("---"):
@@ -29,7 +29,7 @@ def front_matter(text: str | None) -> str | None:
     if len(parts) < 2:
         return None
     try:
-        found = yaml.safe_load(parts[0][3:])
+        found = yaml.load(parts[0][3:], getattr(yaml, "CBaseLoader", yaml.BaseLoader))
         return json.dumps(found, default=str) if isinstance(found, dict) else None
     except yaml.YAMLError:
         return None
