@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import decoding, ledger
+from quarry.plans import decoding, ledger, records
 
-MODULES = (decoding, ledger)
+MODULES = (decoding, ledger, records)
 
 
 def queries():

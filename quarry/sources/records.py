@@ -143,14 +143,11 @@ def stage_plan(lines: DataFrame) -> DataFrame:
 
 
 def defect_answer(text: Column) -> Column:
-    """The answer to where the worst defect was caught: a bare word within ten lines of the question that hold no backtick, before a heading."""
+    """The answer to where the worst defect was caught: the first bare word within ten lines of the question that hold no backtick."""
     after = F.regexp_extract(text, "(?s)(?:Where was the worst defect caught[^\\n]*\\n|(?=\\*\\*Defect-catch-stage:\\*\\*))(.*)$", 1)
     lines = F.slice(F.filter(F.split(after, "\n"), lambda x: ~F.contains(x, F.lit("`"))), 1, 10)
-    words = F.transform(lines, lambda x: F.struct(F.regexp_replace(F.regexp_replace(x, "^[^a-z]*", ""), "\\s*$", "").alias("word"), F.startswith(x, F.lit("#")).alias("end")))
-    vocabulary = F.array(*[F.lit(w) for w in ("design", "build", "verify", "ship", "escaped", "none")])
-    hits = F.filter(words, lambda x: F.array_contains(vocabulary, x["word"]) | x["end"])
-    first = F.get(hits, F.lit(0))
-    return F.when(~first["end"] | F.array_contains(vocabulary, first["word"]), first["word"])
+    words = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, "^[^a-z]*", ""), "\\s*$", ""))
+    return F.get(F.filter(words, lambda w: w.isin("design", "build", "verify", "ship", "escaped", "none")), F.lit(0))
 
 
 def outcome(text: Column) -> Column:
