@@ -12,7 +12,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from quarry.llm import blocks as B  # noqa: E402
-from quarry.llm import jaccard, mixing, packing, rules  # noqa: E402
+from quarry.llm import jaccard, langid, licences, mixing, packing, rules  # noqa: E402
 from quarry.llm.bytestrings import bytestring_dedup  # noqa: E402
 from quarry.llm.fingerprints import document_fingerprints  # noqa: E402
 from quarry.llm.jaccard import jaccard_join  # noqa: E402
@@ -467,6 +467,43 @@ def test_language_on_held_out_addresses(spark):
     assert sum(f"/{r.lang}/" in r.url for r in got) / len(got) > 0.9
 
 
+def test_language_by_hand(spark):
+    """Posteriors added up in Python from the word model and the pages alone."""
+    import math
+    import re
+
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the and of it is the", "en"), ("und der die das ist und", "de"), ("the of is and", "en"), ("der das ist nicht und", "de")] * 3)], "doc_id long, text string, lang string")
+    rows = [(1, "https://a.site.org/en/x", "<html lang=en><p>the of and"), (2, "https://a.site.org/y", "<html lang='de'>und der"), (3, "https://b.site.org/z", "und ist das"), (4, "https://c.other.de/", "zzz"), (5, "https://a.site.org/q", "the die the")]
+    model, langs = langid.word_model(docs)
+    lp = {r.word: (r.l0, r.l1) for r in model.collect()}
+    n, seen = len(langs), {}
+    for p, url, html in rows:
+        words = re.findall("[a-zé]+", re.sub("<[^>]*>", " ", html).lower())
+        hits = [lp[w] for w in words if w in lp]
+        e = [sum(h[i] for h in hits) / math.sqrt(max(len(hits), 1)) for i in range(n)]
+        top = max(range(n), key=lambda i: (e[i], langs[i])) if hits else None
+        host = re.match("https://([^/]+)", url)[1]
+        declared = (re.search("lang='?(\\w+)", html) or [0, ""])[1]
+        address = (re.search("://[^/]+/(\\w\\w)(?:/|$)", url) or [0, ""])[1] or (host[-2:] if host[-2:] in langs else "")
+        seen[p] = (e, top, host, host.split(".", 1)[1], declared, address)
+    for r in identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect():
+        e, top, host, site, declared, address = seen[r.page_id]
+        others = [x for q, x in seen.items() if q != r.page_id]
+        h, t, w = ([sum(x[1] == i for x in others if at(x)) for i in range(n)] for at in (lambda x: x[2] == host, lambda x: x[3] == site, lambda x: True))
+        logs = []
+        for i in range(n):
+            wide = (t[i] + 5 * (w[i] + 1) / (sum(w) + n)) / (sum(t) + 5)
+            s = e[i] + math.log((h[i] + 5 * wide) / (sum(h) + 5))
+            for at, reading in ((4, declared), (5, address)):
+                if reading in langs:
+                    all_ = [x for x in seen.values() if x[1] == i and x[at] in langs]
+                    s += math.log((sum(x[at] == reading for x in all_) + 1) / (len(all_) + n))
+            logs.append(s)
+        best = max(range(n), key=lambda i: (logs[i], langs[i]))
+        want = 1 / sum(math.exp(x - logs[best]) for x in logs)
+        assert (r.lang, r.declared, r.address) == (langs[best], declared, address) and abs(r.posterior - want) < 1e-5, (r, want)
+
+
 def test_language_of_untidy_pages(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
