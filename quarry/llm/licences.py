@@ -1,20 +1,22 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams.
 
-Only n-grams with a cue word are features, so paragraphs without cues are of the unknown class without
-being scored. Multinomial logistic regression is fitted on short notices of each family and on
-paragraphs that use cue words otherwise; its temperature is set on the notices with one word left out at a time. A prediction
-counts as confirmed where the paragraph holds most words of one of the family's templates. Scoring is one sum of
-products in generated code.
+Paragraphs are divided by blank lines. Features are the n-grams around cue words, so the score of a paragraph without
+cue words is that of the biases and is not worked out again. Multinomial logistic regression is fitted on a bounded
+sample of the paragraphs with cue words, which the templates label, together with the templates themselves and
+paragraphs that use cue words otherwise. A quarter of the sample is held out: on it the temperature of the probabilities is set, and
+with it how sure a family has to be before the unknown class yields. A prediction
+counts as confirmed where the paragraph holds most of the word sequence of one of the family's templates. Scoring is sums of
+weights in Spark's own expressions.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import written
+
 # Notices by which licence families are usually named, and paragraphs that name none.
 NOTICES = {
     "apache": ["licensed under the apache license version 2 0", "released under the apache license", "apache software license version 2 0", "apache 2 0 license"],
@@ -28,85 +30,143 @@ NOTICES = {
     "proprietary": ["all rights reserved", "copyright all rights reserved", "no part of this publication may be reproduced without prior written permission"],
 }
 OTHERS = ["she passed her driving license exam", "the license plate was lost", "a fishing license is needed here", "permission to land was given", "the public domain of the town", "mit students met there", "copyright law is old", "the version 2 0 came out", "poetic license", "they asked permission from the general", "apache helicopters flew by", "under the terms of the treaty", "creative work is common", "with warranty and without", "gnu herds cross the river"]
-CUES = ("license", "licensed", "licence", "licenced", "copyright", "permission", "permitted", "rights", "warranty", "gnu", "gpl", "apache", "mit", "bsd", "mozilla", "mpl", "creative", "cc", "cc0", "domain")
-CUE = "(?i)\\b(" + "|".join(CUES) + ")\\b"
+CUES = ("license", "licensed", "licence", "licenced", "copyright", "permission", "permitted", "rights", "warranty", "gnu", "gpl", "lgpl", "agpl", "apache", "mit", "bsd", "mozilla", "mpl", "creative", "cc", "cc0", "domain", "redistribution")
+CUE = " (?:" + "|".join(CUES) + ") "
 UNKNOWN, GRAMS, LEAST, MATCH = "unknown", 3, 0.5, 0.7
+SAMPLE = 300  # paragraphs of each label that the model is fitted on, at most
+BREAK = "\\n[ \\t\\r]*\\n[\\s]*"
+
+
+def normal(text: Column) -> Column:
+    """Lower-case words of letters and digits, one space between and at both ends; gplv3 and the like are two words."""
+    words = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(words, "\\b([al]?gpl)v?([0-9])", "$1 $2")), F.lit(" "))
+
+
+def grams(words: Column) -> Column:
+    """The distinct n-grams of one to GRAMS words that hold a cue word."""
+    w = F.split(F.trim(words), " ")
+    at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(*CUES), i)), lambda i: i.isNotNull())
+
+    def around(i: Column) -> Column:
+        spans = [(i - back, n) for n in range(1, GRAMS + 1) for back in range(n)]
+        return F.filter(F.array(*[F.when((a >= 0) & (a + n <= F.size(w)), F.array_join(F.slice(w, F.greatest(a, F.lit(0)) + 1, F.lit(n)), " ")) for a, n in spans]), lambda x: x.isNotNull())
+
+    return F.array_distinct(F.flatten(F.transform(at, around)))
 
 
-def grams(text: str) -> set[str]:
+def plain_grams(text: str) -> set[str]:
     words = text.split()
-    found = {" ".join(words[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(words) - n + 1)}
-    return {g for g in found if set(g.split()) & set(CUES)}
+    found = {tuple(words[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(words) - n + 1)}
+    return {" ".join(g) for g in found if set(g) & set(CUES)}
 
 
-@lru_cache(maxsize=1)
-def model() -> tuple[list[str], list[str], np.ndarray, float]:
-    """(classes, n-grams, weights with a last row of biases, temperature)."""
+def template_label(words: Column) -> Column:
+    """The family of the longest template that the paragraph holds word for word, else unknown."""
+    found = F.lit(UNKNOWN)
+    for _, text, name in sorted((len(t), t, n) for n, ts in NOTICES.items() for t in ts):
+        found = F.when(F.contains(words, F.lit(f" {text} ")), name).otherwise(found)
+    return found
+
+
+def fit(rows: list[tuple[set[str], str]], held: list[tuple[set[str], str]]) -> dict:
+    """Weights by n-gram and class, biases, and the temperature of least loss on the rows held out."""
     classes = [UNKNOWN, *NOTICES]
-    rows = [(t, classes.index(f)) for f, ts in NOTICES.items() for t in ts] + [(t, 0) for t in OTHERS]
-    left_out = [(" ".join(w for j, w in enumerate(t.split()) if j != i), y) for t, y in rows for i in range(len(t.split()))]
-    vocabulary = sorted({g for t, _ in rows for g in grams(t)})
+    often: dict[str, int] = {}
+    for g, _ in rows:
+        for x in g:
+            often[x] = often.get(x, 0) + 1
+    told = {x for ts in NOTICES.values() for t in ts for x in plain_grams(t)}
+    vocabulary = sorted(x for x, n in often.items() if n > 1 or x in told)
     at = {g: i for i, g in enumerate(vocabulary)}
 
-    def matrix(texts):
-        x = np.zeros((len(texts), len(vocabulary) + 1))
+    def matrix(some):
+        x = np.zeros((len(some), len(vocabulary) + 1), np.float32)
         x[:, -1] = 1
-        for i, t in enumerate(texts):
-            x[i, [at[g] for g in grams(t) if g in at]] = 1
-        return x
+        for i, (g, _) in enumerate(some):
+            x[i, [at[y] for y in g if y in at]] = 1
+        return x, np.array([classes.index(y) for _, y in some], int)
 
     def softmax(z):
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    x, y = matrix([t for t, _ in rows] + [""] * 10), np.array([c for _, c in rows] + [0] * 10)
+    x, y = matrix(rows)
+    weight = 1 / np.bincount(y, minlength=len(classes))[y]  # classes count alike
+    weight /= weight.sum()
     w, goal = np.zeros((x.shape[1], len(classes))), np.eye(len(classes))[y]
-    for _ in range(600):
-        w -= 0.5 * (x.T @ (softmax(x @ w) - goal) / len(x) * 4 + 0.002 * w)
-    z, t = matrix([t for t, _ in left_out]) @ w, np.array([c for _, c in left_out])
-    loss = {s: -np.log(softmax(z * s)[np.arange(len(t)), t] + 1e-12).mean() for s in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
-    return classes, vocabulary, np.round(w, 4), min(loss, key=loss.get)
-
-
-def scored(words: Column) -> Column:
-    """(family, probability) of a normalised paragraph with a space at both ends."""
-    classes, vocabulary, w, scale = model()
-    has = F.array(*[F.contains(words, F.lit(f" {g} ")).cast("int").cast("double") for g in vocabulary])
-    weights = [F.lit([float(x) for x in w[:-1, c]]) for c in range(len(classes))]
-
-    def from_features(h: Column) -> Column:
-        sums = F.array(*[F.aggregate(F.zip_with(h, weights[c], lambda a, b: a * b), F.lit(float(w[-1, c])), lambda a, x: a + x) * scale for c in range(len(classes))])
-        return F.transform(F.array(sums), lambda s: F.struct(
-            F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(s, F.array_max(s)).cast("int")).alias("family"),
-            (1 / F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(s)))).alias("p")))[0]
-
-    return F.transform(F.array(has), from_features)[0]
+    for _ in range(400):
+        w -= 2.0 * (x.T @ ((softmax(x @ w) - goal) * weight[:, None]) + 0.0005 * w)
+    z, t = (lambda m: (m[0] @ w, m[1]))(matrix(held)) if held else (np.zeros((0, len(classes))), np.zeros(0, int))
+    loss = {s: -np.log(softmax(z * s)[np.arange(len(t)), t] + 1e-12).mean() if len(t) else abs(s - 1) for s in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)}
+    scale = min(loss, key=loss.get)
+    w = np.round(w * scale, 5)
+    return {"classes": classes, "weights": {g: w[i].tolist() for g, i in at.items() if np.abs(w[i]).max() > 1e-3}, "bias": w[-1].tolist(), "scale": scale}
+
+
+def model_of(paragraphs: DataFrame, sample: int = SAMPLE) -> dict:
+    """Fit on at most sample different paragraphs (words) of each label, the first by hash; a quarter of these is held out."""
+    label = template_label(F.col("words"))
+    some = paragraphs.filter(F.rlike("words", F.lit(CUE))).select(grams(F.col("words")).alias("g"), label.alias("label"))
+    # what holds a part of a template, but no whole one, is no example of the unknown class
+    parts = sorted({g for ts in NOTICES.values() for t in ts for g in plain_grams(t) if g.count(" ") == GRAMS - 1})
+    some = some.filter((F.col("label") != UNKNOWN) | ~F.arrays_overlap("g", F.lit(parts)))
+    some = some.groupBy("g", "label").agg(F.lit(1).alias("one")).select("g", "label", F.xxhash64("g", "label").alias("h"))
+    some = written(some)
+    got = []
+    for c in (UNKNOWN, *NOTICES):
+        got += [(set(r.g), r.label, r.h) for r in some.filter(F.col("label") == c).orderBy("h").limit(sample).collect()]  # at most sample rows of each class
+    own = [(plain_grams(t), f) for f, ts in NOTICES.items() for t in ts] + [(plain_grams(t), UNKNOWN) for t in OTHERS] + [(set(), UNKNOWN)]
+    return fit(own + [(g, y) for g, y, h in got if h % 4], [(g, y) for g, y, h in got if not h % 4])
+
+
+def scored(features: Column, model: dict) -> Column:
+    """(family, probability) of n-grams that the model knows: biases and weights added up for each class."""
+    classes = model["classes"]
+    known = F.create_map(*[x for g, w in model["weights"].items() for x in (F.lit(g), F.lit([float(v) for v in w]))]) if model["weights"] else None
+    bias = F.lit([float(v) for v in model["bias"]])
+    mine = F.array_intersect(features, F.lit(sorted(model["weights"]) or [""]))
+    sums = F.aggregate(mine, bias, lambda a, g: F.zip_with(a, F.element_at(known, g), lambda x, y: x + y)) if known is not None else bias
+    names = F.lit(classes)
+
+    def best(s: Column) -> Column:
+        top = F.array_max(s)
+        return F.struct(F.element_at(names, F.array_position(s, top).cast("int")).alias("family"), (1 / F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("p"))
+
+    return F.get(F.transform(F.array(sums), best), F.lit(0))
 
 
 def confirmed(family: Column, words: Column) -> Column:
-    """Whether the paragraph has most words of a template of the family."""
+    """Whether the paragraph holds most of the word triples of a template of the family, or all of a shorter one."""
     found = F.lit(False)
     for name, notices in NOTICES.items():
-        own = [F.size(F.array_intersect(F.split(words, " "), F.lit(sorted(set(t.split()))))) >= MATCH * len(set(t.split())) for t in notices]
-        either = own[0]
-        for x in own[1:]:
-            either |= x
+        either = F.lit(False)
+        for t in notices:
+            w = t.split()
+            triples = [" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))]
+            held = sum((F.contains(words, F.lit(f" {x} ")).cast("int") for x in triples[1:]), F.contains(words, F.lit(f" {triples[0]} ")).cast("int"))
+            either |= held >= MATCH * len(triples)
         found = F.when(family == name, either).otherwise(found)
     return found
 
 
-def licence_paragraphs(docs: DataFrame) -> DataFrame:
-    """A row for each line with a cue word: doc_id, place (line number from 0), paragraph, family, probability and confirmed.
+def licence_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """A row for each paragraph: doc_id, place (from 0), paragraph, family, probability and confirmed.
 
-    docs has doc_id and text; other columns are ignored. Null and empty texts have no lines. A family needs a
-    probability of LEAST, else the line is unknown and not confirmed. Repeated rows and null ids give rows of
-    their own.
+    docs has doc_id and text; other columns are ignored. Paragraphs are what blank lines divide; white space alone is none,
+    so null and empty texts have no rows. A family needs a probability of LEAST, else the paragraph is unknown and
+    not confirmed; of families that are as likely the first in NOTICES counts. A paragraph without cue words has the probability of the biases. Repeated rows and null ids give rows of
+    their own. The model is fitted on at most sample paragraphs of each label; without documents on the templates alone.
     """
-    line = docs.select("doc_id", F.explode(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("paragraph"))), lambda x: x["paragraph"].rlike(CUE))).alias("l"))
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("l.paragraph"), "[^a-z0-9]+", " ")), F.lit(" "))
-    got = line.select("doc_id", "l.place", "l.paragraph", words.alias("words")).withColumn("s", scored(F.col("words")))
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), BREAK), lambda x: F.rlike(x, F.lit("\\S")))
+    paragraphs = docs.select("doc_id", F.posexplode(parts).alias("place", "paragraph")).withColumn("words", normal(F.col("paragraph")))
+    model = model_of(paragraphs, sample)
+    bias = np.array(model["bias"])
+    none = F.struct(F.lit(model["classes"][int(bias.argmax())]).alias("family"), F.lit(float(1 / np.exp(bias - bias.max()).sum())).alias("p"))
+    got = paragraphs.withColumn("s", F.when(F.rlike("words", F.lit(CUE)), scored(grams(F.col("words")), model)).otherwise(none))
     family = F.when(F.col("s.p") >= LEAST, F.col("s.family")).otherwise(UNKNOWN)
-    return got.select("doc_id", "place", "paragraph", family.alias("family"), F.round("s.p", 6).alias("probability"), confirmed(family, F.col("words")).alias("confirmed"))
+    sure = F.when(F.rlike("words", F.lit(CUE)), confirmed(family, F.col("words"))).otherwise(False)
+    return got.select("doc_id", "place", "paragraph", family.alias("family"), F.round("s.p", 6).alias("probability"), sure.alias("confirmed"))
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

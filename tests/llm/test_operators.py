@@ -448,9 +448,40 @@ def test_mixing_matches_sql(spark):
     assert got == want
 
 
-def test_licences(plain):
-    got = licence_paragraphs(plain).collect()
-    assert [(r.family, r.confirmed) for r in got] == [("apache", True)]
+def test_licences(spark):
+    """Families of notices that the model was not given word for word, cue words used otherwise, and wrapped notices."""
+    filler = " ".join(f"word{i}" for i in range(30))
+    cases = [("Licensed under the Apache License, Version 2.0.", "apache", True), ("Released under GPLv3 of the GNU General Public License", "gpl", None), (f"{filler}\n\n  All rights reserved.  \n\n{filler}", "proprietary", True), ("Redistribution and use in source and\nbinary forms, with or without modification, are permitted", "bsd", True), ("her driving license was lost", "unknown", False), (filler, "unknown", False)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)] + [(90, None), (91, ""), (92, " \n\n "), (0, cases[0][0])], "doc_id long, text string")
+    got = licence_paragraphs(docs).collect()
+    assert {r.doc_id for r in got} == set(range(len(cases))) and sum(r.doc_id == 0 for r in got) == 2
+    for i, (_, family, sure) in enumerate(cases):
+        rows = [r for r in got if r.doc_id == i]
+        named = {r.family for r in rows} - {"unknown"} or {"unknown"}
+        assert named == {family}, (i, rows)
+        assert sure is None or any(r.confirmed for r in rows) == sure, (i, rows)
+    assert licence_paragraphs(docs.limit(0)).count() == 0
+    assert [r.place for r in sorted(got) if r.doc_id == 2] == [0, 1, 2]
+
+
+def test_licence_scores_by_hand(spark):
+    """Every paragraph of the documents: n-grams, sums, softmax and the template match, in Python."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = licence_paragraphs(docs).collect()
+    texts_ = {r.doc_id: r.text or "" for r in docs.collect()}
+    normal = lambda p: re.sub(r"\b([al]?gpl)v?([0-9])", r"\1 \2", re.sub("[^a-z0-9]+", " ", p.lower())).strip()
+    paragraphs = docs.select(jaccard.F.explode(jaccard.F.filter(jaccard.F.split("text", licences.BREAK), lambda x: jaccard.F.rlike(x, jaccard.F.lit(r"\S")))).alias("p"))
+    model = licences.model_of(paragraphs.select(licences.normal(jaccard.F.col("p")).alias("words")))
+    assert len(got) == sum(len([p for p in re.split(r"\n[ \t\r]*\n\s*", t) if p.strip()]) for t in texts_.values())
+    for r in got:
+        z = np.array(model["bias"]) + sum((np.array(model["weights"][g]) for g in licences.plain_grams(normal(r.paragraph)) if g in model["weights"]), np.zeros(len(model["bias"])))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(r.probability - p.max()) < 2e-6 and r.family == (model["classes"][int(p.argmax())] if p.max() >= 0.5 else "unknown")
+    lines = {"apache": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "proprietary": "All rights reserved."}
+    for family, line in lines.items():
+        assert all(r.confirmed and r.family == family for r in got if line in r.paragraph and sum(x in r.paragraph for x in lines.values()) == 1)
 
 
 def test_quality_on_held_out_rows(spark):
@@ -519,7 +550,7 @@ def test_language_of_untidy_pages(spark):
     assert {r.lang for r in identify(spark.createDataFrame(rows, schema), docs.limit(0)).collect()} == {None}
 
 
-@pytest.mark.parametrize("operator", [substring_dedup, bytestring_dedup, jaccard_join, document_fingerprints, quality_rules, mix_sources, lambda d: packing.pack(d, TOKENIZER).filter("piece = 0"), lambda d: quality_scores(d, d.sparkSession.createDataFrame([], "doc_id long, quality int"))])
+@pytest.mark.parametrize("operator", [lambda d: licence_paragraphs(d.withColumn("text", jaccard.F.lit("x"))).filter("place = 0"), substring_dedup, bytestring_dedup, jaccard_join, document_fingerprints, quality_rules, mix_sources, lambda d: packing.pack(d, TOKENIZER).filter("piece = 0"), lambda d: quality_scores(d, d.sparkSession.createDataFrame([], "doc_id long, quality int"))])
 def test_untidy_and_empty(untidy, operator):
     n = untidy.count()
     assert operator(untidy).count() == n
