@@ -44,15 +44,18 @@ def normal(text: Column) -> Column:
 
 
 def grams(words: Column) -> Column:
-    """The distinct n-grams of one to GRAMS words that hold a cue word."""
-    w = F.split(F.trim(words), " ")
-    at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(*CUES), i)), lambda i: i.isNotNull())
+    """The distinct n-grams of one to GRAMS words that hold a cue word. The words are divided once: a lambda would do it again for every cue."""
 
-    def around(i: Column) -> Column:
-        spans = [(i - back, n) for n in range(1, GRAMS + 1) for back in range(n)]
-        return F.filter(F.array(*[F.when((a >= 0) & (a + n <= F.size(w)), F.array_join(F.slice(w, F.greatest(a, F.lit(0)) + 1, F.lit(n)), " ")) for a, n in spans]), lambda x: x.isNotNull())
+    def within(w: Column) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(*CUES), i)), lambda i: i.isNotNull())
 
-    return F.array_distinct(F.flatten(F.transform(at, around)))
+        def around(i: Column) -> Column:
+            spans = [(i - back, n) for n in range(1, GRAMS + 1) for back in range(n)]
+            return F.filter(F.array(*[F.when((a >= 0) & (a + n <= F.size(w)), F.array_join(F.slice(w, F.greatest(a, F.lit(0)) + 1, F.lit(n)), " ")) for a, n in spans]), lambda x: x.isNotNull())
+
+        return F.array_distinct(F.flatten(F.transform(at, around)))
+
+    return F.get(F.transform(F.array(F.split(F.trim(words), " ")), within), F.lit(0))
 
 
 def plain_grams(text: str) -> set[str]:
