@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def sync_stream(stream: DataFrame, marker: str, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Append rows with new markers to the Parquet ledger; a batch that is run again adds nothing."""
+    """Append rows with new markers to the Parquet ledger; a batch that is run again adds nothing. A null marker is a
+    marker like any other."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(ledger)  # the first batch finds a ledger too
 
     def add(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
+        known = batch.sparkSession.read.parquet(ledger).select(F.col(marker).alias("_known"))
         batch = batch.dropDuplicates([marker])
-        try:
-            batch = batch.join(spark.read.parquet(ledger).select(marker), marker, "left_anti")
-        except Exception as e:  # the first batch finds no ledger
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        batch.write.mode("append").parquet(ledger)
+        batch.join(known, F.col(marker).eqNullSafe(F.col("_known")), "left_anti").write.mode("append").parquet(ledger)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -38,9 +38,9 @@ def test_containers_from_files(spark, tmp_path):
 def test_stream_appends_once(spark, tmp_path):
     source, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
     for i in range(2):  # the second run of the same rows under new checkpoints adds nothing
-        spark.createDataFrame([(1,), (2,), (2,)], "m int").write.mode("append").parquet(source)
+        spark.createDataFrame([(1,), (2,), (2,), (None,)], "m int").write.mode("append").parquet(source)
         sync_stream(spark.readStream.schema("m int").parquet(source), "m", ledger, str(tmp_path / f"c{i}")).awaitTermination()
-    assert sorted(r.m for r in spark.read.parquet(ledger).collect()) == [1, 2]
+    assert sorted((r.m for r in spark.read.parquet(ledger).collect()), key=str) == [1, 2, None]
 
 
 def test_manifest():
