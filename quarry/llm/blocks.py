@@ -131,9 +131,13 @@ def rolled(h: np.ndarray, k: int, mixed: bool = True, q: np.uint64 = Q) -> np.nd
     return mix(out) if mixed else out
 
 
-def leftmost_min(keys: np.ndarray, w: int) -> np.ndarray:
+def leftmost_min(keys: np.ndarray, w: int, most: int = 1 << 28) -> np.ndarray:
     """Place of the smallest of each w consecutive keys, the leftmost of equals; len(keys) - w + 1 places.
-    Keys are compared by their upper 36 bits, which equal windows share."""
+    Keys are compared by their upper 36 bits, which equal windows share; places have the other 28, so more keys than
+    that are taken a stretch at a time."""
+    if len(keys) > most:
+        step = most - w + 1
+        return np.concatenate([at + leftmost_min(keys[at : at + most], w, most) for at in range(0, len(keys) - w + 1, step)])
     v = (keys & ~POS_MASK) | np.arange(len(keys), dtype=np.uint64)
     width = 1
     while width * 2 <= w:

@@ -1,6 +1,7 @@
 """Every operator against brute force on a small fixture with nulls, empties, ties, copies and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from quarry.llm import blocks as B  # noqa: E402
-from quarry.llm import jaccard, langid, licences, mixing, packing, rules  # noqa: E402
+from quarry.llm import jaccard, langid, licences, mixing, packing, quality, rules  # noqa: E402
 from quarry.llm.bytestrings import bytestring_dedup  # noqa: E402
 from quarry.llm.fingerprints import document_fingerprints  # noqa: E402
 from quarry.llm.jaccard import jaccard_join  # noqa: E402
@@ -63,7 +64,8 @@ def test_rolled_and_least():
         want = [sum(int(h[i + j]) * pow(int(B.Q), j, 2**64) for j in range(k)) % 2**64 for i in range(len(h) - k + 1)]
         assert B.rolled(h, k, False).tolist() == want
     for w in (1, 3, 13, 64):
-        assert B.leftmost_min(h, w).tolist() == [i + int(np.argmin(h[i : i + w])) for i in range(len(h) - w + 1)]
+        want = [i + int(np.argmin(h[i : i + w])) for i in range(len(h) - w + 1)]
+        assert B.leftmost_min(h, w).tolist() == want and B.leftmost_min(h, w, 70).tolist() == want
 
 
 def test_substrings(plain):
@@ -235,6 +237,67 @@ def test_fingerprints(plain):
     assert got[0].fingerprint == got[3].fingerprint and got[0].near_edited > 0.1
 
 
+def mixed(x):
+    """The finaliser, in whole numbers."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def summed_by_hand(x):
+    return sum(v * pow(int(B.P), i, 2**64) for i, v in enumerate(x)) % 2**64
+
+
+def phrases_by_hand(x):
+    """Names of the phrases of one text, symbol by symbol."""
+    x = [mixed((v + n * int(B.Q)) % 2**64) if n > 1 else v for v, n in ((v, len(list(g))) for v, g in itertools.groupby(x))]
+    label = x
+    for _ in range(4):
+        after = []
+        for i, v in enumerate(label):
+            differs = v ^ (label[i - 1] if i else v ^ 2**64 - 1)
+            place = (differs & -differs).bit_length() - 1
+            after.append(2 * place + (v >> place & 1))
+        label = after
+    assert all(v < 6 for v in label) or len(label) < 2
+    starts = [i for i in range(len(x)) if not i or (i + 1 < len(x) and label[i - 1] < label[i] > label[i + 1])]
+    return [mixed(summed_by_hand(x[a:z])) for a, z in zip(starts, [*starts[1:], len(x)], strict=False)]
+
+
+def names_by_hand(text):
+    """All names of the first level, and of the second and third, as 32 bits."""
+    one = phrases_by_hand([int(B.TABLE[b]) for b in text.encode()])
+    two = phrases_by_hand(one)
+    return {v >> 32 for v in one}, {v >> 32 for v in two} | {mixed(v ^ int(B.Q)) >> 32 for v in phrases_by_hand(two)}
+
+
+def kept_by_hand(names):
+    return sorted(names[0])[:16], sorted(names[1])[:48]
+
+
+def likeness_by_hand(a, b):
+    if a == b:
+        return 1.0
+    (x, y), k = ((set(a[1]), set(b[1])), 48) if min(len(a[1]), len(b[1])) >= 8 else ((set(a[0]) | set(a[1]), set(b[0]) | set(b[1])), 64)
+    least = sorted(x | y)[:k]
+    return sum(v in x and v in y for v in least) / len(least)
+
+
+def test_fingerprints_by_hand(plain):
+    got = {r.doc_id: r for r in document_fingerprints(plain, 4).collect()}
+    rows = rows_of(plain)[::-1]
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        names = [names_by_hand(x) for x in (t, t[: len(t) - len(t) // 2] + after[: len(t) // 2], after)]
+        mine, edited, following = map(kept_by_hand, names)
+        hexed = [".".join("".join(f"{v:08x}" for v in part) for part in x) for x in (mine, edited)]
+        assert [got[d].fingerprint, got[d].edited_fingerprint] == hexed
+        for near, other, there in ((got[d].near_edited, edited, names[1]), (got[d].near_next, following, names[2])):
+            assert abs(near - likeness_by_hand(mine, other)) < 1e-12
+            whole = len(names[0][1] & there[1]) / max(len(names[0][1] | there[1]), 1)
+            assert min(len(names[0][1]), len(there[1])) < 48 or abs(near - whole) < 0.3  # the estimate against all names
+
+
 def test_packing(plain):
     from tokenizers import Tokenizer
 
@@ -491,6 +554,42 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == r.quality for r in both) / len(both) > 0.9
 
 
+def counts_by_hand(text):
+    """Counts of words, shapes and repeats by place, word by word."""
+    out, words = Counter(), text.encode().split()
+    kind = lambda b: 0 if 97 <= b < 123 else 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 3 if b in b".,;:'\"-" else 4 if b in b"!?" else 5 if b == 124 else 7 if b > 127 else 6
+    for i, w in enumerate(words):
+        shout = len(w) > 2 and 2 * sum(65 <= b < 91 for b in w) > len(w)
+        out[(((min(len(w), 15) // 2 * 8 + kind(w[0])) * 8 + kind(w[-1])) * 2 + (i > 0 and words[i - 1] == w)) * 2 + shout] += 1
+        out[quality.SHAPES + quality.REPEATS + mixed(summed_by_hand([int(B.TABLE[b]) for b in w.lower()])) % quality.WORDS] += 1
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+    if triples:
+        share = 1 - len(set(triples)) / len(triples)
+        out[quality.SHAPES + min(int(share * quality.REPEATS), quality.REPEATS - 1)] = len(words) / 2
+    return out
+
+
+def test_votes_by_hand(spark):
+    """Each document against every labelled vector in turn, the nearest 25 by sorting all cosines."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.quality_model(docs, labels)
+    mine = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert len(model["y"]) == len(mine) and sum(model["y"]) == sum(mine.values())
+    got = {r.doc_id: r for r in quality_scores(docs, labels).collect()}
+    for doc_id, text in rows_of(docs):
+        x = np.zeros(quality.TERMS)
+        for place, n in counts_by_hand(text).items():
+            x[place] = np.log(1 + n) * model["idf"][place]
+        at = x / max(np.sqrt(x @ x), 1e-9) @ model["to"].astype(float)
+        at /= max(np.sqrt(at @ at), 1e-9)
+        near = sorted(((float(at @ v), float(y)) for v, y in zip(model["at"].astype(float), model["y"], strict=True)), reverse=True)[:25]
+        total = sum(max(c, 0) ** 8 for c, _ in near)
+        want = sum(max(c, 0) ** 8 * y for c, y in near) / total if total > 1e-9 else model["prior"]
+        assert abs(got[doc_id].score - want) < 1e-3 and got[doc_id].predicted == (got[doc_id].score >= 0.7)
+        assert got[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
+
+
 def test_language_on_held_out_addresses(spark):
     d = "/root/testdata/sf0.001"
     pages = spark.read.parquet(f"{d}/pages.parquet")
