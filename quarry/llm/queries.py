@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bytestrings, fingerprints, jaccard, langid, licences, mixing, packing, quality, rules, substrings
+from quarry.llm import alignment, bytestrings, fingerprints, jaccard, langid, licences, mixing, packing, quality, rules, substrings, variants, warc
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_suffix_dedup": bytestrings.op8_suffix_dedup,
         "op9_quality_knn": quality.op9_quality_knn,
         "op10_language_id": langid.op10_language_id,
+        "op11_warc_archive": warc.op11_warc_archive,
+        "op12_spelling_variants": variants.op12_spelling_variants,
+        "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
     }
 
 
 def oracle_sql():
-    return {"op1_mix_sources": mixing.op1_sql()}
+    return {"op1_mix_sources": mixing.op1_sql(), "op11_warc_archive": warc.op11_sql()}
