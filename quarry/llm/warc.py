@@ -132,5 +132,5 @@ def op11_warc_archive(spark, sf_dir: str) -> DataFrame:
 
 
 def op11_sql() -> str:
-    return """SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN kept END AS refers_to
+    return """SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
     FROM (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS kept FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))"""
