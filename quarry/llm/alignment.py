@@ -26,8 +26,8 @@ from quarry.llm import blocks as B
 from quarry.llm.common import ship, written
 from quarry.llm.packing import WIDE, encoder
 
-BLOCK = 1 << 22  # bytes of text, or one longer text
-CACHE = 300_000  # parts
+BLOCK = 1 << 20  # bytes of text, or one longer text
+CACHE = 250_000  # parts
 SLICE = 1 << 22  # links that are spelt out at a time
 ID_BITS, PAIR_BITS = 20, 40  # of a token id and of a pair of them
 LISTS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
