@@ -11,6 +11,7 @@ fit best. The plan is a list of configurations with counts; items find their pla
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import zlib
 from array import array
@@ -24,8 +25,9 @@ from quarry.llm import blocks as B
 from quarry.llm.common import keyed, ship, written
 
 SALTS = 64  # at least, of the pieces of one length
-GROUPS = 48  # of large items, of equal cardinality
-ROUNDS = 400  # of column generation, at most
+GROUPS = (48, 96)  # of large items, of equal cardinality
+LIMITS = (1 / 4, 1 / 3, 1 / 2)  # shares of the capacity beyond which an item is large
+WASTES = (0, 2, 8, None)  # tokens free in a sequence beyond which its items are packed again
 CACHE = 200_000
 WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")  # white space beyond ASCII
 PIECES = "k long, piece int, start long, length int, ids_crc32 long"
@@ -148,7 +150,8 @@ def cut_up(path: str, capacity: int, end: int, added: bool):
 
 
 def grouped(counts: dict[int, int], large: int, n: int) -> list[dict[int, int]]:
-    """Items of at least large, longest first, in n groups of equal cardinality: {length: items} each."""
+    """Items of at least large, longest first, in n groups of equal cardinality: {length: items} each. Groups of one
+    longest length are one: a length of many items fills several."""
     todo = [[s, counts[s]] for s in sorted(counts, reverse=True) if s >= large and counts[s]]
     total = sum(c for _, c in todo)
     per, out = max(1, -(-total // n)), []
@@ -161,51 +164,92 @@ def grouped(counts: dict[int, int], large: int, n: int) -> list[dict[int, int]]:
             x = min(c, room)
             out[-1][s] = out[-1].get(s, 0) + x
             c, room = c - x, room - x
-    return out
+    one: list[dict[int, int]] = []
+    for g in out:
+        if one and max(one[-1]) == max(g):
+            for s, x in g.items():
+                one[-1][s] = one[-1].get(s, 0) + x
+        else:
+            one.append(g)
+    return one
 
 
 def worthiest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The configuration of most worth and that worth: an unbounded knapsack over the room used."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for used in range(int(sizes[-1]), capacity + 1):
-        n = int(np.searchsorted(-sizes, -used))  # sizes come longest first
-        values = best[used - sizes[n:]] + worth[n:]
-        i = int(np.argmax(values))
-        best[used], last[used] = (values[i], n + i) if values[i] > best[used - 1] + 1e-12 else (best[used - 1], -1)
-    out, used = np.zeros(len(sizes)), capacity
-    while used > 0:
-        if last[used] < 0:
-            used -= 1
-            continue
-        out[last[used]] += 1
-        used -= sizes[last[used]]
-    return out, float(best[-1])
-
-
-def configurations(groups: list[dict[int, int]], capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """The configuration of most worth and that worth: an unbounded knapsack, by the number of its items."""
+    lengths = np.arange(capacity + 1)
+    single, which = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)
+    np.maximum.at(single, sizes, worth)
+    which[sizes[np.lexsort((-np.arange(len(sizes)), worth))]] = np.lexsort((-np.arange(len(sizes)), worth))  # of equal sizes the worthiest
+    used, at = single[sizes.min() :], lengths[sizes.min() :]
+    used, at = used[used > 0], at[used > 0]
+    best, chosen = [np.zeros(capacity + 1)], []
+    if len(at):
+        for _ in range(capacity // int(at[0])):
+            room = lengths[at[0] :, None] - at[None, :]
+            values = np.where(room >= 0, best[-1][np.maximum(room, 0)] + used[None, :], -np.inf)
+            pick = values.argmax(1)
+            top = values[np.arange(len(pick)), pick]
+            new, take = best[-1].copy(), np.full(capacity + 1, -1)
+            better = top > new[at[0] :] + 1e-12
+            new[at[0] :][better], take[at[0] :][better] = top[better], at[pick[better]]
+            if not better.any():
+                break
+            best.append(new)
+            chosen.append(take)
+    out, left = np.zeros(len(sizes)), capacity
+    for take in reversed(chosen):
+        if take[left] >= 0:
+            out[which[take[left]]] += 1
+            left -= take[left]
+    return out, float(best[-1][capacity])
+
+
+def configurations(groups: list[dict[int, int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Whole configurations of groups (with how many sequences), of a least number of sequences for all items.
 
     An item counts at the longest of its group. The linear program over all configurations is solved by column generation:
-    the duals of the present basis price groups, a knapsack finds the worthiest configuration, and it enters while it is
-    worth more than one sequence. Fractions are cut off; what they leave is for best fit."""
+    the duals of the present basis price groups, a knapsack finds the worthiest configuration, and it enters until none is
+    worth more than one sequence. What fractions leave is solved too: the program's configurations, largest fraction
+    first, take it while they can be filled; the rest is for best fit."""
     if not groups:
         return []
-    sizes, need = np.array([max(g) for g in groups]), np.array([sum(g.values()) for g in groups], float)
+    sizes, need = np.array([max(g) for g in groups]), np.array([sum(g.values()) for g in groups], np.int64)
     basis = np.diag((capacity // sizes).astype(float))
-    amount = need / basis.diagonal()
-    for _ in range(rounds):
-        worth = np.linalg.solve(basis.T, np.ones(len(basis)))
-        new, top = worthiest(sizes, np.maximum(worth, 0), capacity)
+    inverse = np.diag(1 / basis.diagonal())
+    apart = need * (1 + 1e-7 * np.arange(1, len(need) + 1) / len(need))  # groups are equal, so that steps of no length would abound
+    amount = inverse @ apart
+    for i in itertools.count(1):
+        new, top = worthiest(sizes, inverse.sum(0), capacity)
         if top <= 1 + 1e-6:
             break
-        step = np.linalg.solve(basis, new)
+        if i > 1000 * (len(sizes) + 10):
+            raise RuntimeError("the linear program of configurations does not end")
+        step = inverse @ new
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
+        basis[:, out] = new
+        if i % 100 == 0:
+            inverse = np.linalg.inv(basis)
+            amount = np.maximum(inverse @ apart, 0)
+            continue
         amount = np.maximum(amount - ratio[out] * step, 0)
         amount[out] = ratio[out]
-        basis[:, out] = new
-    found = [(tuple(i for i in range(len(sizes)) for _ in range(int(basis[i, j]))), int(amount[j] + 1e-6)) for j in range(len(basis))]
-    return [(c, n) for c, n in found if n]
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
+    whole = np.floor(amount + 1e-4).astype(np.int64)
+    left = need - (basis @ whole).astype(np.int64)
+    for j in np.argsort(whole - amount, kind="stable"):
+        while whole[j] and (left < 0).any():  # a rounding error took one too many
+            if not (basis[:, j] * (left < 0)).any():
+                break
+            whole[j] -= 1
+            left = left + basis[:, j].astype(np.int64)
+    for j in np.argsort(whole - amount, kind="stable"):
+        while (left >= basis[:, j]).all():
+            whole[j] += 1
+            left = left - basis[:, j].astype(np.int64)
+    return [(tuple(i for i in range(len(sizes)) for _ in range(int(basis[i, j]))), int(whole[j])) for j in range(len(basis)) if whole[j]]
 
 
 def substituted(shapes: list[tuple[tuple[int, ...], int]], groups: list[dict[int, int]]) -> tuple[dict[tuple[int, ...], int], dict[int, int]]:
@@ -242,18 +286,35 @@ def substituted(shapes: list[tuple[tuple[int, ...], int]], groups: list[dict[int
     return {c: n for c, n in open_.items() if c}, left
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS, large: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int, groups: tuple[int, ...] = GROUPS, limits: tuple[float, ...] = LIMITS) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths in one sequence, sequences like it)] that hold exactly counts items of each length.
 
-    Items of at least large (7/16 of the capacity) are grouped; a lower limit groups more of them and wastes more, as
-    what lengths are rounded up by then exceeds what small items can fill. The work depends on the number of lengths and groups, not of items."""
-    large = large or capacity * 7 // 16
-    found = grouped(counts, large, groups)
-    open_, left = substituted(configurations(found, capacity), found)
-    for s, n in counts.items():
-        if s < large and n:
-            left[s] = left.get(s, 0) + n
-    return best_fit(open_, left, capacity)
+    Items over a share of the capacity are grouped. Rounding lengths up leaves room where small items are few, so sequences with
+    more than some waste are taken apart again and best fit packs their items. All limits, numbers of groups and wastes are
+    tried and the plan of fewest sequences stays, the first of equals. The work depends on the number of lengths and groups, not of items."""
+    best = None
+    for limit, n in sorted({(int(capacity * x) + 1, n) for x in limits for n in groups}):
+        found = grouped(counts, limit, n)
+        open_, left = substituted(configurations(found, capacity), found)
+        for s, x in counts.items():
+            if s < limit and x:
+                left[s] = left.get(s, 0) + x
+        first = best_fit(open_, left, capacity)
+        for waste in WASTES:
+            steps = first if waste is None else again(first, waste, capacity)
+            if best is None or sum(x for _, x in steps) < sum(x for _, x in best):
+                best = steps
+    return best
+
+
+def again(steps: list[tuple[tuple[int, ...], int]], waste: int, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The steps that leave no more than waste free, and the items of the others by best fit."""
+    loose: dict[int, int] = {}
+    for c, n in steps:
+        if capacity - sum(c) > waste:
+            for s in c:
+                loose[s] = loose.get(s, 0) + n
+    return [(c, n) for c, n in steps if capacity - sum(c) <= waste] + best_fit({}, loose, capacity)
 
 
 def best_fit(open_: dict[tuple[int, ...], int], small: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -350,23 +350,35 @@ def test_plan_holds_every_item():
         assert held == counts
 
 
-def test_grouped_configurations_carry_the_plan():
-    counts = dict(Counter(np.random.default_rng(4).integers(1, 1024, 5000).tolist()))
-    groups = packing.grouped(counts, 448, 48)
-    assert max(sum(g.values()) for g in groups) == -(-sum(n for s, n in counts.items() if s >= 448) // 48)
-    found = packing.configurations(groups, 1024)
-    sizes, needs, held = [max(g) for g in groups], [sum(g.values()) for g in groups], Counter()
-    for c, n in found:
+def test_configurations_of_three_carry_the_plan():
+    """Items of three tenths to four tenths fit three by three, which best fit alone does not find."""
+    counts = dict(Counter(np.random.default_rng(4).integers(300, 381, 20_000).tolist()))
+    found = packing.grouped(counts, 257, 48)
+    per = -(-20_000 // 48)
+    assert max(sum(g.values()) for g in found) <= per + max(counts.values())  # of equal cardinality, but for groups of one length
+    shapes = packing.configurations(found, 1024)
+    sizes, needs, held = [max(g) for g in found], [sum(g.values()) for g in found], Counter()
+    for c, n in shapes:
         assert sum(sizes[i] for i in c) <= 1024
         for i in c:
             held[i] += n
-    assert all(held[i] <= need for i, need in enumerate(needs))
-    large = sum(needs)
-    assert sum(held.values()) > 0.95 * large  # fractions cut off leave few
-    assert sum(n for c, n in found if len(c) > 1) > 200
-    steps = packing.plan(counts, 1024)
-    assert sum(n for c, n in steps if sum(s >= 448 for s in c) > 1) > 200
-    assert sum(n for _, n in steps) <= 1.02 * sum(s * n for s, n in counts.items()) / 1024
+    assert all(held[i] <= need for i, need in enumerate(needs)) and sum(held.values()) > 0.98 * 20_000
+    assert sum(n for c, n in shapes if len(c) == 3) > 6000
+    steps, bound = packing.plan(counts, 1024), -(-sum(s * n for s, n in counts.items()) // 1024)
+    assert sum(n for _, n in steps) <= 6700 < 1.01 * bound and sum(n for c, n in steps if len(c) == 3) > 6000
+    assert sum(n for _, n in packing.best_fit({}, counts, 1024)) > 7300
+
+
+def test_plans_are_no_worse_than_best_fit():
+    for low, high in ((1, 1024), (200, 700), (500, 530), (1, 40)):
+        counts = dict(Counter(np.random.default_rng(low).integers(low, high, 5000).tolist()))
+        steps, held = packing.plan(counts, 1024), Counter()
+        for c, n in steps:
+            assert sum(c) <= 1024
+            for s in c:
+                held[s] += n
+        assert held == counts
+        assert sum(n for _, n in steps) <= sum(n for _, n in packing.best_fit({}, counts, 1024))
 
 
 def test_configurations_are_of_a_least_number():
