@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import blocks as B
-from quarry.llm.common import ship, written
+from quarry.llm.common import ship, slim, written
 from quarry.llm.packing import WIDE, encoder
 
-BLOCK = 1 << 20  # bytes of text, or one longer text
-CACHE = 250_000  # parts
+BLOCK = 1 << 19  # bytes of text, or one longer text
+CACHE = 150_000  # parts
 SLICE = 1 << 22  # links that are spelt out at a time
 ID_BITS, PAIR_BITS = 20, 40  # of a token id and of a pair of them
 LISTS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
@@ -247,6 +247,8 @@ def scan(first: str, second: str):
                     values = row[name] if isinstance(row[name], pa.Array) else pa.array(row[name], kinds[kind])
                     made.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
                 yield pa.record_batch(made, [n for n, _ in fields])
+        del aligner
+        slim()
 
     return run
 

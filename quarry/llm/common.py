@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -86,6 +87,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slim() -> None:
+    """Give freed memory of this Python worker back to the machine; the worker waits for its next task beside the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def components(links: DataFrame, label: str = "comp") -> DataFrame:
     """(k, label): the smallest k reachable from each k that has links (a, b).
 
