@@ -12,7 +12,8 @@ than one component go on with more pivots, 64 times as many each round, until ev
 overlap with its first pivot, its home, bounds its overlap with other sets of that home, and pairs that cannot reach
 the threshold by this bound are not compared. Nor is a pair compared for an n-gram so late in both sets' orders that,
 were it the first they share, the rest could not reach the threshold: for the first they do share, a link's rest can.
-These links give the components. All links are then counted inside them, block against block and again fragment by fragment.
+These links give the components. On request all links are then counted inside them, block against block and again fragment by
+fragment: work that grows with the square of a component, as the number of its links does, so nothing asks for it by default.
 """
 
 from __future__ import annotations
@@ -236,9 +237,9 @@ def degrees(comps: DataFrame, frags: DataFrame, part: tuple[int, int]) -> DataFr
     return counted.groupBy(F.col("k").alias("class")).agg(F.sum("links").alias("k_links"))
 
 
-def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4), most: int | None = None) -> DataFrame:
+def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4), most: int | None = None, count_links: bool = False) -> DataFrame:
     """Link documents whose n-gram sets have |A & B| * part[1] >= |A | B| * part[0], and return one row a
-    document: doc_id, n_shingles, class_id, component_id and k_links (how many other classes it is linked with).
+    document: doc_id, n_shingles, class_id and component_id, with count_links also k_links (how many other classes it is linked with).
 
     docs has doc_id and text; other columns are ignored. part is 3/4: the rounds above rest on it.
     Letters A-Z are lower-cased. A null text or one without words has the empty set and is linked
@@ -316,9 +317,12 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4),
             comps = components(links)
     if comps is None:
         comps = spark.createDataFrame([], "k long, comp long")
-    degree = degrees(comps, frags, part)
-    result = classes.join(comps.withColumnRenamed("k", "class"), "class", "left").join(degree, "class", "left")
-    result = result.select("k", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"), F.coalesce("k_links", F.lit(0)).alias("k_links"))
+    result = classes.join(comps.withColumnRenamed("k", "class"), "class", "left")
+    columns = [F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id")]
+    if count_links:
+        result = result.join(degrees(comps, frags, part), "class", "left")
+        columns.append(F.coalesce("k_links", F.lit(0)).alias("k_links"))
+    result = result.select("k", *columns)
     if unique:
         return result.withColumnRenamed("k", "doc_id")
     names = kd.select("k", "doc_id").distinct()
@@ -330,4 +334,4 @@ def jaccard_join(docs: DataFrame, gram: int = 5, part: tuple[int, int] = (3, 4),
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     from quarry.llm.common import read
 
-    return jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "k_links")
+    return jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
