@@ -26,9 +26,9 @@ def words_of(text: Column) -> Column:
 
 
 def word_model(docs: DataFrame, sample: int = SAMPLE, seen: int = SEEN) -> tuple[DataFrame, list[str]]:
-    """((word, l0, l1 ..), languages): log probabilities of the words of a sample of labelled documents, chosen by hash of the id."""
+    """((word, l0, l1 ..), languages): log probabilities of the words of a sample of labelled documents, chosen by hash of id and text, so that ids that are null are no group of their own."""
     share = docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg((F.lit(sample) / F.count(F.lit(1))).alias("share"))  # a row for each language
-    some = docs.filter(F.col("lang").isNotNull()).join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    some = docs.filter(F.col("lang").isNotNull()).join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     counts = written(some.select("lang", F.explode(words_of(F.coalesce("text", F.lit("")))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     total = {r[0]: r[1] + 1.0 for r in counts.groupBy("lang").agg(F.sum("n")).collect()}  # a row for each language
     langs = sorted(r[0] for r in share.select("lang").collect())
@@ -85,7 +85,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     by_site = by_host.groupBy("site").agg(*[F.sum(f"h{i}").alias(f"t{i}") for i in every])
     whole = by_site.agg(*[F.sum(f"t{i}") for i in every]).first()  # one row
     whole = [x or 0 for x in whole]
-    said = [list(r) for r in seen.groupBy("text_lang", "declared", "address").count().filter(F.col("text_lang").isNotNull() & (F.col("declared").isin(langs) | F.col("address").isin(langs))).collect()]  # languages to the third power at most
+    # readings that are no language are one value, so that these are at most languages times (languages + 1) squared rows
+    reading = [F.when(F.col(n).isin(langs), F.col(n)).alias(n) for n in ("declared", "address")]
+    said = [list(r) for r in seen.filter("text_lang IS NOT NULL").groupBy("text_lang", *reading).count().collect()]
 
     def readings(at: int) -> DataFrame:
         """(r, p): of each reading the log probabilities that pages of each language carry it, one of each pair added."""
