@@ -75,7 +75,7 @@ def rake(cells: list[tuple], kept: float, goals: dict[str, dict], rounds: int) -
     return v
 
 
-def rake_by_joins(cells: DataFrame, kept: float, goals: DataFrame, rounds: int, enough: float = 1e-7) -> DataFrame:
+def rake_by_joins(cells: DataFrame, kept: float, goals: DataFrame, rounds: int) -> DataFrame:
     """The same over a table of cells of any size: (source, lang, topic, tokens, v); goals are (axis, name, goal)."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     now = cells.withColumn("v", F.col("tokens") * (kept / total))
@@ -89,7 +89,7 @@ def rake_by_joins(cells: DataFrame, kept: float, goals: DataFrame, rounds: int,
         step = written(step)
         moved = step.agg(F.max(F.abs(F.col("v") - F.col("was")))).first()[0] or 0.0
         now = step.drop("was")
-        if moved <= enough * max(kept, 1.0):
+        if moved <= EXACT * max(kept, 1.0):
             break
     return now
 
@@ -137,7 +137,7 @@ def mix_sources(docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict
     Tokens are the parts between spaces; a null or empty text has none and is kept with its cell's
     probability, or the overall share where the cell has no tokens. Null languages and sources are categories of their own. Equal ids draw
     alike, and rows with a null id draw by their text. Columns of docs with the new names are replaced; any other name is
-    carried. most: cells fitted on the driver and broadcast; more are fitted and joined by shuffles, with the same result.
+    carried. most: cells fitted on the driver and broadcast; more are fitted and joined by shuffles, by the same steps to the same end.
     """
     base = with_cells(docs)
     cells = written(base.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")))
