@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 SIZES = ("XS", "S", "M", "L", "XL", "XXL")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def slugify(c: Column) -> Column:
     """Lower case, each run of other characters a hyphen, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.carry import WIDTH, carried, running_count  # noqa: F401
+
 
 def ready_set(items: DataFrame, needs: DataFrame) -> DataFrame:
     """items (id, done, claimed_by) and needs (id, need): open items with their blockers and state. A need that is
@@ -15,16 +17,10 @@ def ready_set(items: DataFrame, needs: DataFrame) -> DataFrame:
     return items.filter(~F.col("done")).join(blockers, "id", "left").withColumn("state", state).withColumn("blocked_by", F.coalesce("blocked_by", F.lit("")))
 
 
-def carried(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """The last value seen so far in the group, for rows without one; rows before the first value have none and belong to no group."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last_value(value, F.lit(True)).over(w))
-
-
 def two_phase(df: DataFrame, file: str, key: str, amount: Column) -> DataFrame:
-    """Sums rounded to cents for each file and key, then summed by key: cents are lost where files end."""
-    part = df.groupBy(file, key).agg(F.round(F.sum(amount), 2).alias("part"), F.count(F.lit(1)).alias("n"))
-    return part.groupBy(key).agg(F.round(F.sum("part"), 2).alias("usd"), F.sum("n").alias("sessions"))
+    """Sums rounded to cents for each file and key, halves to even, then summed by key: cents are lost where files end."""
+    part = df.groupBy(file, key).agg(F.bround(F.sum(amount), 2).alias("part"), F.count(F.lit(1)).alias("n"))
+    return part.groupBy(key).agg(F.sum("part").alias("usd"), F.sum("n").alias("sessions"))
 
 
 def zero_filled(domain: DataFrame, df: DataFrame, key: str, **aggregates: Column) -> DataFrame:
@@ -76,21 +72,27 @@ def supersede_audit(links: DataFrame) -> DataFrame:
     return both.select("id", problem.alias("problem"))
 
 
-def claims(df: DataFrame, key: str, order: str, who: str, force: str | None = None) -> DataFrame:
-    """The holder of each key after all claims in order, and how many were refused: those of others than the holder, unless
-    forced (the column force), which takes the lease over. A null claimant releases it. Ties in order fall to the lesser claimant."""
-    forced = F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)
-    events = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(who).alias("who"), forced.alias("force"))))
-    start = F.struct(F.lit(None).cast(dict(df.dtypes)[who]).alias("holder"), F.lit(0).cast("long").alias("refused"))
-
-    def one(state: Column, e: Column) -> Column:
-        taken = state["holder"].isNotNull() & e["who"].isNotNull() & (state["holder"] != e["who"]) & ~e["force"]
-        return F.struct(F.when(taken, state["holder"]).otherwise(e["who"]).alias("holder"), (state["refused"] + taken.cast("int")).alias("refused"))
+def claims(df: DataFrame, key: str, order: str, who: str, force: str | None = None, width: int = WIDTH) -> DataFrame:
+    """(key, holder, refused): the holder of each key after all claims in order, and how many were refused: those of others than
+    the holder, unless forced (the column force), which takes the lease over. A null claimant releases it. order is a number; of claims
+    at one place the lesser claimant's comes first, a release before both.
 
-    if force is None:  # without force the first claimant stays, so that two sums are enough
-        first = df.groupBy(key).agg(F.min_by(who, F.struct(order, who)).alias("holder"))
-        return df.join(first, key).groupBy(key, "holder").agg(F.count_if(F.col(who) != F.col("holder")).alias("refused"))
-    return df.groupBy(key).agg(F.aggregate(events, start, one).alias("s")).select(key, "s.*")
+    A release or a forced claim begins a stretch, in which one holder stays: the one that forced it, or else the first that claims. So
+    stretches are numbered by a running count, and two sums over stretches are all that is left, whatever a key's number of events."""
+    if force is None and not df.filter(F.col(who).isNull()).limit(1).count():  # no stretch ends: the first claimant stays
+        each = df.groupBy(key, who).agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("n"))
+        best = F.min(F.struct("at", F.col(who).alias("holder"), "n"))
+        return each.groupBy(key).agg(best.alias("b"), F.sum("n").alias("all")).select(key, F.col("b.holder").alias("holder"), (F.col("all") - F.col("b.n")).alias("refused"))
+    forced = F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)
+    e = df.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(who).alias("who"), forced.alias("force"))
+    e = e.withColumn("turn", F.struct("who", "force"))
+    begins = F.col("who").isNull() | F.col("force")
+    e = running_count(e, "key", "at", begins, "stretch", width, ["turn"])
+    first = F.min_by("who", F.when(F.col("who").isNotNull(), F.struct("at", "turn")))
+    mine = e.groupBy("key", "stretch").agg(first.alias("holder"))
+    counted = e.join(mine.withColumnsRenamed({"key": "k", "stretch": "s"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("stretch") == F.col("s")))
+    refused = counted.groupBy("key").agg(F.count_if((F.col("who") != F.col("holder")) & ~F.col("force")).alias("refused"), F.max(F.struct("stretch", "holder")).alias("last"))
+    return refused.select(F.col("key").alias(key), F.col("last.holder").alias("holder"), "refused")
 
 
 def transitions(df: DataFrame, key: str, order: str, cycle: str, given: str | None = None) -> DataFrame:

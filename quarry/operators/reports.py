@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators.carry import carried
 from quarry.sources import records as R
 
 CYCLES = ("frame", "design", "build", "verify", "ship")
 SIZES = X.SIZES
-WHOLE, MONEY = "^[0-9]+$", "^[0-9]+(\\.[0-9]+)?$"
-
-
-def number(c: Column, pattern: str, kind: str) -> Column:
-    return F.when(F.rlike(c, F.lit(pattern)), F.try_to_number(c, F.lit("9" * 18)) if kind == "long" else c.cast(kind))
+# Numbers of more digits than a ledger can mean count as no numbers, so that no sum of them overflows.
+WHOLE, MONEY = "^0*[0-9]{1,12}$", "^0*[0-9]{1,9}(\\.[0-9]+)?$"
 
 
 def tokens_of(sessions: Column) -> Column:
@@ -67,11 +65,6 @@ def costs(records: DataFrame, date: str | None = None) -> DataFrame:
     return out.withColumn("on_date", recorded_on(F.col("_s"), F.lit(date))).drop("_s")
 
 
-def with_totals(records: DataFrame) -> DataFrame:
-    """The records with totals made anew from their sessions."""
-    return records.withColumn("totals", F.struct(tokens_of(F.col("sessions")).alias("tokens_total"), usd_of(F.col("sessions")).alias("estimated_usd"), F.size("sessions").alias("session_count")))
-
-
 def cost_gate(specs: DataFrame, patches: DataFrame | None = None, metering: str = "subagent_tokens", exempt: tuple[str, ...] = (), floor: int = 1000) -> DataFrame:
     """Shipped records with the metered cycles that lack tokens or have too few to be true; nothing where nothing is metered."""
     def one(df: DataFrame, cycles: tuple[str, ...]) -> DataFrame:
@@ -87,21 +80,24 @@ def shown(c: Column) -> Column:
     return F.coalesce(c, F.lit("∅"))
 
 
-def rules_of(kind: str) -> dict[str, Column]:
-    """Name of each rule of a kind of record and the condition under which it is broken."""
+def rules_of(kind: str) -> dict[str, tuple[Column, str | None]]:
+    """Name of each rule of a kind of record, the condition under which it is broken, and the column to show with it."""
     c = F.col
-    cycles = {"spec": CYCLES, "patch": ("patch", "verify", "ship"), "spike": ("spike", "land")}[kind]
     outside = lambda n, values: ~F.coalesce(c(n).isin(*values), F.lit(False))
+    missing = lambda names: {n: (c(a).isNull(), None) for n, a in names.items()}
     if kind == "spike":
-        return {"spike.id": c("id").isNull() | (c("id") == ""), "spike.question": c("question").isNull(), "spike.cycle": outside("cycle", cycles), "spike.outcome": c("outcome").isNotNull() & outside("outcome", ("answered", "inconclusive", "graduated", "discarded"))}
+        ends = ("answered", "inconclusive", "graduated", "discarded")
+        outcome = ((c("cycle") == "land") | c("outcome").isNotNull()) & outside("outcome", ends)
+        return missing({"task.id": "task_id", "task.type": "type", "repo.id": "repo"}) | {"task.cycle": (outside("cycle", ("spike", "land")), "cycle")} | missing({"spike.question": "question", "spike.timebox": "timebox"}) | {
+            "spike.mode": (outside("mode", ("question", "build")), "mode"), "spike.outcome": (F.coalesce(outcome, F.lit(False)), "outcome")}
+    cycles = {"spec": CYCLES, "patch": ("patch", "verify", "ship")}[kind]
     needed = {"task.id": "task_id", "task.type": "type", "project.id": "project"} | ({"project.stage": "stage"} if kind == "spec" else {}) | {"repo.id": "repo"}
-    return {n: c(a).isNull() for n, a in needed.items()} | {"task.cycle": outside("cycle", cycles), "task.complexity": outside("complexity", SIZES)}
+    return missing(needed) | {"task.cycle": (outside("cycle", cycles), "cycle"), "task.complexity": (outside("complexity", SIZES), "complexity")}
 
 
 def validate(records: DataFrame, kind: str) -> DataFrame:
     """(name, kind, problems) of each record, no problems for a sound one. A value out of its set is shown with it."""
-    value = {"task.cycle": "cycle", "task.complexity": "complexity"} if kind != "spike" else {}
-    problems = [F.when(bad, F.concat(F.lit(f"{n}(='"), shown(F.col(value[n])), F.lit("')")) if n in value else F.lit(n)) for n, bad in rules_of(kind).items()]
+    problems = [F.when(bad, F.lit(n) if value is None else F.concat(F.lit(f"{n}(='"), shown(F.col(value)), F.lit("')"))) for n, (bad, value) in rules_of(kind).items()]
     name = F.col("name") if "name" in records.columns else R.file_stem(F.col("path"))
     return records.select(name.alias("name"), F.lit(kind).alias("kind"), F.array_compact(F.array(*problems)).alias("problems"))
 
@@ -119,6 +115,29 @@ def advisories(specs: DataFrame) -> DataFrame:
     return actual.unionByName(verdict).unionByName(gone.select("name", F.concat(F.lit("depends_on="), "dep").alias("note")))
 
 
+def notes(df: DataFrame, name: str, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(name, note) for each value of a field that is out of its suggested set; absent values need no note."""
+    found = [F.when(F.col(f).isNotNull() & ~F.col(f).isin(*values), F.concat(F.lit(f"{f}="), F.col(f))) for f, values in fields.items()]
+    return df.select(F.col(name).alias("name"), F.explode(F.array_compact(F.array(*found))).alias("note"))
+
+
+def brief_advisories(briefs: DataFrame, activities: tuple[str, ...] = ("requirements", "design", "build", "test", "blocked", "spike")) -> DataFrame:
+    """(name, note) that never gates: activity, reason of closing, and kinds and horizons of the declared roadmap out of their sets.
+    More activities can be suggested."""
+    b = briefs.select(F.element_at(F.split("path", "/"), -2).alias("project"), "activity", "closed_reason", "roadmap")
+    items = b.select("project", F.explode("roadmap").alias("r")).select("project", *[R.told(F.col(f"r.{n}")).alias(n) for n in ("item", "kind", "horizon")]).filter("item IS NOT NULL")
+    own = notes(b, "project", {"activity": activities, "closed_reason": ("shipped", "abandoned", "superseded", "parked")})
+    declared = notes(items.withColumn("of", F.concat_ws(" ", "project", "item")), "of", {"kind": ("framed", "planned", "pillar", "goal"), "horizon": ("now", "next", "later")})
+    return own.unionByName(declared)
+
+
+def decision_advisories(decisions: DataFrame) -> DataFrame:
+    """(name, note) that never gates: statuses out of their set, and decisions that no project is named for."""
+    some = decisions.filter("insight_id IS NOT NULL")
+    odd = notes(some, "insight_id", {"status": ("proposed", "accepted", "superseded", "rejected", "deprecated")})
+    return odd.unionByName(some.filter("project IS NULL").select(F.col("insight_id").alias("name"), F.lit("unattributed").alias("note")))
+
+
 def ready(specs: DataFrame, project: str | None = None) -> DataFrame:
     """Open specs of a scope with state and blockers: dependencies of the same project that have not shipped or do not exist."""
     some = specs if project is None else specs.filter(F.col("project") == project)
@@ -198,8 +217,7 @@ def cost_by(specs: DataFrame, field: str, domain: tuple[str, ...] | None = None)
     """(field, usd) of sessions by cycle or interface: cents for each record and value, then summed. An interface
     carries on to later sessions of the record that name none; sessions before the first one count for nothing."""
     s = specs.select("path", F.posexplode("sessions").alias("place", "s")).select("path", "place", R.told(F.col(f"s.{field}")).alias(field), F.when(F.rlike("s.estimated_usd", F.lit(MONEY)), F.col("s.estimated_usd").cast("decimal(18,4)")).alias("usd"))
-    before = Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn(field, F.last_value(field, F.lit(True)).over(before)).filter(F.col(field).isNotNull() & F.col("usd").isNotNull())
+    s = carried(s, "path", "place", field, 4096).filter(F.col(field).isNotNull() & F.col("usd").isNotNull())
     out = s.groupBy("path", field).agg(F.bround(F.sum("usd"), 2).alias("part")).groupBy(field).agg(F.sum("part").cast("double").alias("usd"))
     if domain is None:
         return out
@@ -342,9 +360,10 @@ def script_gaps(template: DataFrame, instances: DataFrame, cross: tuple[str, ...
 
 
 def close_project(brief: DataFrame, specs: DataFrame, stages: DataFrame, decisions: DataFrame, signals: DataFrame, today: str) -> DataFrame:
-    """A row for each brief: the numbers of its project, refusals and warnings of closing it. Archived specs count once."""
+    """A row for each brief: the numbers of its project, refusals and warnings of closing it. Archived specs count once. Here shipped is what
+    stands at cycle ship: an archived spec at another cycle holds the close up, though every other report takes it as shipped."""
     c = F.col
-    s = specs.groupBy("project").agg(F.count(F.lit(1)).alias("specs"), F.count_if("shipped").alias("shipped"), F.sum(tokens_of(c("sessions"))).alias("tokens"), F.sum(usd_of(c("sessions"))).cast("double").alias("usd"))
+    s = specs.groupBy("project").agg(F.count(F.lit(1)).alias("specs"), F.count_if(c("cycle") == "ship").alias("shipped"), F.sum(tokens_of(c("sessions"))).alias("tokens"), F.sum(usd_of(c("sessions"))).cast("double").alias("usd"))
     o = stages.groupBy(F.regexp_extract("path", "(PROJ-[0-9]+)", 1).alias("project")).agg(F.sum(tokens_of(c("sessions"))).alias("orchestration"))
     d = decisions.groupBy("project").agg(F.count(F.lit(1)).alias("decisions"), F.count_if(c("superseded_by").isNotNull()).alias("superseded"))
     open_ = signals.filter("disposition_at = 'project-close' AND status IN ('open', 'watch')").agg(F.count(F.lit(1)).alias("signals"))  # one row

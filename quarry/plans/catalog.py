@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import decoding, ledger, records
+from quarry.plans import decoding, ledger, records, texts
 
-MODULES = (decoding, ledger, records)
+MODULES = (decoding, ledger, records, texts)
 
 
 def queries():

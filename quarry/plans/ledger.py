@@ -44,7 +44,7 @@ _CARRY = """c AS (SELECT user_id, event_id, event_type, value, last_value(CASE W
     FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events))"""
 
 
-@query(f"""WITH {_CARRY}, p AS (SELECT user_id, iface, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(18,4)), 2) AS part, count(*) AS n FROM c GROUP BY ALL)
+@query(f"""WITH {_CARRY}, h AS (SELECT user_id, iface, sum(CAST(value AS DECIMAL(18,4))) * 100 AS x, count(*) AS n FROM c GROUP BY ALL), p AS (SELECT iface, n, CAST((floor(x) + CASE WHEN x - floor(x) > 0.5 OR x - floor(x) = 0.5 AND floor(x) % 2 = 1 THEN 1 ELSE 0 END) / 100 AS DECIMAL(18,2)) AS part FROM h)
     SELECT iface, CAST(sum(part) AS DOUBLE) AS usd, CAST(sum(n) AS BIGINT) AS sessions FROM p WHERE iface IS NOT NULL GROUP BY iface""")
 def cost_two_phase(t):
     k = F.get_json_object("props", "$.k").cast("int")

@@ -27,12 +27,12 @@ def sized(n: str, width: int) -> str:
 
 
 SPEC = {
-    "id": f"'SPEC-' || {sized('k', 7)}", "project": "'PROJ-00' || CAST(k % 3 AS STRING)", "stage": f"'STAGE-0' || {sized('c_nationkey', 2)}",
+    "id": f"'SPEC-' || {sized('k', 10)}", "project": "'PROJ-00' || CAST(k % 3 AS STRING)", "stage": f"'STAGE-0' || {sized('c_nationkey', 2)}",
     "cycle": "CASE WHEN k % 97 = 0 THEN 'bogus' ELSE " + pick("k % 6", "'frame'", "'design'", "'build'", "'verify'", "'ship'", "'ship'") + " END",
-    "archived": "k % 97 <> 0 AND k % 6 = 4 AND k % 4 = 2", "shipped": "k % 97 <> 0 AND k % 6 >= 4", "counts": "k % 50 <> 7 AND k % 49 <> 5",
+    "archived": "k % 97 <> 0 AND (k % 6 = 4 AND k % 4 = 2 OR k % 30 = 9)", "shipped": "k % 97 <> 0 AND (k % 6 >= 4 OR k % 30 = 9)", "counts": "k % 50 <> 7 AND k % 49 <> 5",
     "type": "CASE WHEN k % 83 = 0 THEN NULL WHEN k % 10 = 0 THEN 'release' ELSE 'story' END", "size": pick("k % 7", "'XS'", "'S'", "'M'", "'L'", "'XL'", "'XXL'", "'huge'"), "actual": pick("k % 5", "NULL", "'S'", "'M'", "'L'", "'vast'"),
     "verdict": pick("k % 4", "'approved'", "'punch-list'", "'rejected'", "NULL"), "title": "CASE WHEN k % 13 = 0 THEN 'my thing ' || CAST(k % 5 AS STRING) ELSE 'Thing ' || CAST(k AS STRING) END",
-    "dep1": f"CASE WHEN k > 3 THEN 'SPEC-' || {sized('k - 3', 7)} END", "dep2": f"CASE WHEN k % 11 = 0 THEN 'SPEC-' || {sized('k + 5000001', 7)} END", "dec": f"CASE WHEN k % 3 < 2 THEN 'DEC-' || {sized('k % 40 + 1', 3)} END",
+    "dep1": f"CASE WHEN k > 3 THEN 'SPEC-' || {sized('k - 3', 10)} END", "dep2": f"CASE WHEN k % 11 = 0 THEN 'SPEC-' || {sized('k + 5000000001', 10)} END", "dec": f"CASE WHEN k % 3 < 2 THEN 'DEC-' || {sized('k % 40 + 1', 10)} END",
     "holder": "CASE WHEN k % 5 = 3 THEN 'ann' END", "link": "CASE WHEN k % 4 <> 0 THEN 'reach: more # users' END", "est": "CASE WHEN k % 6 <> 0 THEN CAST(k * 90 + 500 AS STRING) END", "n": "k % 4",
     "bt": pick("k % 9", "'null'", "'0'", "'12k'", "'662'") .replace(" END", " ELSE CAST(k * 100 AS STRING) END"), "vt": "CAST(k * 10 + 1000 AS STRING)", "bu": "CAST(k % 1000 AS STRING) || '.125'", "vu": "CAST(k % 77 AS STRING) || '.5'",
     "day": f"'2024-03-' || {sized('1 + k % 28', 2)}", "defect": pick("k % 8", "'design'", "'build'", "'verify'", "'ship'", "'escaped'", "'none'"), "caught": "CASE WHEN k % 8 >= 6 AND k % 5 = 0 THEN 'none' ELSE " + pick("k % 8", "'design'", "'build'", "'verify'", "'ship'", "'escaped'", "'none'") + " END", "said": "CASE WHEN k % 5 > 1 THEN 'Users can do thing ' || CAST(k AS STRING) END",
@@ -42,8 +42,8 @@ STAGE = {
     "id": f"'STAGE-0' || {sized('k', 2)}", "project": "'PROJ-00' || CAST(k % 3 AS STRING)", "status": pick("k % 4", "'shipped'", "'active'", "'cancelled'", "'planned'"), "backlog": "k % 5", "tokens": "k * 1000",
 }
 DECISION = {
-    "file_id": f"'DEC-' || {sized('k', 3)}", "iid": f"CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN 'DEC-' || {sized('k + 500', 3)} WHEN k % 23 = 0 THEN 'DEC-001' ELSE 'DEC-' || {sized('k', 3)} END", "type": "CASE WHEN k % 7 <> 0 THEN 'decision' END", "made": "CASE WHEN k % 11 <> 0 THEN '2024-01-02' END",
-    "project": "'PROJ-00' || CAST(k % 3 AS STRING)", "status": "CASE WHEN k % 15 = 14 THEN 'superseded' ELSE " + pick("k % 5", "'superseded'", "NULL", "'proposed'", "'accepted'", "NULL") + " END", "sup_by": f"CASE WHEN k % 5 = 0 OR k % 20 = 3 THEN 'DEC-' || {sized('k + 1', 3)} END", "sup": f"CASE WHEN k % 10 = 1 THEN 'DEC-' || {sized('k - 1', 3)} WHEN k % 10 = 6 THEN 'DEC-' || {sized('k', 3)} WHEN k % 20 = 8 THEN 'DEC-' || {sized('k - 2', 3)} END",
+    "file_id": f"'DEC-' || {sized('k', 10)}", "iid": f"CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN 'DEC-' || {sized('k + 500', 10)} WHEN k % 23 = 0 THEN 'DEC-0000000001' ELSE 'DEC-' || {sized('k', 10)} END", "type": "CASE WHEN k % 7 <> 0 THEN 'decision' END", "made": "CASE WHEN k % 11 <> 0 THEN '2024-01-02' END",
+    "project": "'PROJ-00' || CAST(k % 3 AS STRING)", "status": "CASE WHEN k % 15 = 14 THEN 'superseded' ELSE " + pick("k % 5", "'superseded'", "NULL", "'proposed'", "'accepted'", "NULL") + " END", "sup_by": f"CASE WHEN k % 5 = 0 OR k % 20 = 3 THEN 'DEC-' || {sized('k + 1', 10)} END", "sup": f"CASE WHEN k % 10 = 1 THEN 'DEC-' || {sized('k - 1', 10)} WHEN k % 10 = 6 THEN 'DEC-' || {sized('k', 10)} WHEN k % 20 = 8 THEN 'DEC-' || {sized('k - 2', 10)} END",
     "confidence": "'0.' || CAST(k % 10 AS STRING)", "g1": pick("k % 4", "'src/m' || CAST(k % 6 AS STRING) || '/**'", "'src/m' || CAST(k % 6 AS STRING) || '/sub' || CAST(k % 3 AS STRING) || '/*.rs'", "'_headers'", "'**/*.ts'"), "g2": "CASE WHEN k % 4 = 0 THEN 'docs/*.md' END",
     "r1": pick("k % 4", "'^src/m' || CAST(k % 6 AS STRING) || '/.*$'", "'^src/m' || CAST(k % 6 AS STRING) || '/sub' || CAST(k % 3 AS STRING) || '/[^/]*\\.rs$'", "'^_headers$'", "'^.*/[^/]*\\.ts$'"), "x1": pick("k % 4", "'src/m' || CAST(k % 6 AS STRING)", "'src/m' || CAST(k % 6 AS STRING) || '/sub' || CAST(k % 3 AS STRING)", "'_headers'", "''"),
 }
@@ -51,7 +51,7 @@ BRIEF = {"id": "'PROJ-00' || CAST(k AS STRING)", "reason": "CASE WHEN k % 2 = 1
 PATH = "'src/m' || CAST(p_partkey % 8 AS STRING) || '/sub' || CAST(p_partkey % 4 AS STRING) || '/f' || CAST(p_partkey AS STRING) || CASE p_partkey % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.ts' ELSE '.md' END"
 CTES = {
     "spec": truth("(SELECT c_custkey AS k, c_nationkey FROM customer)", "k", SPEC), "stage": truth("(SELECT n_nationkey AS k FROM nation)", "k", STAGE),
-    "dec": truth("(SELECT s_suppkey AS k FROM supplier WHERE s_suppkey < 1000)", "k", DECISION), "brief": truth("(SELECT r_regionkey AS k FROM region)", "k", BRIEF),
+    "dec": truth("(SELECT s_suppkey AS k FROM supplier)", "k", DECISION), "brief": truth("(SELECT r_regionkey AS k FROM region)", "k", BRIEF),
 }
 WITH = "WITH " + ", ".join(f"{n} AS ({q})" for n, q in CTES.items()) + ", s AS (SELECT * FROM spec WHERE counts), usd AS (SELECT k, CAST(CASE n WHEN 0 THEN 0 WHEN 1 THEN k % 1000 + 0.12 ELSE k % 1000 + k % 77 + 0.62 END AS DECIMAL(18,2)) AS usd, CASE WHEN n >= 1 THEN btok ELSE 0 END + CASE WHEN n >= 2 THEN k * 10 + 1000 ELSE 0 END AS tok FROM s) "
 SOURCES = {"spec": "customer", "stage": "nation", "dec": "supplier", "brief": "region"}
@@ -92,7 +92,7 @@ def spec_files(spark, sf_dir):
         session(1, "    - cycle: build", F.when(c("k") % 2 == 0, "      interface: cli"), field(6, "tokens_total", c("bt")), field(6, "estimated_usd", c("bu")), "      recorded_at: 2024-02-01"),
         session(2, "    - cycle: verify", F.when(c("k") % 3 == 0, "      interface: web"), field(6, "tokens_total", c("vt")), field(6, "estimated_usd", c("vu")), "      recorded_at: 2024-02-02"),
         session(3, "    - cycle: ship", "      tokens_total: null", "      estimated_usd: n/a", field(6, "recorded_at", c("day"))),
-        "---", F.when(c("k") % 13 != 0, F.concat(F.lit("# "), "id", F.lit(": "), "title")), "", "## Reflection", "4. **Where was the worst defect caught?**", "   `design` | `build` | `none`", F.concat(F.lit("   — "), "defect"), F.when(c("defect").isNull(), "   — not answered"),
+        "  # what is summed", "  totals:", "    tokens_total: 1   # all of them", "    estimated_usd: 0.00", "    session_count: 0", "---", F.when(c("k") % 13 != 0, F.concat(F.lit("# "), "id", F.lit(": "), "title")), "", "## Reflection", "4. **Where was the worst defect caught?**", "   `design` | `build` | `none`", F.concat(F.lit("   — "), "defect"), F.when(c("defect").isNull(), "   — not answered"),
         "5. **What can a user do now that they could not before?**", F.concat(F.lit("   — "), F.coalesce("said", F.when(c("k") % 5 == 0, "none").otherwise("<what>"))))
     return t.select(path.alias("path"), text.alias("text"))
 
@@ -101,7 +101,7 @@ def stage_files(spark, sf_dir):
     t, c = told(spark, sf_dir, "stage"), F.col
     bullet = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.when(i <= c("backlog"), F.concat(F.lit("- [ ] (not yet written) — thing "), i.cast("string"), F.when(i % 2 == 0, " [XL]").otherwise(" [api]"))))
     text = lines("---", "stage:", field(2, "id", c("id")), field(2, "status", c("status")), "created_at: 2024-01-01", "orchestration_cost:", "  sessions:", field(4, "- tokens_total", c("tokens").cast("string")), field(6, "estimated_usd", F.concat(c("k").cast("string"), F.lit(".25"))), "    - tokens_total: null", "---", "# Stage",
-        "## Spec Backlog", "These are (not yet written) in prose.", F.array_join(F.array_compact(bullet), "\n"), "- [x] SPEC-001 (shipped on 2024-01-01)", "- [ ] SPEC-002 more", "## Other", "- [ ] (not yet written) — elsewhere")
+        "## Spec Backlog", "These are (not yet written) in prose.", F.array_join(F.array_compact(bullet), "\n"), "- [x] SPEC-001 (shipped on 2024-01-01)", "- [ ] SPEC-002 more", "**Count:** 0 shipped / 0 active / 9 pending", "## Other", "- [ ] (not yet written) — elsewhere")
     return t.select(F.concat(F.lit("projects/"), "project", F.lit("/stages/"), "id", F.lit("-a-stage.md")).alias("path"), text.alias("text"))
 
 
@@ -163,9 +163,9 @@ def spec_costs(spark, sf_dir):
 
 
 @query("""SELECT id, missing, implausible FROM (SELECT id, concat_ws(',', CASE WHEN n = 0 OR k % 9 < 2 THEN 'build' END, CASE WHEN n < 2 THEN 'verify' END) AS missing, CASE WHEN n >= 1 AND k % 9 = 3 THEN 'build(662)' ELSE '' END AS implausible
-    FROM s WHERE shipped AND id NOT IN ('SPEC-0000004', 'SPEC-0000010')) WHERE missing <> '' OR implausible <> ''""")
+    FROM s WHERE shipped AND id NOT IN ('SPEC-0000000004', 'SPEC-0000000010')) WHERE missing <> '' OR implausible <> ''""")
 def cost_gate(spark, sf_dir):
-    return P.cost_gate(specs(spark, sf_dir), exempt=("SPEC-0000004", "SPEC-0000010")).select("id", text_of("missing").alias("missing"), text_of("implausible").alias("implausible"))
+    return P.cost_gate(specs(spark, sf_dir), exempt=("SPEC-0000000004", "SPEC-0000000010")).select("id", text_of("missing").alias("missing"), text_of("implausible").alias("implausible"))
 
 
 @query("""SELECT problems, count(*) AS n FROM (SELECT concat_ws(' ', CASE WHEN type IS NULL THEN 'task.type' END, CASE WHEN cycle = 'bogus' THEN 'task.cycle(=''bogus'')' END, CASE WHEN size = 'huge' THEN 'task.complexity(=''huge'')' END) AS problems FROM s) GROUP BY 1""")
@@ -306,7 +306,7 @@ def signal_view(spark, sf_dir):
 @query("""SELECT b.id AS project, coalesce(specs, 0) AS specs, coalesce(sh, 0) AS shipped, CAST(coalesce(tok, 0) AS BIGINT) AS tokens, coalesce(u, 0) AS usd, CASE WHEN sh > 0 THEN round(coalesce(dn, 0) * 1.0::DOUBLE / sh, 2) END AS density, CASE WHEN dn > 0 THEN ds * 100 // dn ELSE 0 END AS superseded_pct, CASE WHEN coalesce(o, 0) + coalesce(tok, 0) > 0 THEN CAST(coalesce(o, 0) * 100 // (coalesce(o, 0) + coalesce(tok, 0)) AS BIGINT) ELSE 0 END AS orchestration_pct, 60 AS days,
     concat_ws(',', CASE WHEN reason IS NULL AND specs > sh THEN 'in-flight' END, CASE WHEN NOT filled THEN 'reflection' END, 'signals', CASE WHEN reason IS NULL AND thesis IS NOT NULL AND held IS NULL THEN 'thesis' END) AS refusals,
     concat_ws(',', CASE WHEN reason IS NULL THEN 'closed_reason' END, CASE WHEN thesis IS NULL THEN 'no thesis' END, CASE WHEN held = 'maybe' THEN 'thesis_held' END, CASE WHEN held IS NOT NULL THEN 'evidence' END, CASE WHEN coalesce(dn, 0) = 0 AND sh > 3 THEN 'no decisions' END) AS warnings
-    FROM brief b LEFT JOIN (SELECT project, count(*) AS specs, count(*) FILTER (WHERE shipped) AS sh, sum(tok) AS tok, CAST(sum(usd) AS DOUBLE) AS u FROM s JOIN usd USING (k) GROUP BY 1) x ON x.project = b.id LEFT JOIN (SELECT project, sum(tokens) AS o FROM stage GROUP BY 1) y ON y.project = b.id LEFT JOIN (SELECT project, count(*) AS dn, count(sup_by) AS ds FROM dec GROUP BY 1) z ON z.project = b.id""")
+    FROM brief b LEFT JOIN (SELECT project, count(*) AS specs, count(*) FILTER (WHERE cycle = 'ship') AS sh, sum(tok) AS tok, CAST(sum(usd) AS DOUBLE) AS u FROM s JOIN usd USING (k) GROUP BY 1) x ON x.project = b.id LEFT JOIN (SELECT project, sum(tokens) AS o FROM stage GROUP BY 1) y ON y.project = b.id LEFT JOIN (SELECT project, count(*) AS dn, count(sup_by) AS ds FROM dec GROUP BY 1) z ON z.project = b.id""")
 def project_close(spark, sf_dir):
     return P.close_project(R.briefs(brief_files(spark, sf_dir)), specs(spark, sf_dir), R.stages(stage_files(spark, sf_dir)), R.decisions(decision_files(spark, sf_dir)), R.guidance(signal_files(spark, sf_dir), "signals"), "2024-03-01")
 
@@ -346,9 +346,9 @@ def scalar_update(spark, sf_dir):
     return m.select("m.task.id", "m.task.cycle", F.col("m.task.verify_verdict").alias("verdict"), F.col("m.claimed_by").alias("holder"), F.size("m.cost.sessions").cast("long").alias("sessions"), "m.task.priority")
 
 
-@query("SELECT count(*) FILTER (WHERE archived OR id IN ('SPEC-0000001', 'SPEC-0000002', 'SPEC-0000010')) AS archived, count(*) FILTER (WHERE (cycle = 'ship') OR id IN ('SPEC-0000001', 'SPEC-0000002', 'SPEC-0000010')) AS ship, count(*) AS total FROM s")
+@query("SELECT count(*) FILTER (WHERE archived OR id IN ('SPEC-0000000001', 'SPEC-0000000002', 'SPEC-0000000010')) AS archived, count(*) FILTER (WHERE (cycle = 'ship') OR id IN ('SPEC-0000000001', 'SPEC-0000000002', 'SPEC-0000000010')) AS ship, count(*) AS total FROM s")
 def archive_specs(spark, sf_dir):
-    a = P.archive(specs(spark, sf_dir), ["SPEC-0000001", "SPEC-0000002", "SPEC-0000010"])
+    a = P.archive(specs(spark, sf_dir), ["SPEC-0000000001", "SPEC-0000000002", "SPEC-0000000010"])
     return a.agg(F.count_if(R.archived(F.col("path"))).alias("archived"), F.count_if(F.col("cycle") == "ship").alias("ship"), F.count(F.lit(1)).alias("total"))
 
 

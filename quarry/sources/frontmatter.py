@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SKIPPED = "(-timeline\\.md$)|(/prompts/)"
@@ -36,7 +36,7 @@ def front_matter(text: str | None) -> str | None:
 
 
 def with_front_matter(files: DataFrame) -> DataFrame:
-    """files with matter, a JSON string; fields are read from it by scalar() and tokens()."""
+    """files with matter, a JSON string of scalars as text; quarry.sources.records has the typed fields."""
 
     def parse(batches):
         for batch in batches:
@@ -46,28 +46,3 @@ def with_front_matter(files: DataFrame) -> DataFrame:
     from pyspark.sql.types import StringType, StructField, StructType
 
     return files.mapInArrow(parse, StructType([*files.schema.fields, StructField("matter", StringType())]))
-
-
-def scalar(path: str) -> Column:
-    """A field by dotted path; null, absent and empty are one."""
-    c = F.get_json_object("matter", f"$.{path}")
-    return F.when((c != "") & (c != "null"), c)
-
-
-def shipped() -> Column:
-    return F.contains("path", F.lit("/done/")) | F.coalesce(scalar("task.cycle") == "ship", F.lit(False))
-
-
-def tokens() -> Column:
-    """All whole numbers of tokens in the sessions; other values count as none."""
-    sessions = F.from_json(F.get_json_object("matter", "$.cost.sessions"), "array<struct<tokens_total:string,tokens_input:string,tokens_output:string>>")
-    number = lambda x: F.when(x.rlike("^[0-9]+$"), x.cast("long")).otherwise(0)
-    return F.coalesce(F.aggregate(sessions, F.lit(0).cast("long"), lambda a, s: a + F.coalesce(number(s["tokens_total"]), F.lit(0)) + F.coalesce(number(s["tokens_input"]), F.lit(0)) + F.coalesce(number(s["tokens_output"]), F.lit(0))), F.lit(0))
-
-
-def section(files: DataFrame, heading: str) -> DataFrame:
-    """(path, place, bullet) of the list items under a ## heading."""
-    body = F.regexp_extract("text", f"(?ms)^## {heading}[^\\n]*\\n(.*?)(?=^## |\\z)", 1)
-    line = files.select("path", F.posexplode(F.split(body, "\n")).alias("place", "line"))
-    item = F.regexp_extract("line", "^\\s*[-*]\\s+(?:\\[[ xX~?]\\]\\s*)?(.*?)\\s*$", 1)
-    return line.select("path", "place", F.rlike("line", F.lit("^\\s*[-*]\\s+\\[[xX]\\]")).alias("checked"), item.alias("bullet")).filter("bullet <> ''")

@@ -12,6 +12,7 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.carry import carried
 from quarry.sources.frontmatter import with_front_matter
 
 SESSION = "array<struct<cycle:string,agent:string,interface:string,tokens_total:string,tokens_input:string,tokens_output:string,estimated_usd:string,duration_minutes:string,recorded_at:string,notes:string>>"
@@ -20,7 +21,8 @@ SPEC = f"task {TASK}, project struct<id:string,stage:string>, repo struct<id:str
 STAGE = f"stage struct<id:string,status:string,priority:string,target_complete:string>, created_at string, shipped_at string, value_contribution struct<advances:string>, orchestration_cost struct<sessions:{SESSION}>"
 DECISION = "insight struct<id:string,type:string,confidence:string>, project struct<id:string>, created_at string, supersedes string, superseded_by string, status string, deciders array<string>, affected_scope array<string>, tags array<string>"
 BRIEF = "project struct<id:string,status:string,activity:string>, created_at string, shipped_at string, closed_reason string, value struct<thesis:string>, value_realized struct<thesis_held:string,evidence:string>, roadmap array<struct<item:string,kind:string,horizon:string,resume_when:string,target:string>>"
-SPIKE = "spike struct<id:string,question:string,mode:string,timebox:string,outcome:string,landed_at:string,cycle:string>"
+SPIKE = "task struct<id:string,type:string,cycle:string>, spike struct<question:string,mode:string,timebox:string,outcome:string,landed_at:string>, project struct<id:string>, repo struct<id:string>"
+HANDOFF = "handoff struct<id:string,cycle:string,to_agent:string,status:string>, task struct<spec_id:string>, project struct<id:string>, handback struct<status:string,tokens_total:string,estimated_usd:string,duration_minutes:string,notes:string,completed_at:string,synced_at:string>"
 GUIDANCE = {
     "questions": "id string, question string, priority string, status string",
     "signals": "id string, type string, status string, disposition_at string, bar string, summary string",
@@ -98,8 +100,17 @@ def briefs(files: DataFrame) -> DataFrame:
 
 
 def spikes(files: DataFrame) -> DataFrame:
-    m = records(files.filter(countable(F.col("path"))), SPIKE)
-    return m.select("path", file_id(F.col("path"), "SPIKE").alias("id"), *[told(F.col(f"m.spike.{n}")).alias(n) for n in ("question", "mode", "timebox", "outcome", "landed_at", "cycle")])
+    """Spikes that are not archived; task.id, type and cycle are as those of specs, the rest is under spike."""
+    m = records(files.filter(countable(F.col("path")) & ~archived(F.col("path"))), SPIKE)
+    names = [("task.id", "task_id"), ("task.type", "type"), ("task.cycle", "cycle"), ("project.id", "project"), ("repo.id", "repo"), *((f"spike.{n}", n) for n in ("question", "mode", "timebox", "outcome", "landed_at"))]
+    return m.select("path", file_stem(F.col("path")).alias("name"), file_id(F.col("path"), "SPIKE").alias("id"), *[told(F.col(f"m.{n}")).alias(a) for n, a in names])
+
+
+def handoffs(files: DataFrame) -> DataFrame:
+    """Handoffs: spec, cycle (build where none is given) and what the agent handed back."""
+    m, c = records(files.filter(countable(F.col("path"))), HANDOFF), F.col
+    names = [("task.spec_id", "spec"), ("handoff.to_agent", "agent"), *((f"handback.{n}", n) for n in ("status", "tokens_total", "estimated_usd", "duration_minutes", "notes", "synced_at"))]
+    return m.select("path", "text", file_id(c("path"), "HANDOFF").alias("id"), F.coalesce(told(c("m.handoff.cycle")), F.lit("build")).alias("cycle"), *[told(c(f"m.{n}")).alias(a) for n, a in names])
 
 
 def guidance(files: DataFrame, kind: str) -> DataFrame:
@@ -110,14 +121,12 @@ def guidance(files: DataFrame, kind: str) -> DataFrame:
     return rows.select("path", "place", *[told(F.col(f"r.{n.split()[0]}")).alias(n.split()[0]) for n in GUIDANCE[kind].split(", ")])
 
 
-def numbered_lines(files: DataFrame) -> DataFrame:
-    """(path, place, line, section): each line with the ## heading that it stands under, null before the first."""
-    def carry(a: Column, x: Column) -> Column:
-        section = F.when(F.startswith(x, F.lit("## ")), F.substring(x, 4, 1_000_000)).otherwise(a["section"])
-        return F.struct(section.alias("section"), F.array_append(a["out"], F.struct(x.alias("line"), section.alias("section"))).alias("out"))
-
-    start = F.struct(F.lit(None).cast("string").alias("section"), F.array().cast("array<struct<line:string,section:string>>").alias("out"))
-    return files.select("path", F.posexplode(F.aggregate(F.split("text", "\n"), start, carry)["out"]).alias("place", "l")).select("path", "place", "l.line", "l.section")
+def numbered_lines(files: DataFrame, width: int = 4096) -> DataFrame:
+    """(path, place, line, section): each line with the ## heading that it stands under, null before the first. Headings are
+    carried from chunk to chunk of a file, so the work grows with its lines and a long file is spread over tasks."""
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    heads = lines.withColumn("section", F.when(F.startswith("line", F.lit("## ")), F.substring("line", 4, 1_000_000)))
+    return carried(heads, "path", "place", "section", width)
 
 
 def bullets(lines: DataFrame) -> DataFrame:

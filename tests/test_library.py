@@ -1,10 +1,13 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import ledger as L
+from quarry.operators import reports as P
 from quarry.plans import catalog
 from quarry.sources import encode as E
 from quarry.sources import frontmatter as M
+from quarry.sources import records as R
 from quarry.sources.container import containers, sensors, walk
 
 DIR = "/root/testdata/sf0.001"
@@ -49,10 +52,12 @@ def test_front_matter(spark, tmp_path):
     (tmp_path / "SPEC-001.md").write_text("---\ntask:\n  id: SPEC-001\n  cycle: build\ncost:\n  sessions:\n    - {tokens_total: 10, notes: 'a # b'}\n    - {tokens_total: 12k}\n    - {tokens_total: null, tokens_input: 5}\n---\n## Stage Plan\n- [x] one\n- [ ] two\n## Next\n- three\n")
     (tmp_path / "done" / "SPEC-002.md").write_text("---\ntask: {id: SPEC-002}\n---\n")
     (tmp_path / "SPEC-001-timeline.md").write_text("---\ntask: {id: no}\n---\n")
-    files = M.with_front_matter(M.scan(spark, str(tmp_path), "SPEC-*.md"))
-    got = {r.id: (r.shipped, r.tokens) for r in files.select(M.scalar("task.id").alias("id"), M.shipped().alias("shipped"), M.tokens().alias("tokens")).collect()}
+    files = M.scan(spark, str(tmp_path), "SPEC-*.md")
+    got = {r.id: (r.shipped, r.tokens) for r in R.specs(files).select("id", "shipped", P.tokens_of(F.col("sessions")).alias("tokens")).collect()}
     assert got == {"SPEC-001": (False, 15), "SPEC-002": (True, 0)}
-    assert [(r.checked, r.bullet) for r in M.section(files, "Stage Plan").orderBy("place").collect()] == [(True, "one"), (False, "two")]
+    assert [(r.checked, r.title) for r in R.stage_plan(R.numbered_lines(files)).orderBy("place").collect()] == [(True, "one"), (False, "two")]
+    assert M.scan(spark, str(tmp_path), "SPEC-*.md", active=True).count() == 1
+    assert all(r.mtime is not None and r.mtime.year > 2000 for r in files.collect())
 
 
 def test_sync_is_idempotent(spark):

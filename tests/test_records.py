@@ -76,13 +76,13 @@ def test_report_sinks(spark, tmp_path):
 
 def test_patches_spikes_and_gate(spark):
     patch = "---\ntask: {id: PATCH-1, type: fix, cycle: ship, complexity: S}\nproject: {id: P}\nrepo: {id: r}\ncost:\n  sessions:\n    - {cycle: patch, tokens_total: 10}\n---\n# PATCH-1 — Fix it\n"
-    spike = "---\nspike: {id: SPIKE-1, question: why, cycle: spike, outcome: maybe}\n---\n"
+    spike = "---\ntask: {id: SPIKE-1, type: spike, cycle: spike}\nrepo: {id: r}\nspike: {question: why, mode: build, timebox: a day, outcome: maybe}\n---\n"
     files = spark.createDataFrame([("p/patches/PATCH-1-x.md", patch), ("p/patches/PATCH-1-timeline.md", patch)], "path string, text string")
     patches, spikes = R.specs(files, "PATCH"), R.spikes(spark.createDataFrame([("s/SPIKE-1-x.md", spike)], "path string, text string"))
     assert [(r.id, r.title, r.shipped) for r in patches.collect()] == [("PATCH-1", "Fix it", True)]
     assert [(r.missing, r.implausible) for r in P.cost_gate(patches.limit(0), patches).collect()] == [(["verify"], ["patch(10)"])]
     assert P.cost_gate(patches, patches, "none").count() == 0
-    assert {(r.kind, tuple(r.problems)) for r in P.validate_all(patches.limit(0), patches, spikes).collect()} == {("patch", ()), ("spike", ("spike.outcome",))}
+    assert {(r.kind, tuple(r.problems)) for r in P.validate_all(patches.limit(0), patches, spikes).collect()} == {("patch", ()), ("spike", ("spike.outcome(='maybe')",))}
 
 
 def test_guidance_and_reflections(spark):
@@ -102,3 +102,45 @@ def test_leases(spark):
     rows = [("s", 1, "a", False), ("s", 2, "a", False), ("s", 3, "b", False), ("s", 4, "b", True), ("s", 5, None, False), ("s", 6, "c", False)]
     got = L.claims(spark.createDataFrame(rows, "k string, at int, who string, force boolean"), "k", "at", "who", "force").first()
     assert (got.holder, got.refused) == ("c", 1)
+
+
+def test_leases_against_a_loop(spark):
+    """Forced claims and releases, whatever the width of a chunk; without force a release frees the lease too."""
+    import random
+
+    r = random.Random(3)
+    rows = [(f"k{r.randrange(4)}" if r.random() < 0.9 else None, i, r.choice(["a", "b", "c", None]), r.random() < 0.2) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, at int, who string, force boolean").repartition(3)
+    for forced in (True, False):
+        want = {}
+        for k, _, who, force in rows:
+            holder, refused = want.get(k, (None, 0))
+            taken = holder is not None and who is not None and who != holder and not (force and forced)
+            want[k] = (holder if taken else who, refused + taken)
+        for width in (1 << 16, 7):
+            got = L.claims(df, "k", "at", "who", "force" if forced else None, width)
+            assert {x.k: (x.holder, x.refused) for x in got.collect()} == want
+    plain = df.filter("who IS NOT NULL")
+    assert {x.k: x.holder for x in L.claims(plain, "k", "at", "who").collect()} == {k: next(w for q, _, w, _ in rows if q == k and w) for k in {x[0] for x in rows}}
+
+
+@pytest.mark.parametrize("width", [1 << 16, 5])
+def test_carries_over_chunks(spark, width):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice(["x", "y", None]), i, r.choice([None, None, i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "f string, at int, v int").repartition(3)
+    last, want, count = {}, {}, {}
+    for f, i, v in rows:
+        last[f] = v if v is not None else last.get(f)
+        count[f] = count.get(f, 0) + (v is not None)
+        want[i] = (last[f], count[f])
+    got = L.running_count(df, "f", "at", F.col("v").isNotNull(), "n", width)
+    assert {x.at: (x.v, x.n) for x in L.carried(got, "f", "at", "v", width).collect()} == want
+
+
+def test_lines_stand_under_their_headings(spark):
+    text = "a\n## One\nb\n### no\nc\n## Two\nd"
+    got = R.numbered_lines(spark.createDataFrame([("p", text), ("q", ""), ("r", None)], "path string, text string"), 2).orderBy("path", "place").collect()
+    assert [(x.place, x.line, x.section) for x in got if x.path == "p"] == [(0, "a", None), (1, "## One", "One"), (2, "b", "One"), (3, "### no", "One"), (4, "c", "One"), (5, "## Two", "Two"), (6, "d", "Two")]
