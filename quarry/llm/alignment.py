@@ -4,8 +4,8 @@ Every byte of a text has an owner among the tokens of A and one among those of B
 once, both tokenizers cut, and the bytes between two such cuts are a group. Tokens of A and B that share a group are linked.
 
 Texts are cut before each space that follows no white space; both tokenizers cut there too, so a part is encoded and
-aligned once and remembered. A block of texts becomes one row: its documents as counts of parts, its parts as counts of
-pairs, and its pairs with the number of its documents that hold them. Only these pairs are shuffled, added up over
+aligned once and remembered. A block of texts becomes its documents as counts of parts, its parts as counts of
+pairs, and its pairs with the number of its documents that hold them. Only these pairs are added up over
 the corpus and sent back to their block, where the sums of documents are linear in their parts.
 """
 
@@ -30,8 +30,11 @@ BLOCK = 1 << 19  # bytes of text, or one longer text
 CACHE = 150_000  # parts
 SLICE = 1 << 22  # links that are spelt out at a time
 ID_BITS, PAIR_BITS = 20, 40  # of a token id and of a pair of them
+SOME = 4096  # parts or pairs of a row
 LISTS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
-ROW = "chunk long, doc_id array<long>, " + ", ".join(f"{n} array<long>" for n in LISTS) + ", sha array<string>, part_off array<int>, part array<int>, part_n array<int>, pair_off array<int>, pair array<int>, pair_n array<long>, a array<int>, b array<int>, docs array<int>"
+# Rows of a block: kind 0 a document with its parts and how often it has each; 1 some parts with the places of their pairs and the links of
+# each; 2 some pairs with the number of documents that hold them. No row grows with the block.
+ROW = "chunk long, kind int, at int, doc_id long, " + ", ".join(f"{n} long" for n in LISTS) + ", sha string, ids array<int>, n array<long>, sizes array<int>, a array<int>, b array<int>, docs array<int>"
 
 
 def byte_level(path: str) -> list[bytes]:
@@ -232,21 +235,34 @@ class Aligner:
         return total | {"sha": sha, "part_off": np.searchsorted(d, np.arange(texts + 1)), "part": p, "part_n": n, "pair_off": pair_off, "pair": pair, "pair_n": links, "a": pairs >> ID_BITS, "b": pairs & (1 << ID_BITS) - 1, "docs": docs}
 
 
-def scan(first: str, second: str):
-    kinds = {"array<long>": pa.int64(), "array<int>": pa.int32(), "array<string>": pa.string()}
-    fields = [f.split(" ") for f in ROW.split(", ")]
+def lists(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(off - off[0], pa.int32()), pa.array(values[off[0] : off[-1]], kind))
+
+
+def rows_of(chunk: int, doc_id: pa.Array, of: dict):
+    """The rows of a block as record batches."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    fields = [(n, kinds[k]) for n, k in (f.split(" ") for f in ROW.split(", "))]
+
+    def batch(kind: int, size: int, **told) -> pa.RecordBatch:
+        told |= {"chunk": pa.array(np.full(size, chunk)), "kind": pa.array(np.full(size, kind, np.int32)), "at": pa.array(np.arange(size, dtype=np.int32))}
+        return pa.record_batch([told.get(name, pa.nulls(size, type_)) for name, type_ in fields], [name for name, _ in fields])
+
+    yield batch(0, len(doc_id), doc_id=doc_id, sha=pa.array(of["sha"], pa.string()), ids=lists(of["part"], of["part_off"], pa.int32()), n=lists(of["part_n"], of["part_off"], pa.int64()), **{n: pa.array(of[n], pa.int64()) for n in LISTS})
+    parts = np.append(np.arange(0, len(of["pair_off"]) - 1, SOME), len(of["pair_off"]) - 1)
+    off = of["pair_off"][parts]
+    yield batch(1, len(parts) - 1, ids=lists(of["pair"], off, pa.int32()), n=lists(of["pair_n"], off, pa.int64()), sizes=lists(np.diff(of["pair_off"]), parts, pa.int32()))
+    pairs = np.append(np.arange(0, len(of["a"]), SOME), len(of["a"]))
+    yield batch(2, len(pairs) - 1, **{n: lists(of[n], pairs, pa.int32()) for n in ("a", "b", "docs")})
 
+
+def scan(first: str, second: str):
     def run(batches):
         aligner, chunk = Aligner(first, second), TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, j, buf, off in B.blocks(batch, size=BLOCK):
-                row = aligner.block(buf, off) | {"doc_id": batch.column(0).slice(i, j - i)}
                 chunk += 1
-                made = [pa.array([chunk], pa.int64())]
-                for name, kind in fields[1:]:
-                    values = row[name] if isinstance(row[name], pa.Array) else pa.array(row[name], kinds[kind])
-                    made.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-                yield pa.record_batch(made, [n for n, _ in fields])
+                yield from rows_of(chunk, batch.column(0).slice(i, j - i), aligner.block(buf, off))
         del aligner
         slim()
 
@@ -254,27 +270,32 @@ def scan(first: str, second: str):
 
 
 def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The documents of one block, from its row and the counts of its pairs (pos, c, best)."""
-    got = {n: [] for n in ("doc_id", *LISTS, "n_best", "count_sum", "groups_sha256")}
+    """The documents of one block, from its rows of kind 0 and 1 and the counts of its pairs (pos, c, best)."""
     order = np.argsort(right.column("pos").to_numpy())
     c, best = (right.column(n).to_numpy(zero_copy_only=False)[order] for n in ("c", "best"))
-    for i in range(left.num_rows):
-        of = {n: left.column(n)[i].values for n in left.column_names if n != "chunk"}
-        num = {n: x.to_numpy(zero_copy_only=False).astype(np.int64) for n, x in of.items() if n not in ("sha", "doc_id")}
-        part = np.repeat(np.arange(len(num["pair_off"]) - 1), np.diff(num["pair_off"]))
-        texts = len(num["n_a"])
-        doc = np.repeat(np.arange(texts), np.diff(num["part_off"]))
+    left = left.sort_by([("kind", "ascending"), ("at", "ascending")]).combine_chunks()
+    cut = int(np.searchsorted(left.column("kind").to_numpy(), 1))
+    docs, parts = left.slice(0, cut), left.slice(cut)
+
+    def flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        if not table.num_rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        column = table.column(name).combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(column.offsets.to_numpy())
+
+    (pair, _), (links, _), (sizes, _) = (flat(parts, n) for n in ("ids", "n", "sizes"))
+    (part, per_doc), (times, _) = flat(docs, "ids"), flat(docs, "n")
+    of_part, of_doc = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(docs.num_rows), per_doc)
 
-        def over(w):
-            by_part = np.zeros(len(num["pair_off"]) - 1, np.int64)
-            np.add.at(by_part, part, w[num["pair"]] * num["pair_n"])
-            by_doc = np.zeros(texts, np.int64)
-            np.add.at(by_doc, doc, by_part[num["part"]] * num["part_n"])
-            return by_doc
+    def over(w: np.ndarray) -> np.ndarray:
+        by_part, by_doc = np.zeros(len(sizes), np.int64), np.zeros(docs.num_rows, np.int64)
+        np.add.at(by_part, of_part, w[pair] * links)
+        np.add.at(by_doc, of_doc, by_part[part] * times)
+        return by_doc
 
-        for n, x in {"doc_id": of["doc_id"], **{n: num[n] for n in LISTS}, "n_best": over(best.astype(np.int64)), "count_sum": over(c), "groups_sha256": of["sha"]}.items():
-            got[n].append(x if isinstance(x, pa.Array) else pa.array(x))
-    return pa.table({n: pa.chunked_array(x, pa.string() if n == "groups_sha256" else pa.int64()) for n, x in got.items()})
+    out = {n: docs.column(n) for n in ("doc_id", *LISTS)} | {"n_best": over(best.astype(np.int64)), "count_sum": over(c), "groups_sha256": docs.column("sha")}
+    return pa.table({n: x if isinstance(x, pa.ChunkedArray) else pa.array(x, pa.int64()) for n, x in out.items()})
 
 
 def align(docs: DataFrame, first: str, second: str) -> DataFrame:
@@ -290,13 +311,14 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan(first, second), ROW))
-    pairs = rows.select("chunk", F.posexplode(F.arrays_zip("a", "b", "docs")).alias("pos", "p")).select("chunk", "pos", "p.a", "p.b", "p.docs")
+    pairs = rows.filter("kind = 2").select("chunk", "at", F.posexplode(F.arrays_zip("a", "b", "docs")).alias("i", "p"))
+    pairs = pairs.select("chunk", (F.col("at") * SOME + F.col("i")).alias("pos"), "p.a", "p.b", "p.docs")
     counts = written(pairs.groupBy("a", "b").agg(F.sum("docs").alias("c")))
     most = counts.groupBy("a").agg(F.max("c").alias("most"))  # at most a row for each id of the first vocabulary
     counts = counts.join(F.broadcast(most), "a").select("a", "b", "c", (F.col("c") == F.col("most")).alias("best"))
     back = pairs.select(F.col("chunk").alias("of"), "pos", "a", "b").join(counts, ["a", "b"]).select("of", "pos", "c", "best")
     out = "doc_id long, " + ", ".join(f"{n} long" for n in LISTS) + ", n_best long, count_sum long, groups_sha256 string"
-    return rows.drop("a", "b", "docs").groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(settle, out)
+    return rows.filter("kind < 2").drop("a", "b", "docs").groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(settle, out)
 
 
 def op13_cross_tokenizer_alignment(spark, sf_dir: str) -> DataFrame:
