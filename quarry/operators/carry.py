@@ -49,3 +49,11 @@ def running_count(df: DataFrame, by: str | list[str], order: str, flag: Column,
     got = started(df, by, F.count_if(flag), F.sum("_sum"), "_start", chunk_of(order, width))
     w = Window.partitionBy(*by, "_chunk").orderBy(order, *(ties or ())).rowsBetween(Window.unboundedPreceding, 0)
     return got.withColumn(name, F.coalesce("_start", F.lit(0)) + F.count_if(flag).over(w)).drop("_chunk", "_start")
+
+
+def running_sum(df: DataFrame, by: str | list[str], order: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
+    """df with name: the sum of the values of the group up to and with this row. Rows of one place are taken in any order."""
+    by = [by] if isinstance(by, str) else by
+    got = started(df, by, F.sum(value), F.sum("_sum"), "_start", chunk_of(order, width))
+    w = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return got.withColumn(name, F.coalesce("_start", F.lit(0)) + F.sum(value).over(w)).drop("_chunk", "_start")

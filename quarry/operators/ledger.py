@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.carry import WIDTH, carried, running_count  # noqa: F401
+from quarry.operators.ordering import digest, fresh, lower_medians
+from quarry.store import written
 
 
 def ready_set(items: DataFrame, needs: DataFrame) -> DataFrame:
@@ -37,7 +39,10 @@ def first_sessions(df: DataFrame, by: list[str], order: str, value: str, floor:
 
 def bands(df: DataFrame, by: str, value: str) -> DataFrame:
     """Smallest, lower median, largest and number of values."""
-    return df.groupBy(by).agg(F.min(value).alias("low"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("median"), F.max(value).alias("high"), F.count(value).alias("n"))
+    some = written(df.select(by, value))
+    ends = some.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    middle = lower_medians(some, [by], value).withColumnRenamed(by, "_by")
+    return ends.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "low", "median", "high", "n")
 
 
 def sync_once(ledger: DataFrame, incoming: DataFrame, marker: str) -> DataFrame:
@@ -103,14 +108,9 @@ def transitions(df: DataFrame, key: str, order: str, cycle: str, given: str | No
     return df.withColumn("_old", old).withColumn("verdict", F.when(F.col("_old") == "verify", F.coalesce(F.col(given), said) if given else said)).drop("_old")
 
 
-def numbered(df: DataFrame, base: Column, order: list[str]) -> DataFrame:
-    """Ids base + 1, base + 2 .. in order; for small batches of new rows."""
-    return df.withColumn("new_id", base + F.row_number().over(Window.orderBy(*order)))
-
-
-def differs(stored: DataFrame, fresh: DataFrame) -> bool:
-    """Whether a stored index is out of date."""
-    return bool(stored.exceptAll(fresh).limit(1).count() or fresh.exceptAll(stored).limit(1).count())
+def differs(stored: DataFrame, now: DataFrame) -> bool:
+    """Whether a stored index is out of date: one pass over each, and one row of each is compared."""
+    return not fresh(digest(stored), digest(now)).first().same
 
 
 def envelope(command: str, generated_at: str, rows: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators.carry import carried
+from quarry.operators.ledger import bands
+from quarry.operators.scopes import governed, scope_pairs  # noqa: F401
 from quarry.sources import records as R
 
 CYCLES = ("frame", "design", "build", "verify", "ship")
@@ -159,7 +161,7 @@ def calibration(specs: DataFrame) -> DataFrame:
 def token_bands(calibrated: DataFrame) -> DataFrame:
     """Least, lower median, most and number of the tokens of each expected size."""
     some = calibrated.filter((X.size_rank(F.coalesce("complexity", F.lit("?"))) != 0) & (F.col("tokens") > 0))
-    return some.groupBy(F.col("complexity").alias("size")).agg(F.min("tokens").alias("low"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY tokens)").cast("long").alias("median"), F.max("tokens").alias("high"), F.count(F.lit(1)).alias("n"))
+    return bands(some.withColumn("size", F.col("complexity")), "size", "tokens")
 
 
 def cycle_status(specs: DataFrame) -> DataFrame:
@@ -289,35 +291,6 @@ def low_confidence(decisions: DataFrame, floor: float = 0.7) -> DataFrame:
     return decisions.filter(F.col("superseded_by").isNull() & (F.expr("try_cast(confidence AS double)") < floor))
 
 
-def scope_pairs(decisions: DataFrame) -> DataFrame:
-    """(a, b, relation, pair): active decisions whose scopes have one root, or else nest; the first such pair of globs in
-    order. Globs meet by their prefix and each of its ancestors, so no decision is compared with all others."""
-    g = decisions.filter("superseded_by IS NULL").select("id", "path", F.posexplode("scope").alias("at", "glob")).withColumn("prefix", X.glob_prefix(F.col("glob"))).filter("prefix <> ''")
-    parts = F.split("prefix", "/")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    under = g.select("id", "path", "at", "glob", "prefix", F.explode(F.array_distinct(up)).alias("root"))
-    other = g.select(F.col("id").alias("id2"), F.col("path").alias("path2"), F.col("at").alias("at2"), F.col("glob").alias("glob2"), F.col("prefix").alias("root"))
-    both = under.join(other, "root").filter(F.col("path") != F.col("path2"))
-    same = F.col("prefix") == F.col("root")
-    turned = F.col("path") > F.col("path2")
-    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
-    rows = both.select(pick("path", "path2").alias("pa"), pick("path2", "path").alias("pb"), pick("id", "id2").alias("a"), pick("id2", "id").alias("b"), (~same).cast("int").alias("rank"), pick("at", "at2").alias("x"), pick("at2", "at").alias("y"), pick("glob", "glob2").alias("ga"), pick("glob2", "glob").alias("gb"))
-    best = rows.groupBy("pa", "pb", "a", "b").agg(F.min(F.struct("rank", "x", "y", "ga", "gb")).alias("m"))
-    return best.select("a", "b", F.when(F.col("m.rank") == 0, "same").otherwise("nest").alias("relation"), F.concat("m.ga", F.when(F.col("m.rank") == 0, " == ").otherwise(" / "), "m.gb").alias("pair"))
-
-
-def governed(paths: DataFrame, decisions: DataFrame) -> DataFrame:
-    """(id, path, glob): each changed path with the active decisions that govern it and the first glob that does. Globs meet
-    paths by their literal prefix's first part; those that begin with a wildcard are few and are tried on every path."""
-    g = decisions.filter("superseded_by IS NULL").select("id", F.posexplode("scope").alias("at", "glob")).withColumns({"re": X.glob_regex(F.col("glob")), "top": F.nullif(F.regexp_extract("glob", "^([^*?\\[/]+)(?:/|$)", 1), F.lit(""))})
-    p = paths.select("path").distinct().withColumn("top", F.regexp_extract("path", "^([^/]+)", 1))
-    near = p.join(g.filter("top IS NOT NULL"), "top").select("id", "path", "at", "glob", "re")
-    wild = g.filter("top IS NULL").select("id", "at", "glob", "re")
-    far = p.select("path").join(F.broadcast(wild) if wild.limit(1001).count() <= 1000 else wild)  # at most a thousand globs are broadcast
-    hits = near.unionByName(far.select("id", "path", "at", "glob", "re")).filter(F.expr("path RLIKE re"))
-    return hits.groupBy("id", "path").agg(F.min_by("glob", "at").alias("glob"))
-
-
 def proposed_references(specs: DataFrame, decisions: DataFrame) -> DataFrame:
     """(name, decision): specs built on a decision that is only proposed."""
     open_ = decisions.filter("status = 'proposed' AND insight_id IS NOT NULL").select(F.col("insight_id").alias("decision")).distinct()
