@@ -1,10 +1,10 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams.
 
 Paragraphs are divided by blank lines. Features are the n-grams around cue words, so the score of a paragraph without
-cue words is that of the biases and is not worked out again. Multinomial logistic regression is fitted on a bounded
-sample of the paragraphs with cue words, which the templates label, together with the templates themselves and
-paragraphs that use cue words otherwise. A quarter of the sample is held out: on it the temperature of the probabilities is set, and
-with it how sure a family has to be before the unknown class yields. A prediction
+cue words is that of the biases and is not worked out again. Multinomial logistic regression is fitted on the forms in which
+licences are named (names of families in sentences, identifiers, dual licences, openings of licence texts), on sentences that use cue words otherwise, and on a bounded
+sample of the paragraphs with cue words that the templates label or that name no family. Every fourth form and sentence is
+held out whole: on these the temperature of the probabilities is set, and accuracy and calibration error are measured (assess). A prediction
 counts as confirmed where the paragraph holds most of the word sequence of one of the family's templates. Scoring is sums of
 weights in Spark's own expressions.
 """
@@ -29,11 +29,44 @@ NOTICES = {
     "cc0": ["cc0 1 0 universal public domain dedication", "released into the public domain under cc0", "this is free and unencumbered software released into the public domain"],
     "proprietary": ["all rights reserved", "copyright all rights reserved", "no part of this publication may be reproduced without prior written permission"],
 }
-OTHERS = ["she passed her driving license exam", "the license plate was lost", "a fishing license is needed here", "permission to land was given", "the public domain of the town", "mit students met there", "copyright law is old", "the version 2 0 came out", "poetic license", "they asked permission from the general", "apache helicopters flew by", "under the terms of the treaty", "creative work is common", "with warranty and without", "gnu herds cross the river"]
-CUES = ("license", "licensed", "licence", "licenced", "copyright", "permission", "permitted", "rights", "warranty", "gnu", "gpl", "lgpl", "agpl", "apache", "mit", "bsd", "mozilla", "mpl", "creative", "cc", "cc0", "domain", "redistribution")
+# Names of the families as notices and identifiers give them, and the sentences that they stand in.
+NAMES = {
+    "apache": ["apache license version 2 0", "apache 2 0", "apache license 2 0", "apache 2 0 license"],
+    "mit": ["mit license", "mit", "mit licence", "expat mit license"],
+    "bsd": ["bsd 3 clause license", "bsd 3 clause", "bsd 2 clause license", "bsd license", "new bsd license"],
+    "gpl": ["gnu general public license v3", "gpl 3 0 or later", "gpl 3", "gnu gpl version 2", "lgpl 2 1", "gnu affero general public license", "agpl 3"],
+    "mpl": ["mozilla public license 2 0", "mpl 2 0", "mozilla public license v 2 0"],
+    "cc-by-nc": ["cc by nc 4 0", "cc by nc sa 4 0", "creative commons attribution noncommercial 4 0 international license"],
+    "cc-by": ["cc by 4 0", "cc by sa 4 0", "creative commons attribution 4 0 international license"],
+    "cc0": ["cc0 1 0", "cc0", "cc0 1 0 universal public domain dedication", "unlicense"],
+    "isc": ["isc license", "isc", "isc licence"],
+}
+FORMS = [
+    "licensed under the {}", "released under the {}", "spdx license identifier {}", "this file is licensed under the terms of the {}", "distributed under the {}", "see the file license for the {} text", "{}", "this project is available under the {}",
+    "you may use this work under the {}", "license {}", "copyright 2020 the authors {}", "the code is {} licensed", "this software is provided under the {} without warranty", "published under {}", "subject to the terms of the {}", "made available by the authors under the {}",
+]
+DUAL = ["dual licensed under {} or {}", "licensed under either of {} or {} at your option", "spdx license identifier {} or {}", "available under both {} and {}", "you may choose {} or {}", "dual license {} and {}", "{} or {}", "licensed under {} or at your option {}", "released under both {} and {}", "either {} or at your option the {}", "the terms of both {} and {} apply"]
+PROPRIETARY = ["all rights reserved", "copyright all rights reserved", "copyright 2021 the company all rights reserved worldwide", "no part of this publication may be reproduced without prior written permission", "proprietary and confidential", "unauthorized copying of this file is strictly prohibited",
+    "this software is proprietary all rights reserved", "may not be reproduced or distributed without permission of the copyright holder", "copyright reserved no copying without written permission", "licensed to the customer only under a commercial license agreement", "reproduction without permission is prohibited", "all rights are reserved by the copyright owner"]
+OPENINGS = {
+    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge to any person obtaining a copy"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and distribute this software for any purpose is hereby granted"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice this list of conditions", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"],
+    "gpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "under the terms of the gnu general public license"],
+    "apache": ["you may not use this file except in compliance with the license you may obtain a copy of the license at apache org licenses license 2 0", "apache license version 2 0 january 2004 terms and conditions for use reproduction and distribution"],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file"],
+    "cc0": ["this is free and unencumbered software released into the public domain", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights"],
+}
+OTHERS = ["she passed her driving license exam", "the license plate was lost", "a fishing license is needed here", "permission to land was given", "the public domain of the town", "mit students met there", "copyright law is old", "the version 2 0 came out", "poetic license", "they asked permission from the general", "apache helicopters flew by",
+    "under the terms of the treaty", "creative work is common", "with warranty and without", "gnu herds cross the river", "the court granted permission all rights of way remain", "human rights were discussed", "his rights as a citizen", "the warranty lasts two years", "copyright cases in court", "a study at mit found that", "the apache people lived in the south", "cc your manager on the mail",
+    "the domain of the function", "the domain name has expired", "she was licensed as a pilot", "the bar lost its license to sell drinks", "redistribution of wealth", "rights and duties", "equal rights for all", "without permission she left", "permission was denied by the court", "mozilla released a new browser", "the license fee for television went up", "a marriage license", "the doctor is licensed in two states",
+    "copyright", "license", "permission", "rights", "a gpl student", "the isc met in june", "creative commons were grazed by sheep", "no license no fish", "the licence of the pub", "all rights of the child", "the right to copy", "the permission slip was signed", "a warranty claim was denied", "he has the rights to the song"]
+CUES = ("license", "licensed", "licence", "licenced", "licenses", "copyright", "permission", "permitted", "rights", "warranty", "gnu", "gpl", "lgpl", "agpl", "apache", "mit", "bsd", "isc", "mozilla", "mpl", "creative", "cc", "cc0", "domain", "redistribution", "redistributions", "redistribute", "proprietary", "copying", "reproduced", "reproduction", "unlicense", "endorse", "noncommercial", "attribution", "either", "both", "option")
+CLASSES = ("unknown", *NOTICES, "isc", "dual")
 CUE = " (?:" + "|".join(CUES) + ") "
 UNKNOWN, GRAMS, LEAST, MATCH = "unknown", 3, 0.5, 0.7
-SAMPLE = 300  # paragraphs of each label that the model is fitted on, at most
+SAMPLE, GRAMS_EACH = 300, 200  # paragraphs of each label that the model is fitted on, at most, and n-grams of each
+HELD = 4  # every so many-th form is held out
 BREAK = "\\n[ \\t\\r]*\\n[\\s]*"
 
 
@@ -72,55 +105,98 @@ def template_label(words: Column) -> Column:
     return found
 
 
+def examples() -> tuple[list[tuple[set[str], str]], list[tuple[set[str], str]]]:
+    """(to fit on, held out): n-grams and class of each family in each form, of dual licences, openings and other sentences. A
+    form or sentence is held out for all families or none."""
+    rows: tuple[list, list] = ([], [])
+
+    def add(i: int, text: str, family: str):
+        rows[i % HELD == HELD - 1].append((plain_grams(text), family))
+
+    for i, form in enumerate(FORMS):
+        for family, names in NAMES.items():
+            for name in names:
+                add(i, form.format(name), family)
+    families = list(NAMES)
+    for i, form in enumerate(DUAL):
+        for j, one in enumerate(families):
+            for k, other in enumerate(families):
+                if one != other:
+                    add(i, form.format(NAMES[one][(i + k) % len(NAMES[one])], NAMES[other][(i + j) % len(NAMES[other])]), "dual")
+    for i, text in enumerate(PROPRIETARY):
+        add(i, text, "proprietary")
+    for i, text in enumerate(OTHERS):
+        add(i, text, UNKNOWN)
+    rows[0].extend((plain_grams(t), f) for f, ts in (*OPENINGS.items(), *NOTICES.items()) for t in ts)
+    rows[0].append((set(), UNKNOWN))
+    return rows
+
+
+def matrix(some: list[tuple[set[str], str]], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.zeros((len(some), len(at) + 1), np.float32)
+    x[:, -1] = 1
+    for i, (g, _) in enumerate(some):
+        x[i, [at[y] for y in g if y in at]] = 1
+    return x, np.array([CLASSES.index(y) for _, y in some], int)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 def fit(rows: list[tuple[set[str], str]], held: list[tuple[set[str], str]]) -> dict:
-    """Weights by n-gram and class, biases, and the temperature of least loss on the rows held out."""
-    classes = [UNKNOWN, *NOTICES]
+    """Weights by n-gram and class, biases, and the temperature of least loss on the rows held out. The rows are at most the
+    forms and SAMPLE paragraphs of each class, so their matrix is bounded."""
     often: dict[str, int] = {}
     for g, _ in rows:
         for x in g:
             often[x] = often.get(x, 0) + 1
-    told = {x for ts in NOTICES.values() for t in ts for x in plain_grams(t)}
-    vocabulary = sorted(x for x, n in often.items() if n > 1 or x in told)
-    at = {g: i for i, g in enumerate(vocabulary)}
-
-    def matrix(some):
-        x = np.zeros((len(some), len(vocabulary) + 1), np.float32)
-        x[:, -1] = 1
-        for i, (g, _) in enumerate(some):
-            x[i, [at[y] for y in g if y in at]] = 1
-        return x, np.array([classes.index(y) for _, y in some], int)
-
-    def softmax(z):
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    x, y = matrix(rows)
-    weight = 1 / np.bincount(y, minlength=len(classes))[y]  # classes count alike
-    weight /= weight.sum()
-    w, goal = np.zeros((x.shape[1], len(classes))), np.eye(len(classes))[y]
-    for _ in range(400):
-        w -= 2.0 * (x.T @ ((softmax(x @ w) - goal) * weight[:, None]) + 0.0005 * w)
-    z, t = (lambda m: (m[0] @ w, m[1]))(matrix(held)) if held else (np.zeros((0, len(classes))), np.zeros(0, int))
-    loss = {s: -np.log(softmax(z * s)[np.arange(len(t)), t] + 1e-12).mean() if len(t) else abs(s - 1) for s in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)}
+    told = {x for ts in (*NOTICES.values(), *OPENINGS.values()) for t in ts for x in plain_grams(t)}
+    at = {g: i for i, g in enumerate(sorted(x for x, n in often.items() if n > 1 or x in told))}
+    x, y = matrix(rows, at)
+    weight = 1 / np.sqrt(np.bincount(y, minlength=len(CLASSES))[y])  # rare classes count for more
+    weight = (weight / weight.sum()).astype(np.float32)
+    w, goal, step = np.zeros((x.shape[1], len(CLASSES)), np.float32), np.eye(len(CLASSES), dtype=np.float32)[y], np.zeros((x.shape[1], len(CLASSES)), np.float32)
+    for _ in range(300):  # with momentum
+        step = 0.9 * step - 0.8 * (x.T @ ((softmax(x @ w) - goal) * weight[:, None]) + 0.0001 * w)
+        w += step
+    z, t = (lambda m: (m[0] @ w, m[1]))(matrix(held, at))
+    loss = {s: -np.log(softmax(z * s)[np.arange(len(t)), t] + 1e-12).mean() for s in (0.3, 0.5, 0.7, 1.0, 1.3, 1.6, 2.0, 2.5, 3.0, 4.0, 6.0)}
     scale = min(loss, key=loss.get)
-    w = np.round(w * scale, 5)
-    return {"classes": classes, "weights": {g: w[i].tolist() for g, i in at.items() if np.abs(w[i]).max() > 1e-3}, "bias": w[-1].tolist(), "scale": scale}
+    w = np.round(w * scale, 4)
+    return {"classes": list(CLASSES), "weights": {g: w[i].tolist() for g, i in at.items() if np.abs(w[i]).max() > 0.02}, "bias": w[-1].tolist(), "scale": scale}
+
+
+def assess(model: dict, rows: list[tuple[set[str], str]]) -> dict:
+    """Accuracy, calibration error (mean gap of probability and accuracy over tenths) and the rows that are taken wrongly."""
+    names = list(model["weights"])
+    w = np.array([*(model["weights"][g] for g in names), model["bias"]])
+    x, y = matrix(rows, {g: i for i, g in enumerate(names)})
+    p = softmax(x @ w)
+    best, sure = p.argmax(1), p.max(1)
+    best = np.where(sure >= LEAST, best, 0)
+    right, tenth = best == y, np.minimum((sure * 10).astype(int), 9)
+    gap = sum(abs(sure[tenth == i].mean() - right[tenth == i].mean()) * (tenth == i).mean() for i in range(10) if (tenth == i).any())
+    return {"accuracy": float(right.mean()), "calibration_error": float(gap), "wrong": [(sorted(rows[i][0], key=len)[-1:], rows[i][1], CLASSES[best[i]]) for i in np.flatnonzero(~right)]}
 
 
 def model_of(paragraphs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fit on at most sample different paragraphs (words) of each label, the first by hash; a quarter of these is held out."""
+    """Fit on the forms and at most sample different paragraphs (words) of each label, the first by hash; paragraphs are labelled by
+    the templates that they hold word for word, and unknown where they name no family at all. Longer ones than GRAMS_EACH n-grams are no examples."""
     label = template_label(F.col("words"))
-    some = paragraphs.filter(F.rlike("words", F.lit(CUE))).select(grams(F.col("words")).alias("g"), label.alias("label"))
-    # what holds a part of a template, but no whole one, is no example of the unknown class
-    parts = sorted({g for ts in NOTICES.values() for t in ts for g in plain_grams(t) if g.count(" ") == GRAMS - 1})
+    some = paragraphs.filter(F.rlike("words", F.lit(CUE))).select("words", grams(F.col("words")).alias("g"), label.alias("label")).filter(F.size("g") <= GRAMS_EACH)
+    # what names a family without holding a template is no example of the unknown class
+    named = " (?:" + "|".join(sorted({n for ns in NAMES.values() for n in ns} | {"all rights reserved", "proprietary", "gnu", "gpl", "creative commons", "isc"})) + ") "
+    some = some.filter((F.col("label") != UNKNOWN) | ~F.rlike("words", F.lit(named)))
+    parts = sorted({g for ts in (*NOTICES.values(), *OPENINGS.values()) for t in ts for g in plain_grams(t) if g.count(" ") == GRAMS - 1})
     some = some.filter((F.col("label") != UNKNOWN) | ~F.arrays_overlap("g", F.lit(parts)))
-    some = some.groupBy("g", "label").agg(F.lit(1).alias("one")).select("g", "label", F.xxhash64("g", "label").alias("h"))
-    some = written(some)
+    some = written(some.groupBy("g", "label").agg(F.lit(1).alias("one")).select("g", "label", F.xxhash64("g", "label").alias("h")))
     got = []
     for c in (UNKNOWN, *NOTICES):
-        got += [(set(r.g), r.label, r.h) for r in some.filter(F.col("label") == c).orderBy("h").limit(sample).collect()]  # at most sample rows of each class
-    own = [(plain_grams(t), f) for f, ts in NOTICES.items() for t in ts] + [(plain_grams(t), UNKNOWN) for t in OTHERS] + [(set(), UNKNOWN)]
-    return fit(own + [(g, y) for g, y, h in got if h % 4], [(g, y) for g, y, h in got if not h % 4])
+        got += [(set(r.g), r.label) for r in some.filter(F.col("label") == c).orderBy("h").limit(sample).collect()]  # at most sample rows of each class
+    own, held = examples()
+    return fit(own + got, held)
 
 
 def scored(features: Column, model: dict) -> Column:
@@ -140,9 +216,10 @@ def scored(features: Column, model: dict) -> Column:
 
 
 def confirmed(family: Column, words: Column) -> Column:
-    """Whether the paragraph holds most of the word triples of a template of the family, or all of a shorter one."""
+    """Whether the paragraph holds most of the word triples of a template of the family, or all of a shorter one. Of families without
+    templates the openings are the templates; dual licences are not confirmed."""
     found = F.lit(False)
-    for name, notices in NOTICES.items():
+    for name, notices in (NOTICES | {"isc": OPENINGS["isc"]}).items():
         either = F.lit(False)
         for t in notices:
             w = t.split()
@@ -158,8 +235,8 @@ def licence_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     docs has doc_id and text; other columns are ignored. Paragraphs are what blank lines divide; white space alone is none,
     so null and empty texts have no rows. A family needs a probability of LEAST, else the paragraph is unknown and
-    not confirmed; of families that are as likely the first in NOTICES counts. A paragraph without cue words has the probability of the biases. Repeated rows and null ids give rows of
-    their own. The model is fitted on at most sample paragraphs of each label; without documents on the templates alone.
+    not confirmed; of families that are as likely the first in CLASSES counts. The family dual is a choice between several. A paragraph without cue words has the probability of the biases. Repeated rows and null ids give rows of
+    their own. The model is fitted on the forms and at most sample paragraphs of each label; without documents on the forms alone.
     """
     parts = F.filter(F.split(F.coalesce("text", F.lit("")), BREAK), lambda x: F.rlike(x, F.lit("\\S")))
     paragraphs = docs.select("doc_id", F.posexplode(parts).alias("place", "paragraph")).withColumn("words", normal(F.col("paragraph")))
