@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.sources import encode as E
-from quarry.sources.container import closure, containers, packed_bits, sensors
+from quarry.sources.container import closure, containers, packed_bits, refused, sensors
 
 
 def synthesized(part, build):
@@ -76,6 +76,30 @@ def container_errors(spark, sf_dir):
     return s.groupBy(F.coalesce("fault", F.lit("ok")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def walk_faults(spark, sf_dir):
+    """The faults of the walk with all that they say: place, length, tag, type and number."""
+    c = synthesized(part_of(spark, sf_dir), hostile_file).filter("error IS NOT NULL")
+    return c.select("p_partkey", "error.code", *[F.coalesce(f"error.{n}", F.lit(-1)).cast("long").alias(n) for n in ("at", "len", "tag", "field_type", "number")])
+
+
+def marked_file(k: int, size: int) -> bytes:
+    """Opcode lists by number, a photometric entry of no type, an entry that is missing, compressions, and strings of some length."""
+    o, w, h, b = shape(k, size)
+    more = [E.pointer(o, t, 7, k % 9 + 1, 600) for t, n in ((51008, 2), (51009, 3), (51022, 5)) if k % n == 0]
+    more += [(262, 250, 1, b"\0\0\0\1")] if k % 7 == 0 else []
+    plane = [e for e in E.plane(o, w, h, b, compression=(1, 7, 5)[k % 3], more=more) if k % 11 or e[0] != 256]
+    return E.container(o, 8, {8: (plane, 0)}, {600: bytes(16)})
+
+
+def sensor_marks(spark, sf_dir):
+    """Opcode lists, candidates, missing tags and refusals of sensors, and the declared bytes of an opcode list."""
+    c = synthesized(part_of(spark, sf_dir), marked_file)
+    length = c.select(F.col("p_partkey").alias("k"), F.get(F.filter(F.col("ifds")[0]["entries"], lambda e: e["tag"] == 51008), F.lit(0))["byte_len"].alias("opcode_bytes"))
+    s = sensors(c, "p_partkey").withColumn("refused", refused())
+    lists = F.array_join(F.transform("opcode_lists", lambda x: x.cast("int").cast("string")), "")
+    return s.join(length, F.col("p_partkey") == F.col("k")).select("p_partkey", F.coalesce("candidates", F.lit("")).alias("candidates"), F.coalesce(lists, F.lit("")).alias("opcodes"), F.coalesce("refused", F.lit("")).alias("refused"), F.coalesce("opcode_bytes", F.lit(0)).alias("opcode_bytes"))
+
+
 def malformed_file(k: int, size: int) -> bytes:
     o, w, h, b = shape(k, size)
     more = {0: [], 1: [E.inline(o, 50713, 3, 1)], 2: [E.pointer(o, 50720, 5, 2, 600)], 3: [E.pointer(o, 50720, 5, 2, 608)], 4: [E.pointer(o, 50720, 5, 2, 624)], 5: [(50714, 250, 1, b"\0\0\0\1")], 6: [(274, 250, 1, b"\0\0\0\1")]}[k % 7]
@@ -123,12 +147,16 @@ def unpack_levels(spark, sf_dir):
 
 _W, _H, _B = "(p_size + 1)", "(p_partkey % 97 + 1)", "(CASE p_partkey % 3 WHEN 0 THEN 12 WHEN 1 THEN 14 ELSE 16 END)"
 _SAMPLES = ", ".join(f"(p_partkey * 37 + {i * 1009}) % 16000" for i in range(8))
-QUERIES = {f.__name__: f for f in (sensor_extract, sensor_subifd, layer0_check, container_errors, malformed_tags, unpack_levels)}
+QUERIES = {f.__name__: f for f in (sensor_extract, sensor_subifd, layer0_check, container_errors, walk_faults, sensor_marks, malformed_tags, unpack_levels)}
 ORACLES = {
     "sensor_extract": f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'II' ELSE 'MM' END AS byte_order, CAST({_W} AS BIGINT) AS width, CAST({_H} AS BIGINT) AS height, CAST({_B} AS BIGINT) AS bits_per_sample, CAST(1 AS BIGINT) AS samples_per_pixel, CAST(34892 AS BIGINT) AS photometric, CAST(CASE WHEN p_partkey % 4 = 3 THEN 7 ELSE 1 END AS BIGINT) AS compression, CAST(p_partkey % 512 AS BIGINT) AS black_level, CAST(4095 AS BIGINT) AS white_level, '' AS fault FROM part",
     "sensor_subifd": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS n_ifds, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS ifd_index, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS depth, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE -1 END AS parent, CAST(CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE p_partkey % 8 + 1 END AS BIGINT) AS orientation FROM part",
     "layer0_check": f"SELECT CASE WHEN p_partkey % 4 = 3 THEN 'not applicable' WHEN p_partkey % 5 <> 0 AND ({_W} * {_H} * {_B}) % 8 = 0 THEN 'CLOSES' ELSE 'differs' END AS verdict, count(*) AS n, CAST(sum({_W} * {_H} * {_B}) AS BIGINT) AS bits FROM part GROUP BY 1",
     "container_errors": "SELECT CASE p_partkey % 11 WHEN 0 THEN 'ok' WHEN 1 THEN 'NotTiff' WHEN 2 THEN 'UnsupportedTiffVersion' WHEN 3 THEN 'CyclicIfd' WHEN 4 THEN 'IfdDepthExceeded' WHEN 5 THEN 'Truncated' WHEN 6 THEN 'UnexpectedFieldType' WHEN 7 THEN 'UnexpectedFieldType' WHEN 8 THEN 'NoSensorIfdCandidatesMalformed' WHEN 9 THEN 'TooManyIfds' ELSE 'NoSensorIfd' END AS code, count(*) AS n FROM part GROUP BY 1",
+    "walk_faults": """SELECT p_partkey, CASE k WHEN 1 THEN 'NotTiff' WHEN 2 THEN 'UnsupportedTiffVersion' WHEN 3 THEN 'CyclicIfd' WHEN 4 THEN 'IfdDepthExceeded' WHEN 5 THEN 'Truncated' WHEN 7 THEN 'UnexpectedFieldType' ELSE 'TooManyIfds' END AS code, CAST(CASE WHEN k = 5 THEN CASE WHEN p_partkey % 5 = 0 THEN 8 ELSE 10 END ELSE -1 END AS BIGINT) AS at,
+        CAST(CASE WHEN k = 5 THEN CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 108 END ELSE -1 END AS BIGINT) AS len, CAST(CASE WHEN k = 7 THEN 330 ELSE -1 END AS BIGINT) AS tag, CAST(CASE WHEN k = 7 THEN 5 ELSE -1 END AS BIGINT) AS field_type, CAST(CASE k WHEN 2 THEN 43 WHEN 3 THEN 8 WHEN 4 THEN 8 WHEN 9 THEN 512 ELSE -1 END AS BIGINT) AS number FROM (SELECT p_partkey, p_partkey % 11 AS k FROM part) WHERE k IN (1, 2, 3, 4, 5, 7, 9)""",
+    "sensor_marks": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '0:262' ELSE '' END AS candidates, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat(CAST(p_partkey % 2 = 0 AS INT), CAST(p_partkey % 3 = 0 AS INT), CAST(p_partkey % 5 = 0 AS INT)) END AS opcodes,
+        CASE WHEN p_partkey % 7 = 0 THEN 'NoSensorIfdCandidatesMalformed' WHEN p_partkey % 11 = 0 THEN 'MissingTag' WHEN p_partkey % 3 = 1 THEN 'UnsupportedCompression(jpeg)' WHEN p_partkey % 3 = 2 THEN 'UnsupportedCompression(other(5))' ELSE '' END AS refused, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 9 + 1 ELSE 0 END AS BIGINT) AS opcode_bytes FROM part""",
     "malformed_tags": "SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN '50713' WHEN 2 THEN '50720' WHEN 3 THEN '50720' WHEN 5 THEN '50714' WHEN 6 THEN '274' ELSE '' END AS malformed, CAST(CASE WHEN p_partkey % 7 = 4 THEN p_size ELSE -1 END AS BIGINT) AS crop_height FROM part",
     "unpack_levels": f"SELECT p_partkey, list_min(s) AS low, list_max(s) AS high, CAST(list_sum(s) AS BIGINT) AS total, round((list_min(s) - 100) / 15900.0::DOUBLE, 6) AS low_level, round((list_max(s) - 100) / 15900.0::DOUBLE, 6) AS high_level, list_max(s) <= 16000 AS in_range FROM (SELECT p_partkey, [{_SAMPLES}] AS s FROM part)",
 }

@@ -187,6 +187,11 @@ def sensors(found: DataFrame, key: str = "path") -> DataFrame:
         *[fixed[n].alias(n) for n in lengths], orientation.alias("orientation"), F.array(*[has(d, t) for t in (51008, 51009, 51022)]).alias("opcode_lists"), F.array_compact(F.array(*marks)).alias("malformed_tags"))
 
 
+def refused() -> Column:
+    """Why the plane of a sensor record is not to be unpacked: its own fault, or a compression that is not read, by name; null otherwise."""
+    return F.coalesce("fault", F.when(F.col("compression") != 1, F.concat(F.lit("UnsupportedCompression("), compression_name(F.col("compression")), F.lit(")"))))
+
+
 def packed_bits() -> Column:
     """width * height * bits, or null where that passes 63 bits."""
     return F.try_multiply(F.try_multiply(F.col("width"), F.col("height")), F.col("bits_per_sample"))
