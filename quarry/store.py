@@ -1,4 +1,4 @@
-"""Tables written between the steps of a job, in the folder that all executors share."""
+"""Tables written between the steps of a job, in the folder that all executors share. They go when the session's JVM ends."""
 
 from __future__ import annotations
 
@@ -19,8 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def folder(spark: SparkSession, kind: str = "") -> str:
+    """A new folder's path in the shared one, deleted when the JVM ends."""
+    path = f"{shared_dir(spark)}/quarry-{kind}{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table of its own, so that later steps don't work it out again and a lost executor loses none of it."""
-    path = f"{shared_dir(df.sparkSession)}/quarry-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
