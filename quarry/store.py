@@ -1,12 +1,16 @@
-"""Tables written between the steps of a job, in the folder that all executors share. They go when the session's JVM ends."""
+"""Tables written between the steps of a job, in the folder that all executors share. They go when the driver's Python ends."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+MADE: list = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; in local mode a temporary one where it is unset."""
@@ -20,13 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def folder(spark: SparkSession, kind: str = "") -> str:
-    """A new folder's path in the shared one, deleted when the JVM ends."""
+    """A new folder's path in the shared one, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/quarry-{kind}{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    MADE.append((at.getFileSystem(spark._jsc.hadoopConfiguration()), at))
     return path
 
 
+@atexit.register
+def clear() -> None:
+    """Delete what folder() has named; a JVM that is gone already keeps its folders for whoever clears the shared one."""
+    while MADE:
+        files, at = MADE.pop()
+        with contextlib.suppress(Exception):
+            files.delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table of its own, so that later steps don't work it out again and a lost executor loses none of it."""
     path = folder(df.sparkSession)
