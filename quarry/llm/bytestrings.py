@@ -210,7 +210,8 @@ def bytestring_dedup(docs: DataFrame, window: int = 200, kmer: int = 32, hot: in
     (maximal removed runs, in bytes of the UTF-8) and kept (the other bytes; it may cut code points),
     a row for each row. A null text is empty; texts shorter than window keep all bytes. Repeated
     texts of window bytes or more lose all bytes, the first too. Null and repeated ids: see
-    common.keyed; rows equal in id and text are one document.
+    common.keyed; rows equal in id and text are one document. hot: regions around an anchor that more than so many texts have go as a
+    row for each window, sorted by its 128-bit hash; the result does not depend on it.
     """
     ship(docs.sparkSession)
     kd, unique = keyed(docs)

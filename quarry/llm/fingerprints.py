@@ -143,7 +143,8 @@ def document_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFram
 
     docs has doc_id and text; other columns are ignored. Returns doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next and edited, a row for each row. A null text is empty;
-    two empty texts are alike by 1, an empty and another by 0. A single document is its own next. Null and
+    two empty texts are alike by 1, an empty and another by 0. Likeness is that of the names of levels two and three, or
+    of all levels where one of the texts has fewer than ENOUGH of these. A single document is its own next. Null and
     repeated ids: see common.keyed; rows equal in id and text are one document. Texts are dealt out once, by
     ranges of ids cut at quantiles; each range also gets the document that follows it.
     """

@@ -183,7 +183,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample:
     docs has doc_id and text, labels doc_id and quality; other columns are ignored. A null text is empty,
     and texts without terms get the share of label 1 in the sample; so does everything where no label is given.
     Rows with a null id are scored and not held out; repeated rows get equal scores; of several labels of an
-    id the smaller counts. The classifier sees each whole text, and only shapes of words, never ids or columns.
+    id the smaller counts. The classifier sees each whole text, its words and their shapes, never ids or columns.
     """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(quality_model(docs, labels, sample))  # bounded by sample

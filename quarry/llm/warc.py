@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, written
+from quarry.llm.common import folder, written
 
 CRLF = "\r\n"
 LEAST = 1000  # bytes of a payload that revisits may refer to
@@ -45,8 +45,8 @@ def headers(pages: DataFrame, date: str, least: int = LEAST) -> DataFrame:
     return both.select("page_id", F.col("sha256").alias("payload_digest"), F.concat(warc, http).alias("header"))
 
 
-def archive(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", least: int = LEAST) -> None:
-    """Write a record for each row of pages (page_id, url, html) into an archive: folder/payloads and folder/headers.
+def archive(pages: DataFrame, place: str, date: str = "1970-01-01T00:00:00Z", least: int = LEAST) -> None:
+    """Write a record for each row of pages (page_id, url, html) into an archive: place/payloads and place/headers.
 
     The payload is html in UTF-8, a null one empty. Of equal payloads of at least least bytes the record of the largest page_id is the
     response and the others are revisits; rows that have payload and that page_id in common are all responses, and a null page_id is
@@ -58,8 +58,8 @@ def archive(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", l
     other = F.xxhash64("payload")
     stored = p.groupBy("sha256").agg(F.first("payload").alias("payload"), F.min(F.struct("n", "sha1", other)).alias("a"), F.max(F.struct("n", "sha1", other)).alias("b"))
     sound = F.when(F.col("a") == F.col("b"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("two payloads have the digest "), F.col("sha256"))).cast("binary"))
-    stored.select(F.col("sha256").alias("digest"), sound.alias("payload")).write.parquet(f"{folder}/payloads")
-    headers(written(p.drop("payload")), date, least).write.parquet(f"{folder}/headers")
+    stored.select(F.col("sha256").alias("digest"), sound.alias("payload")).write.parquet(f"{place}/payloads")
+    headers(written(p.drop("payload")), date, least).write.parquet(f"{place}/headers")
 
 
 def told(name: str) -> Column:
@@ -69,10 +69,10 @@ def told(name: str) -> Column:
     return F.when(found != "", found)
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
+def records(spark: SparkSession, place: str) -> DataFrame:
     """The records of an archive: page_id, record_type, target, declared digest and length, refers_to, header, payload (that of the response for a
     revisit) and fault: what contradicts the header or the digest, null for a sound record."""
-    h, p = (spark.read.parquet(f"{folder}/{x}") for x in ("headers", "payloads"))
+    h, p = (spark.read.parquet(f"{place}/{x}") for x in ("headers", "payloads"))
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload"), "true": F.sha2("payload", 256)})
     number = lambda name: F.regexp_extract(told(name), "^<urn:page:(-?[0-9]+)>$", 1)
     id_of = lambda name: F.when(number(name) != "", number(name).cast("long"))
@@ -84,11 +84,11 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return both.select(id_of("WARC-Record-ID").alias("page_id"), told("WARC-Type").alias("record_type"), told("WARC-Target-URI").alias("target"), F.col("sha1").alias("payload_digest"), "payload_bytes", id_of("WARC-Refers-To").alias("refers_to"), "header", "payload", fault.alias("fault"))
 
 
-def export(found: DataFrame, folder: str, most: int = 20_000) -> None:
+def export(found: DataFrame, place: str, most: int = 20_000) -> None:
     """Write records as .warc.gz files of at most most records each. Payloads have to be UTF-8, as those of archive() are."""
     body = F.when(F.col("record_type") == "revisit", "").otherwise(F.col("payload").cast("string"))
     text = F.concat("header", body, F.lit(CRLF))  # the line separator is the other half of a record's end
-    found.select(text.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(folder)
+    found.select(text.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(place)
 
 
 def parsed(data: bytes):
@@ -103,7 +103,7 @@ def parsed(data: bytes):
         at = end + n + 4
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
+def load(spark: SparkSession, place: str) -> DataFrame:
     """(header, payload) of the records of .warc.gz files; a file is one task's, whose size export() bounds."""
     import gzip
 
@@ -115,18 +115,16 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
                 rows = list(parsed(gzip.decompress(x.as_buffer())))
                 yield pa.record_batch([pa.array([h.decode() for h, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.binary())], ["header", "payload"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(place).select("content")
     return files.mapInArrow(scan, "header string, payload binary")
 
 
 def op11_warc_archive(spark, sf_dir: str) -> DataFrame:
-    import uuid
-
     from quarry.llm.common import read
 
-    folder = f"{shared_dir(spark)}/quarry-warc-{uuid.uuid4().hex}"
-    archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
-    found = records(spark, folder)
+    place = folder(spark, "warc-")
+    archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"), place)
+    found = records(spark, place)
     sound = F.when(F.col("fault").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("unsound record: "), F.col("fault"))).cast("string"))
     return found.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
 
