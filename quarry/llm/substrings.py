@@ -22,6 +22,7 @@ from quarry.llm import blocks as B
 from quarry.llm.anchors import among, repeated_anchors, word_anchors
 from quarry.llm.common import keyed, release, ship, text_classes, written
 
+STRETCH = 64  # places of a source within which runs and paths meet
 OUT = "k long, n_words long, n_removed long, spans array<struct<start:long,end:long,source:long,source_start:long>>, kept_text string"
 
 
@@ -94,7 +95,11 @@ def spans_of(seen: DataFrame, window: int) -> DataFrame:
     """(k, start, end, source, source_start) in words: each run cut where it passes from one path to another."""
     runs = along_documents(seen).withColumn("source_end", F.col("source_pos") + F.col("end") - F.col("pos"))
     low, high = F.greatest("low", "source_pos"), F.least("high", "source_end")
-    both = runs.join(nonbranching(seen), "source").filter((F.col("low") <= F.col("source_end")) & (F.col("high") >= F.col("source_pos")))
+    # runs and paths of a source meet by the stretches of places that both touch, and count in the first one of these alone, so that
+    # one much repeated passage of a source does not bring all its runs to all its paths
+    touched = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / STRETCH), F.floor(F.col(b) / STRETCH))).alias("stretch")
+    runs, paths = runs.select("*", touched("source_pos", "source_end")), nonbranching(seen).select("*", touched("low", "high"))
+    both = runs.join(paths, ["source", "stretch"]).filter((F.col("low") <= F.col("source_end")) & (F.col("high") >= F.col("source_pos")) & (F.col("stretch") == F.floor(low / STRETCH)))
     start = F.col("pos") + low - F.col("source_pos")
     return both.select("k", start.cast("long").alias("start"), (start + high - low + window).cast("long").alias("end"), "source", low.cast("long").alias("source_start"))
 
