@@ -32,9 +32,9 @@ SLICE = 1 << 22  # links that are spelt out at a time
 ID_BITS, PAIR_BITS = 20, 40  # of a token id and of a pair of them
 SOME = 4096  # parts or pairs of a row
 LISTS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
-# Rows of a block: kind 0 a document with its parts and how often it has each; 1 some parts with the places of their pairs and the links of
+# Rows of a block: kind 0 a document with its parts (each as the step from the one before) and how often it has each; 1 some parts with the places of their pairs and the links of
 # each; 2 some pairs with the number of documents that hold them. No row grows with the block.
-ROW = "chunk long, kind int, at int, doc_id long, " + ", ".join(f"{n} long" for n in LISTS) + ", sha string, ids array<int>, n array<long>, sizes array<int>, a array<int>, b array<int>, docs array<int>"
+ROW = "chunk long, kind int, at int, doc_id long, " + ", ".join(f"{n} long" for n in LISTS) + ", sha string, ids array<int>, n array<int>, links array<long>, sizes array<int>, a array<int>, b array<int>, docs array<int>"
 
 
 def byte_level(path: str) -> list[bytes]:
@@ -239,6 +239,21 @@ def lists(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off - off[0], pa.int32()), pa.array(values[off[0] : off[-1]], kind))
 
 
+def stepped(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Values as steps from the one before in each list, which are small where values are in order."""
+    out = np.diff(values, prepend=0)
+    first = off[:-1][np.diff(off) > 0]
+    out[first] = values[first]
+    return out
+
+
+def unstepped(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps)
+    first = np.cumsum(sizes) - sizes
+    before = np.append(0, total)[first]
+    return total - np.repeat(before, sizes)
+
+
 def rows_of(chunk: int, doc_id: pa.Array, of: dict):
     """The rows of a block as record batches."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
@@ -248,10 +263,10 @@ def rows_of(chunk: int, doc_id: pa.Array, of: dict):
         told |= {"chunk": pa.array(np.full(size, chunk)), "kind": pa.array(np.full(size, kind, np.int32)), "at": pa.array(np.arange(size, dtype=np.int32))}
         return pa.record_batch([told.get(name, pa.nulls(size, type_)) for name, type_ in fields], [name for name, _ in fields])
 
-    yield batch(0, len(doc_id), doc_id=doc_id, sha=pa.array(of["sha"], pa.string()), ids=lists(of["part"], of["part_off"], pa.int32()), n=lists(of["part_n"], of["part_off"], pa.int64()), **{n: pa.array(of[n], pa.int64()) for n in LISTS})
+    yield batch(0, len(doc_id), doc_id=doc_id, sha=pa.array(of["sha"], pa.string()), ids=lists(stepped(of["part"], of["part_off"]), of["part_off"], pa.int32()), n=lists(of["part_n"], of["part_off"], pa.int32()), **{n: pa.array(of[n], pa.int64()) for n in LISTS})
     parts = np.append(np.arange(0, len(of["pair_off"]) - 1, SOME), len(of["pair_off"]) - 1)
     off = of["pair_off"][parts]
-    yield batch(1, len(parts) - 1, ids=lists(of["pair"], off, pa.int32()), n=lists(of["pair_n"], off, pa.int64()), sizes=lists(np.diff(of["pair_off"]), parts, pa.int32()))
+    yield batch(1, len(parts) - 1, ids=lists(of["pair"], off, pa.int32()), links=lists(of["pair_n"], off, pa.int64()), sizes=lists(np.diff(of["pair_off"]), parts, pa.int32()))
     pairs = np.append(np.arange(0, len(of["a"]), SOME), len(of["a"]))
     yield batch(2, len(pairs) - 1, **{n: lists(of[n], pairs, pa.int32()) for n in ("a", "b", "docs")})
 
@@ -284,8 +299,9 @@ def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(column.offsets.to_numpy())
 
-    (pair, _), (links, _), (sizes, _) = (flat(parts, n) for n in ("ids", "n", "sizes"))
-    (part, per_doc), (times, _) = flat(docs, "ids"), flat(docs, "n")
+    (pair, _), (links, _), (sizes, _) = (flat(parts, n) for n in ("ids", "links", "sizes"))
+    (steps, per_doc), (times, _) = flat(docs, "ids"), flat(docs, "n")
+    part = unstepped(steps, per_doc)
     of_part, of_doc = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(docs.num_rows), per_doc)
 
     def over(w: np.ndarray) -> np.ndarray:
