@@ -204,7 +204,7 @@ def scored(features: Column, model: dict) -> Column:
     classes = model["classes"]
     known = F.create_map(*[x for g, w in model["weights"].items() for x in (F.lit(g), F.lit([float(v) for v in w]))]) if model["weights"] else None
     bias = F.lit([float(v) for v in model["bias"]])
-    mine = F.array_intersect(features, F.lit(sorted(model["weights"]) or [""]))
+    mine = F.filter(features, lambda g: g.isin(sorted(model["weights"]) or [""]))  # one set for all rows
     sums = F.aggregate(mine, bias, lambda a, g: F.zip_with(a, F.element_at(known, g), lambda x, y: x + y)) if known is not None else bias
     names = F.lit(classes)
 
