@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRIP = 1 << 18  # packed bytes of a strip, about
+MOST = 1 << 20  # samples of strips that are unpacked together
 OUT = "strip int, first_row int, rows int, n long, low int, high int, total long, samples binary"
 
 
@@ -31,29 +32,37 @@ def strips(planes: DataFrame, key: str = "path", most: int = STRIP) -> DataFrame
     return p.select(key, "width", "bits", "byte_order", (F.col("first_row") / F.col("_per")).cast("int").alias("strip"), "first_row", rows.alias("rows"), F.substr("content", begin + 1, size).alias("packed"))
 
 
-def samples(packed: bytes, bits: int, order: str, n: int) -> np.ndarray:
-    """n samples: of 8 or 16 bits in file order, else a bit stream from the high bit."""
-    if bits in (8, 16):
-        return np.frombuffer(packed, f"{order}u{bits // 8}")[:n].astype("<u2")
-    flat = np.unpackbits(np.frombuffer(packed, np.uint8))[: n * bits].reshape(-1, bits)
-    out = np.zeros(len(flat), "<u2")
-    for i in range(bits):
-        out = (out << 1) | flat[:, i]
-    return out.astype("<u2")
+def samples(data: np.ndarray, begin: np.ndarray, n: np.ndarray, bits: np.ndarray, little: np.ndarray) -> np.ndarray:
+    """The samples of strips, one strip behind the other: n samples from the byte begin of data each, as a bit stream from the high bit; those
+    of 16 bits have their low byte first where little is set."""
+    at, wide = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(bits, n)
+    at *= wide
+    first = np.repeat(begin, n) + (at >> 3)
+    three = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
+    out = (three[first] << 16 | three[first + 1] << 8 | three[first + 2]) >> (24 - wide - (at & 7)) & (1 << wide) - 1
+    return np.where(np.repeat(little & (bits == 16), n), out >> 8 | (out & 255) << 8, out).astype("<u2")
 
 
 def unpacked(found: DataFrame, key: str = "path") -> DataFrame:
-    """The strips with their samples as little-endian unsigned 16-bit numbers, how many, the least, the greatest and their sum. A
-    strip is all that a step holds, however large its plane is."""
+    """The strips with their samples as little-endian unsigned 16-bit numbers, how many, the least, the greatest and their sum. Small strips
+    are unpacked together, as many as have MOST samples; a larger strip is all that a step holds, however large its plane is."""
 
     def scan(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in ("width", "bits", "strip", "first_row", "rows")}
-                x = samples(batch.column("packed")[i].as_buffer(), row["bits"], "<" if batch.column("byte_order")[i].as_py() == "II" else ">", row["width"] * row["rows"])
-                told = {"strip": row["strip"], "first_row": row["first_row"], "rows": row["rows"], "n": len(x), "low": int(x.min()), "high": int(x.max()), "total": int(x.sum(dtype=np.int64)), "samples": x.tobytes()}
-                kinds = {"n": pa.int64(), "total": pa.int64(), "samples": pa.binary()}
-                yield pa.record_batch([batch.column(key).slice(i, 1), *(pa.array([v], kinds.get(n, pa.int32())) for n, v in told.items())], [key, *told])
+            packed = batch.column("packed").cast(pa.large_binary())
+            bounds, data = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset :][: len(packed) + 1], np.frombuffer(packed.buffers()[2] or b"", np.uint8)
+            width, bits, rows = (batch.column(x).to_numpy().astype(np.int64) for x in ("width", "bits", "rows"))
+            little, n = np.array(batch.column("byte_order").to_pylist()) == "II", width * rows
+            some = np.cumsum(n) // MOST
+            cuts = [0, *(np.flatnonzero(np.diff(some)) + 1).tolist(), len(n)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                x = samples(data[bounds[a] : bounds[b]], bounds[a:b] - bounds[a], n[a:b], bits[a:b], little[a:b])
+                ends = np.concatenate([[0], np.cumsum(n[a:b])])
+                told = {f: batch.column(f).slice(a, b - a) for f in (key, "strip", "first_row", "rows")} | {"n": pa.array(n[a:b]), "low": pa.array(np.minimum.reduceat(x, ends[:-1]).astype(np.int32)), "high": pa.array(np.maximum.reduceat(x, ends[:-1]).astype(np.int32)), "total": pa.array(np.add.reduceat(x, ends[:-1], dtype=np.int64))}
+                held = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(x)])
+                yield pa.record_batch(told | {"samples": held})
 
     return found.mapInArrow(scan, f"{key} {dict(found.dtypes)[key]}, {OUT}")
 
