@@ -1,7 +1,11 @@
 """Steps whose tasks, batches and rows have to stay in proportion as tables grow."""
 
+import random
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from quarry.operators import scopes as S
 from quarry.sources import planes
 from quarry.store import dealt
 
@@ -31,3 +35,35 @@ def test_small_strips_share_a_batch(monkeypatch):
     out = list(planes.unpacked(Direct())(iter([batch.slice(7)])))
     assert [x.num_rows for x in out] == [24, 25, 25, 19]
     assert all(r["samples"] == b"\1\0\xff\0" and (r["n"], r["low"], r["high"], r["total"]) == (2, 1, 255, 256) for x in out for r in x.to_pylist())
+
+
+def decided(spark, n=60, ids=40):
+    """Decisions of few scopes, some ids twice."""
+    r = random.Random(7)
+    scopes = [[r.choice(["src/*", "src/a/**", "src/a/b/*.rs", "docs/x", "*", "src"]) for _ in range(r.randrange(0, 4))] for _ in range(9)]
+    rows = [(f"D{i % ids}", f"d/D{i:03}", scopes[i * i % 9], "E" if i % 11 == 0 else None) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, path string, scope array<string>, superseded_by string").repartition(3)
+
+
+def test_paths_meet_scopes_once(spark):
+    d = decided(spark)
+    paths = spark.createDataFrame([(p,) for p in ("src/x", "src/a/b/c.rs", "src/a/y", "docs/x", "top", "src", "src/x", "no/no")], "path string")
+    ids = d.filter("superseded_by IS NULL").withColumn("id", F.col("path"))  # a decision is its file
+    want = {(x.id, x.glob): x["count"] for x in S.governed(paths, ids).groupBy("id", "glob").count().collect()}
+    got = S.governed_counts(paths, d)
+    assert {(x.path, x.glob): x.paths for x in got.collect()} == want and len(want) > 40
+    assert all(int(x.path[-3:]) % 40 == int(x.id[1:]) for x in got.collect())
+
+
+def test_classes_give_all_pairs(spark):
+    for d in (decided(spark), decided(spark).filter("path < 'd/D012'")):
+        of = {x.path: tuple(x.scope) for x in S.scope_members(d).collect()}
+        want = {}
+        for x in S.scope_pairs(d.withColumn("id", F.col("path"))).collect():
+            a, b = of[x.a], of[x.b]
+            row = want.setdefault((a, b) if a <= b else (b, a), [x.relation, 0, None, None])
+            row[1] += 1
+            row[2 if a <= b else 3] = x.pair
+        got = {(tuple(x.a), tuple(x.b)): [x.relation, x.n, x.pair, x.turned] for x in S.scope_class_pairs(d).collect()}
+        assert got == want and {x[0] for x in want.values()} == {"same", "nest"}
+        assert len(got) <= len(set(of.values())) ** 2
