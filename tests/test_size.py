@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quarry.operators import editing as E
 from quarry.operators import scopes as S
 from quarry.sources import planes
 from quarry.store import dealt
@@ -67,3 +68,16 @@ def test_classes_give_all_pairs(spark):
         got = {(tuple(x.a), tuple(x.b)): [x.relation, x.n, x.pair, x.turned] for x in S.scope_class_pairs(d).collect()}
         assert got == want and {x[0] for x in want.values()} == {"same", "nest"}
         assert len(got) <= len(set(of.values())) ** 2
+
+
+def parsed(df):
+    """How often a plan parses or decodes rows in Python."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_edits_parse_each_text_once(spark):
+    files = spark.createDataFrame([("specs/SPEC-001-x.md", "---\ncost:\n  sessions: []\n  totals:\n    session_count: 9\n---\n")], "path string, text string").repartition(2)
+    totals = E.with_totals(files)
+    assert parsed(totals) == 1 and "Join" not in totals._jdf.queryExecution().optimizedPlan().toString()
+    assert "session_count: 0\n" in totals.first().text
+    assert parsed(E.handback_sync(files, files, "2024-05-05")[0]) == 2  # the handoffs, and the specs for their totals
