@@ -6,8 +6,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.operators import editing as E
+from quarry.operators import ordering as N
+from quarry.operators import reports as P
 from quarry.operators import scopes as S
+from quarry.plans import decoding, records
 from quarry.sources import planes
+from quarry.sources import records as R
+from quarry.sources.frontmatter import front_matter
 from quarry.store import dealt
 
 
@@ -81,3 +86,14 @@ def test_edits_parse_each_text_once(spark):
     assert parsed(totals) == 1 and "Join" not in totals._jdf.queryExecution().optimizedPlan().toString()
     assert "session_count: 0\n" in totals.first().text
     assert parsed(E.handback_sync(files, files, "2024-05-05")[0]) == 2  # the handoffs, and the specs for their totals
+
+
+def test_tables_of_small_files_are_dealt(spark):
+    sf = "/root/testdata/sf0.1"
+    assert records.spec_files(spark, sf).rdd.getNumPartitions() == 4
+    assert decoding.part_of(spark, sf).rdd.getNumPartitions() == 11
+
+
+def test_deep_and_looped_front_matter():
+    assert front_matter("---\na: " + "[" * 3000 + "]" * 3000 + "\n---\n") is None and front_matter("---\na: &x [*x]\n---\n") is None
+    assert front_matter("---\n[a]: 1\n---\n") is None and front_matter("---\na: &x {b: ~}\nc: *x\na: !!int 2\n---\n") == '{"a": "2", "c": {"b": "~"}}'
