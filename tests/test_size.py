@@ -97,3 +97,9 @@ def test_tables_of_small_files_are_dealt(spark):
 def test_deep_and_looped_front_matter():
     assert front_matter("---\na: " + "[" * 3000 + "]" * 3000 + "\n---\n") is None and front_matter("---\na: &x [*x]\n---\n") is None
     assert front_matter("---\n[a]: 1\n---\n") is None and front_matter("---\na: &x {b: ~}\nc: *x\na: !!int 2\n---\n") == '{"a": "2", "c": {"b": "~"}}'
+
+
+def test_edits_are_not_repeated_by_filters(spark):
+    plan = records.QUERIES["scalar_update"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    asked = [x for x in plan.split("\n") if "Filter" in x and "cycle: verify" in x]
+    assert asked and not any("regexp_" in x for x in asked)
