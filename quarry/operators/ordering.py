@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +16,9 @@ BUCKETS = 64  # of a table that is numbered
 RANGES, MANY = 1024, 100_000  # ranges that a pass counts in, distinct values that a group may have in the last one
 
 
-def leading(c: Column) -> Column:
-    """The first seven bytes of a text as a number, in the order of texts."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def leading(c: Column, skip: int = 0) -> Column:
+    """The first seven bytes of a text behind those to skip as a number, in the order of texts that are the same so far."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, 7)), 14, "0"), 16, 10).cast("long")
 
 
 def numbered(df: DataFrame, base: Column, order: str, ties: tuple[str, ...] = (), name: str = "new_id", buckets: int = BUCKETS) -> DataFrame:
@@ -25,7 +26,8 @@ def numbered(df: DataFrame, base: Column, order: str, ties: tuple[str, ...] = ()
 
     Bounds of about equal shares are estimated once and become constants, so a row's bucket is a function of the row; a bucket's ids begin behind
     the counts of those before it, and only within a bucket rows are sorted. Rows without a text come first. Only bounds reach the driver."""
-    key = F.coalesce(leading(F.col(order)), F.lit(-1))
+    ends = [x.encode() for x in df.agg(F.min(order), F.max(order)).first() if x is not None]
+    key = F.coalesce(leading(F.col(order), len(os.path.commonprefix(ends))), F.lit(-1))  # behind what all texts begin with
     cuts = df.agg(F.percentile_approx(key, F.lit([i / buckets for i in range(1, buckets)]), 10_000)).first()[0] or []
     cut = df.withColumn("_bucket", F.size(F.filter(F.lit(sorted(set(cuts)) or [0]), lambda b: b < key)))
     counts = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most a row a bucket
@@ -86,7 +88,7 @@ def documents(rows: DataFrame, by: str, order: str, command: str, generated_at:
     most bytes of rows, but for one row that is longer by itself. part counts from 1. Rows are numbered in order first, so that sizes can be
     added up chunk by chunk, whatever the size of a group."""
     data = F.to_json(F.struct(*[c for c in rows.columns if c != by]), {"ignoreNullFields": "false"})
-    placed = numbered(rows.select(by, F.col(order).cast("string").alias("_order"), data.alias("_row")), F.lit(0), "_order", ("_row",), "_place")
+    placed = numbered(written(rows.select(by, F.col(order).cast("string").alias("_order"), data.alias("_row"))), F.lit(0), "_order", ("_row",), "_place")
     sized = running_sum(placed.withColumn("_size", F.octet_length("_row") + 1), by, "_place", "_size", "_upto", width)
     sized = sized.withColumn("part", (F.floor((F.col("_upto") - F.col("_size")) / most) + 1).cast("int"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_row"))), lambda x: x["_row"]), ",")

@@ -103,3 +103,13 @@ def test_edits_are_not_repeated_by_filters(spark):
     plan = records.QUERIES["scalar_update"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     asked = [x for x in plan.split("\n") if "Filter" in x and "cycle: verify" in x]
     assert asked and not any("regexp_" in x for x in asked)
+
+
+def test_ids_with_one_beginning_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(2000).select(F.format_string("projects/PROJ-%09d", "id").alias("t"), "id").repartition(3)
+        out = N.numbered(rows, F.lit(0), "t").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({x.task for x in out}) > 1 and all(x.new_id == x.id + 1 for x in out)
