@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources import encode as E
 from quarry.sources.container import closure, containers, packed_bits, refused, sensors
+from quarry.store import dealt
 
 
 def synthesized(part, build):
@@ -21,7 +22,7 @@ def synthesized(part, build):
 
 
 def part_of(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", 2_000)
 
 
 def shape(k: int, size: int):
