@@ -99,6 +99,17 @@ def test_deep_and_looped_front_matter():
     assert front_matter("---\n[a]: 1\n---\n") is None and front_matter("---\na: &x {b: ~}\nc: *x\na: !!int 2\n---\n") == '{"a": "2", "c": {"b": "~"}}'
 
 
+def test_reports_parse_each_record_once(spark):
+    text = "---\ntask:\n  cycle: build\nproject:\n  id: P\ndepends_on: [SPEC-002]\ncost:\n  sessions:\n    - cycle: build\n      estimated_usd: 1.5\n---\nWhere was the worst defect caught\n- none\n"
+    specs = R.specs(spark.createDataFrame([("specs/SPEC-001-x.md", text)], "path string, text string").repartition(2))
+    found = {
+        "advisories": P.advisories(specs), "ready": P.ready(specs), "cost_by": P.cost_by(specs, "cycle"), "defects": P.defects(specs),
+        "documents": N.documents(specs.select("project", "id"), "project", "id", "ready", "2024-01-01T00:00:00Z"),
+    }
+    assert {n: parsed(d) for n, d in found.items()} == dict.fromkeys(found, 0)  # written before they are used again
+    assert {n: d.count() for n, d in found.items()} == {"advisories": 1, "ready": 1, "cost_by": 1, "defects": 6, "documents": 1}
+
+
 def test_edits_are_not_repeated_by_filters(spark):
     plan = records.QUERIES["scalar_update"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     asked = [x for x in plan.split("\n") if "Filter" in x and "cycle: verify" in x]
