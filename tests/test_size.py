@@ -11,7 +11,7 @@ from quarry.operators import editing as E
 from quarry.operators import ordering as N
 from quarry.operators import reports as P
 from quarry.operators import scopes as S
-from quarry.plans import decoding, records
+from quarry.plans import decoding, records, texts
 from quarry.sources import frontmatter as M
 from quarry.sources import planes
 from quarry.sources import records as R
@@ -94,6 +94,7 @@ def test_edits_parse_each_text_once(spark):
 def test_tables_of_small_files_are_dealt(spark):
     sf = "/root/testdata/sf0.1"
     assert records.spec_files(spark, sf).rdd.getNumPartitions() == 4
+    assert texts.handoff_files(spark, sf).rdd.getNumPartitions() == 11
     assert decoding.part_of(spark, sf).rdd.getNumPartitions() == 11
 
 
