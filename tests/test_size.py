@@ -94,7 +94,6 @@ def test_edits_parse_each_text_once(spark):
 def test_tables_of_small_files_are_dealt(spark):
     sf = "/root/testdata/sf0.1"
     assert records.spec_files(spark, sf).rdd.getNumPartitions() == 4
-    assert texts.handoff_files(spark, sf).rdd.getNumPartitions() == 11
     assert decoding.part_of(spark, sf).rdd.getNumPartitions() == 11
 
 
@@ -182,3 +181,7 @@ def test_edits_are_not_worked_out_line_by_line(spark):
     plan = new._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(" not in plan and "split(" in plan  # lines were filtered by a pattern, five times over, for each place that was sought
     assert new.first().text == text.replace("  totals:\n", "    - cycle: ship\n      tokens_total: 5\n  totals:\n").replace("tokens_total: 1   # all", f"tokens_total: {2 * n + 5}   # all").replace("session_count: 0", f"session_count: {n + 1}")
+
+
+def test_short_handoffs_share_a_task(spark):
+    assert texts.handoff_files(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 11
